@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,11 +57,27 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session's application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="tidemark-")  # the driver serves the file from here until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
 
 def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only id and text, renamed, so that no further column of the input can clash."""
+    """Only id and text, renamed, so that no further column of the input can clash; for Python workers."""
+    ship(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))

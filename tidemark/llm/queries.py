@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import line_dedup
+from .packing import pack_documents
 from .quality_rules import quality_rules
+from .token_store import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each piece of each document."""
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document, from the files read back."""
+    found = round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's counts and verdicts of every document."""
     return quality_rules(_table(spark, sf_dir, "documents")).select(
@@ -26,7 +46,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_token_store": op8_token_store,
+    "op9_quality_rules": op9_quality_rules,
+}
 
 SQL = {
     "op1_line_dedup": r"""
