@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -28,6 +29,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document: encoded, then decoded from the ids."""
+    docs, vocabulary = _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json")
+    both = decode(encode(docs, vocabulary), vocabulary)
+    return both.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row for each piece of each document."""
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -48,6 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_bpe": op2_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,

@@ -24,40 +24,23 @@ ODD = r"[\x00-\x08\x0e-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-
 STEP_BYTES, KNOWN = 8_000_000, 400_000
 
 
-class TextEncoder:
-    """Encodes Arrow string arrays; ``known`` bounds the pieces kept from earlier calls."""
+class PieceEncoder:
+    """Ids of pieces of text, kept from call to call (at most ``known`` pieces); numpy puts texts together."""
 
-    def __init__(self, path: str, known: int = KNOWN):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            config = json.load(f)
-        self.by_piece = self._never_joins(config)
-        self.vocabulary = self.library.get_vocab_size()
+    def __init__(self, known: int = KNOWN):
         self.known, self.slots = known, {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
-    @staticmethod
-    def _never_joins(config: dict) -> bool:
-        normalizers = (config.get("normalizer") or {}).get("normalizers", [])
-        splitters = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        single = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in normalizers)
-        known = all(x.get("type") in ("NFC", "Replace", "Lowercase") for x in normalizers)
-        drops = bool(splitters) and splitters[0].get("type") == "Split" and splitters[0].get("behavior") == "Removed"
-        whole = drops and splitters[0].get("invert") and "\\s" in splitters[0]["pattern"].get("Regex", "")
-        return single and known and bool(whole) and config.get("post_processor") is None
+    def encode_new(self, pieces: list[str]) -> list[list[int]]:
+        raise NotImplementedError
 
     def _add(self, pieces: list[str]) -> np.ndarray:
-        """Encode pieces; their slots are the next ones."""
-        found = [x.ids for x in self.library.encode_batch(pieces, add_special_tokens=False)]
+        """Encode pieces into the slots after the kept ones."""
+        found = self.encode_new(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        first = self.count
+        first = len(self.slots)
         while first + len(found) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         while self.used + len(ids) > len(self.flat):
@@ -65,53 +48,78 @@ class TextEncoder:
         self.sizes[first : first + len(found)] = sizes
         self.starts[first : first + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.count = first + len(found)
         return np.arange(first, first + len(found))
 
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.utf8_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
+    def gather(self, pieces: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many each has; text k is pieces[offsets[k]:offsets[k + 1]]."""
+        coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         get = self.slots.get
         slot = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
         new = np.flatnonzero(slot < 0)
-        self.count, before = len(self.slots), self.used
+        added: list[str] = []
         if len(new):
-            pieces = [distinct[i] for i in new]
-            slot[new] = self._add(pieces)
-            if keep := max(0, min(len(pieces), self.known - len(self.slots))):
-                base = len(self.slots)
-                self.slots.update(zip(pieces[:keep], range(base, base + keep)))
+            added = [distinct[i] for i in new]
+            slot[new] = self._add(added)
         codes = slot[coded.indices.to_numpy(zero_copy_only=False)]
         sizes, starts = self.sizes[codes], self.starts[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        kept = len(self.slots)
-        self.used = int(self.starts[kept - 1] + self.sizes[kept - 1]) if len(new) else before
-        offsets = lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
+        if keep := max(0, min(len(added), self.known - len(self.slots))):  # the others are forgotten
+            base = len(self.slots)
+            self.slots.update(zip(added[:keep], range(base, base + keep)))
+            self.used = int(self.starts[base + keep - 1] + self.sizes[base + keep - 1])
         upto = np.concatenate([[0], ends])
+        offsets = offsets - offsets[0]
         return ids, upto[offsets[1:]] - upto[offsets[:-1]]
 
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+class TextEncoder(PieceEncoder):
+    """Encodes Arrow string arrays with a vocabulary file of the tokenizers library."""
+
+    def __init__(self, path: str, known: int = KNOWN):
+        super().__init__(known)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_piece = self._never_joins(json.load(f))
+        self.vocabulary = self.library.get_vocab_size()
+
+    @staticmethod
+    def _never_joins(config: dict) -> bool:
+        normalizers = (config.get("normalizer") or {}).get("normalizers", [])
+        splitters = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        known = all(x.get("type") in ("NFC", "Lowercase") or x == blanks for x in normalizers) and blanks in normalizers
+        first = splitters[0] if splitters else {}
+        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+        return bool(known and drops and "\\s" in first["pattern"].get("Regex", "") and not config.get("post_processor"))
+
+    def encode_new(self, pieces: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch(pieces, add_special_tokens=False)]
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.utf8_split_whitespace(texts)
+        return self.gather(lists.flatten(), lists.offsets.to_numpy())
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode_new(texts.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids (uint32) of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        if not self.by_piece:
-            ids, sizes = self._whole(texts.to_pylist())
-            return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for which, how in ((np.flatnonzero(~odd), self._pieces), (np.flatnonzero(odd), None)):
+        for which, how in ((np.flatnonzero(~odd), self._pieces), (np.flatnonzero(odd), self._whole)):
             if len(which):
-                some = texts.take(pa.array(which))
-                ids, sizes = how(some) if how else self._whole(some.to_pylist())
+                ids, sizes = how(texts.take(pa.array(which)))
                 for k, x in zip(which, np.split(ids, np.cumsum(sizes)[:-1])):
                     out[k] = x
         return out
