@@ -10,6 +10,7 @@ from .line_dedup import line_dedup
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .token_store import round_trip
+from .warc import round_trip as archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each page, from the archives read back."""
+    found = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row for each document, from the files read back."""
     found = round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -60,6 +67,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_warc": op7_warc,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -88,6 +96,13 @@ SELECT c.doc_id, coalesce(k.text, '') AS text,
        CAST(CASE WHEN d.text = '' THEN 0 ELSE len(c.lines) END AS BIGINT) AS n_lines,
        CAST(len(c.lines) - coalesce(k.k, 0) AS BIGINT) AS n_removed
 FROM cut c JOIN docs d USING (doc_id) LEFT JOIN kept k ON k.doc_id = c.doc_id""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op9_quality_rules": r"""
 WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
