@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .line_dedup import line_dedup
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .token_store import round_trip
@@ -44,6 +45,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document, and n_links."""
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row for each page, from the archives read back."""
     found = archive_round_trip(_table(spark, sf_dir, "pages"))
@@ -67,6 +73,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_warc": op7_warc,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
@@ -96,6 +103,22 @@ SELECT c.doc_id, coalesce(k.text, '') AS text,
        CAST(CASE WHEN d.text = '' THEN 0 ELSE len(c.lines) END AS BIGINT) AS n_lines,
        CAST(len(c.lines) - coalesce(k.k, 0) AS BIGINT) AS n_removed
 FROM cut c JOIN docs d USING (doc_id) LEFT JOIN kept k ON k.doc_id = c.doc_id""",
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+flat AS (SELECT doc_id, len(w) AS k, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+grams AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, k, pos, CASE WHEN k = 1 THEN word WHEN k = 2 THEN
+    word || ' ' || lead(word, 1) OVER o ELSE word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o END AS g
+    FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE g IS NOT NULL),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+           GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+          WHERE 100 * i >= 90 * (p.n + q.n - i)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id,
+       CAST((SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS BIGINT) AS n_links
+FROM docs d JOIN reach r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id, s.n""",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
