@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_classifier
 from .bpe import decode, encode
+from .language_id import fit_text_model, identify
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack_documents
@@ -50,6 +52,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score, text_score, meta_score and kept of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, lang, confidence, text_lang, declared and identified of every page; the text model is fitted on documents."""
+    model = fit_text_model(_table(spark, sf_dir, "documents"))
+    found = identify(_table(spark, sf_dir, "pages"), model, ["page_id"], html_col="html", url_col="url")
+    return found.select(
+        "page_id", F.col("detected").alias("lang"), "confidence", F.col("text_detected").alias("text_lang"), "declared",
+        (F.col("detected").isNotNull() & (F.col("confidence") >= 0.5)).alias("identified"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row for each page, from the archives read back."""
     found = archive_round_trip(_table(spark, sf_dir, "pages"))
@@ -74,6 +92,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
