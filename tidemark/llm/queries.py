@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_classifier
+from .ann import search
 from .bpe import decode, encode
 from .language_id import fit_text_model, identify
 from .line_dedup import line_dedup
@@ -87,6 +88,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's five nearest of each query."""
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -97,6 +103,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ann": op10_ann,
 }
 
 SQL = {
