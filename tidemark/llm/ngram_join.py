@@ -32,11 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, written
+from .common import discard, release, ship, written
 from .graph import components
 from .tokens import steps
 
 
+#: Bytes of text worked on at once: words are objects here, so less than where Arrow splits texts.
+STEP_BYTES = 2_000_000
+
+
 @dataclass(frozen=True)
 class Join:
     """Two sets link when ``den`` * intersection >= ``num`` * union; a gram is ``n`` words."""
@@ -158,7 +162,7 @@ def _sampled_frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP_BYTES):
                 sets = gram_sets(part.column("text").to_pylist(), join.n)
                 grams, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, _U), np.zeros(0, int))
                 many = counts >= max(4, len(sets) // 500)
@@ -182,7 +186,7 @@ def _features(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = known.value
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP_BYTES):
                 sizes, ids, prefixes, sketches = [], [], [], []
                 for grams in gram_sets(part.column("text").to_pylist(), join.n):
                     n = len(grams)
@@ -338,7 +342,7 @@ def _class_links(classes: DataFrame, docs: DataFrame, nodes: DataFrame, join: Jo
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["component", "bi", "bj", "block", "node", "copies"]
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP_BYTES):
                 raw = [x.tobytes() for x in gram_sets(part.column("text").to_pylist(), join.n)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "grams"])
 
@@ -403,6 +407,7 @@ def ngram_join(
     nodes = written(nodes.select(F.col("doc_id").alias("node"), "n", "copies", "prefix", "sketch"), "nodes")
     discard(features)
     classes = components(_candidate_edges(nodes, join))
+    release(docs.sparkSession)
     links = written(_class_links(classes, docs, nodes, join), "links")
     discard(nodes)
     # An id with several texts holds their components together.
