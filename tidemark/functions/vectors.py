@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(size, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
-def bucket_counts(text: Column, dim: int = DIM) -> Column:
-    """Counts of a text's tokens per bucket as a dense array of whole numbers, in one row and without a shuffle."""
-    buckets = F.transform(tokens(text), lambda t: bucket(t, dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double"))
+def buckets(text: Column, dim: int = DIM) -> Column:
+    """The bucket of each token of a text: the sparse form of its vector of counts."""
+    return F.transform(tokens(text), lambda t: bucket(t, dim))
 
 
 def bucket_table(df: DataFrame, ids: list[str], text_col: str, dim: int = DIM) -> DataFrame:
@@ -41,19 +42,12 @@ def bucket_table(df: DataFrame, ids: list[str], text_col: str, dim: int = DIM) -
     return rows.select(*ids, bucket(F.col("token"), dim).alias("bucket")).groupBy(*ids, "bucket").agg(F.count("*").alias("tf"))
 
 
-def hashed_vectors(df: DataFrame, ids: list[str], text_col: str, dim: int = DIM, unit: bool = False) -> DataFrame:
-    """(ids, vector): bucket counts of every row, all zero without tokens; of length 1 if ``unit``.
-
-    Counts are whole numbers, so products are exact and equal texts tie exactly.
-    """
-    rows = df.select(*ids, F.transform(tokens(F.col(text_col)), lambda t: bucket(t, dim)).alias("_b"))
-    rows = rows.select(*ids, "_b", F.array_distinct("_b").alias("_u"))
-    # As many steps as a text has distinct buckets, not as the vector has entries.
-    filled = F.map_from_arrays("_u", F.transform("_u", lambda b: (F.size("_b") - F.size(F.array_remove("_b", b))).cast("double")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    rows = rows.select(*ids, filled.alias("_m")).select(*ids, dense.alias("vector"))
-    if unit:
-        rows = rows.withColumn("_n", norm(F.col("vector"))).withColumn(
-            "vector", F.when(F.col("_n") > 0, F.transform("vector", lambda x: x / F.col("_n"))).otherwise(F.col("vector"))
-        ).drop("_n")
-    return rows
+def hashed_vectors(df: DataFrame, ids: list[str], text_col: str, dim: int = DIM) -> DataFrame:
+    """(ids, vector): unit-length bucket counts of every row as array<double>, all zero without tokens."""
+
+    @F.pandas_udf("array<double>")
+    def dense(rows: pd.Series) -> pd.Series:
+        counts = [np.bincount(np.asarray(b, np.int64), minlength=dim).astype(float) for b in rows]
+        return pd.Series([c / (np.sqrt(c @ c) or 1.0) for c in counts])
+
+    return df.select(*ids, dense(buckets(F.col(text_col), dim)).alias("vector"))

@@ -24,8 +24,11 @@ BLOCK = 8192
 DECIMALS = 9
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, dim: int | None = None) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if dim is not None:
+        row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+        return np.bincount(row * dim + column.flatten().to_numpy(), minlength=len(column) * dim).reshape(-1, dim).astype(np.float64)
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
@@ -35,18 +38,24 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 def similarity_topk(
     queries: DataFrame, items: DataFrame, k: int, positive: bool = True, namespaces: str = "none", decimals: int | None = DECIMALS,
-    not_itself: bool = False,
+    not_itself: bool = False, dim: int | None = None, groups: bool = False,
 ) -> DataFrame:
     """qid, seq, score, rank: the k best ``items`` (seq, ns, vector) of each of ``queries`` (qid, ns, vector).
 
+    ``groups`` asks for the k best of each namespace of items instead of the k best of all.
+
+    With ``dim``, vectors are given as bucket numbers, one for each token, and become counts in workers:
+    whole numbers, so products are exact and equal texts tie exactly.
+
     ``positive`` asks for scores over 0. ``namespaces``: "none" compares all; "equal" asks for the same
     namespace; "visible" lets queries without namespace see all and items without one be seen by all.
     """
     spark = queries.sparkSession
     ship(spark)
-    items = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast("array<double>").alias("vector"))
-    shape = items.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    small = (shape["n"] or 0) * (shape["d"] or 0) * 8 <= BROADCAST_BYTES
+    kind = "array<double>" if dim is None else "array<int>"
+    items = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast(kind).alias("vector"))
+    shape = items.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()
+    small = shape["n"] * (8 if dim is None else 4) <= BROADCAST_BYTES
     if small:
         table = spark.sparkContext.broadcast(items.orderBy("seq").toArrow())
         files: list[str] = []
@@ -67,16 +76,16 @@ def similarity_topk(
         for t in tables:
             for first in range(0, len(t), BLOCK):
                 some = t.slice(first, BLOCK)
-                x = _matrix(some["vector"])
+                x = _matrix(some["vector"], dim)
                 yield some["seq"].to_numpy(), np.array(some["ns"].to_pylist(), object), x, _norms(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                q, ns = _matrix(batch.column("vector")), batch.column("ns").to_pylist()
-                ids, size = batch.column("qid").to_numpy(), _norms(_matrix(batch.column("vector")))
-                best: list[list[tuple[float, int]]] = [[] for _ in ids]
+                q, ns = _matrix(batch.column("vector"), dim), batch.column("ns").to_pylist()
+                ids, size = batch.column("qid").to_numpy(), _norms(q)
+                best: list[dict[str | None, list[tuple[float, int]]]] = [{} for _ in ids]
                 for seq, own, x, norms in blocks():
                     both = np.outer(size, norms)
                     score = np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0)
@@ -91,12 +100,14 @@ def similarity_topk(
                             ok &= (own == ns[i]) | (own == None)  # noqa: E711
                         if not_itself:
                             ok &= seq != ids[i]
-                        at = np.flatnonzero(ok)
-                        at = at[np.lexsort((seq[at], -row[at]))[:k]]
-                        best[i] = sorted([*best[i], *((-float(row[j]), int(seq[j])) for j in at)])[:k]
-                rows = [(int(ids[i]), s, -v, r) for i, found in enumerate(best) for r, (v, s) in enumerate(found, 1)]
+                        for name in sorted(set(own), key=str) if groups else [None]:
+                            at = np.flatnonzero(ok & (own == name) if groups else ok)
+                            at = at[np.lexsort((seq[at], -row[at]))[:k]]
+                            found = ((-float(row[j]), int(seq[j])) for j in at)
+                            best[i][name] = sorted([*best[i].get(name, []), *found])[:k]
+                rows = [(int(ids[i]), s, -v, r) for i, own in enumerate(best) for found in own.values() for r, (v, s) in enumerate(found, 1)]
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["qid", "seq", "score", "rank"])
 
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast(kind).alias("vector"))
     return asked.mapInArrow(run, "qid bigint, seq bigint, score double, rank int")
