@@ -1,80 +1,21 @@
-"""What the operators of this subpackage share: the shared folder, tables written there, and word splitting."""
+"""What the operators of this subpackage share: tables in the shared folder, and word splitting."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed: what separates words, as in the contracts (`[^\x20\x09-\x0D]+` is a word).
-SPACES = r"[\x20\x09-\x0D]+"
-
-_own: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a temporary folder, removed at exit;
-    any other session is refused, as its executors could not see such a folder.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own[app] = f"file://{path}"
-    return _own[app]
-
+from ..base import discard, release, scratch_path, shared_dir, ship, written
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACES", "discard", "release", "scratch_path", "shared_dir", "ship", "with_text", "words_of", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: the plan ends there and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session's application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="tidemark-")  # the driver serves the file from here until it ends
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        archive = Path(folder) / f"{root.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(app)
+#: Fixed: what separates words, as in the contracts (`[^\x20\x09-\x0D]+` is a word).
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
 def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, words_of, written
+from .common import SPACES, discard, words_of, written
 
 #: Fixed by the contract: the symbol characters, the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -55,17 +55,21 @@ def _count(text: Column, inside: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{inside}]+", ""))
 
 
-def _class_counts(text: Column, words: Column) -> Column:
-    """An array of the counts of CLASSES."""
-    counts = F.struct(
+def _marked(text: Column) -> Column:
+    """A text's capitals, digits and marks alone: what is left to count, few of its characters."""
+    return F.regexp_replace(text, f"[^{CAPITALS}0-9{MARKS}]+", "")
+
+
+def _class_counts(text: Column, marked: Column, solid: Column) -> Column:
+    """Counts of characters as a struct; symbols are marks too."""
+    return F.struct(
         F.char_length(text).alias("all"),
-        F.char_length(F.array_join(words, "")).alias("solid"),
-        _count(text, CAPITALS).alias("capitals"),
-        _count(text, "0-9").alias("digits"),
-        _count(text, SYMBOLS).alias("symbols"),
-        _count(text, MARKS).alias("marks"),
+        solid.alias("solid"),
+        _count(marked, CAPITALS).alias("capitals"),
+        _count(marked, "0-9").alias("digits"),
+        _count(marked, SYMBOLS).alias("symbols"),
+        _count(marked, MARKS).alias("marks"),
     )
-    return counts
 
 
 def _histogram(c: str) -> Column:
@@ -119,12 +123,13 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
     return (
         df.withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("_class", _class_counts(text, F.col("words")))
+        .withColumn("_marked", _marked(text))
+        .withColumn("_class", _class_counts(text, F.col("_marked"), F.char_length(F.array_join("words", ""))))
         .withColumn("word_chars", F.col("_class.solid").cast("long"))
         .withColumn("n_symbols", F.col("_class.symbols").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("base_failed", failed)
-        .drop("_lines")
+        .drop("_lines", "_marked")
     )
 
 
@@ -156,10 +161,12 @@ def language_references(docs: DataFrame, text_col: str, lang_col: str, limits: L
         .groupBy("lang")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("n") / F.col("total")).alias("q")))).alias("c"))
     )
-    classes = docs.select(lang.alias("lang"), _class_counts(text, words_of(text)).alias("c"))
+    solid = F.char_length(F.regexp_replace(text, SPACES, ""))
+    classes = docs.select(lang.alias("lang"), text.alias("t"), _marked(text).alias("marked"), solid.alias("solid"))
+    classes = classes.select("lang", _class_counts(F.col("t"), F.col("marked"), F.col("solid")).alias("c"))
     classes = classes.select("lang", _histogram("c").alias("c"))
     classes = classes.select("lang", *(F.col("c")[i].alias(k) for i, k in enumerate(CLASSES)))
-    classes = classes.groupBy("lang").agg(*(F.sum(k).alias(k) for k in CLASSES))
+    classes = written(classes.groupBy("lang").agg(*(F.sum(k).alias(k) for k in CLASSES)), "class-counts")
     both = classes.where(F.col("lang") != POOLED).unionByName(
         classes.agg(*(F.sum(k).alias(k) for k in CLASSES)).withColumn("lang", F.lit(POOLED))
     )
@@ -172,6 +179,7 @@ def language_references(docs: DataFrame, text_col: str, lang_col: str, limits: L
         "references",
     )
     discard(counts)
+    discard(classes)
     return found
 
 
