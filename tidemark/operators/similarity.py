@@ -38,11 +38,11 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 def similarity_topk(
     queries: DataFrame, items: DataFrame, k: int, positive: bool = True, namespaces: str = "none", decimals: int | None = DECIMALS,
-    not_itself: bool = False, dim: int | None = None, groups: bool = False,
+    not_itself: bool = False, dim: int | None = None, groups: bool = False, normalise: bool = True,
 ) -> DataFrame:
     """qid, seq, score, rank: the k best ``items`` (seq, ns, vector) of each of ``queries`` (qid, ns, vector).
 
-    ``groups`` asks for the k best of each namespace of items instead of the k best of all.
+    Without ``normalise`` scores are products, for vectors that are scaled already. ``groups`` asks for the k best of each namespace of items instead of the k best of all.
 
     With ``dim``, vectors are given as bucket numbers, one for each token, and become counts in workers:
     whole numbers, so products are exact and equal texts tie exactly.
@@ -77,14 +77,14 @@ def similarity_topk(
             for first in range(0, len(t), BLOCK):
                 some = t.slice(first, BLOCK)
                 x = _matrix(some["vector"], dim)
-                yield some["seq"].to_numpy(), np.array(some["ns"].to_pylist(), object), x, _norms(x)
+                yield some["seq"].to_numpy(), np.array(some["ns"].to_pylist(), object), x, _norms(x) if normalise else np.ones(len(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
                 q, ns = _matrix(batch.column("vector"), dim), batch.column("ns").to_pylist()
-                ids, size = batch.column("qid").to_numpy(), _norms(q)
+                ids, size = batch.column("qid").to_numpy(), _norms(q) if normalise else np.ones(len(q))
                 best: list[dict[str | None, list[tuple[float, int]]]] = [{} for _ in ids]
                 for seq, own, x, norms in blocks():
                     both = np.outer(size, norms)

@@ -512,7 +512,7 @@ def relevance_gate(spark, d):
 
 
 @query("citations_to_spans", f"""
-WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem),
+WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem),
 u AS (SELECT id, unnest([2, 0, 9, 2]) AS i, unnest([0, 1, 2, 3]) AS k FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem))
 SELECT id, string_agg('part:' || l_partkey || {_HASH.format("'part ' || l_partkey")}, ',' ORDER BY k) AS spans FROM u JOIN l USING (id, i) GROUP BY id""")
 def citations_to_spans(spark, d):
@@ -774,3 +774,156 @@ def suggest_thresholds(spark, d):
     v = B.vectors(spark, d)
     pairs = v.select(F.col("seq").alias("i"), F.col("vector").alias("x")).join(v.select(F.col("seq").alias("j"), F.col("vector").alias("y")), F.col("i") < F.col("j"))
     return S.suggest(pairs.select(F.round(V.cosine(F.col("x"), F.col("y")), 9).alias("score")))
+
+
+# Events -----------------------------------------------------------------------------------------
+
+
+def _payloads(spark, d) -> DataFrame:
+    """A webhook payload of each source in turn from the rows of ``part``."""
+    p = B.table(spark, d, "part")
+    k, name, brand = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand")
+    src = F.get(F.array(*map(F.lit, ("github", "deploy", "jira", "cdc"))), F.pmod("p_partkey", F.lit(4)).cast("int"))
+    item = lambda a, v=None, kind=None: F.struct(a.alias("artifact_id"), F.lit(v).cast("string").alias("version"), F.lit(kind).cast("string").alias("kind"))
+    commit = F.struct(F.array(k).alias("added"), F.array(name, F.lit("")).alias("modified"), F.array(brand, k).alias("removed"))
+    body = (
+        F.when(src == "github", F.to_json(F.struct(k.alias("after"), F.array(commit, commit).alias("commits"))))
+        .when(src == "deploy", F.to_json(F.struct(F.when(F.col("p_size") > 5, brand).otherwise("").alias("service"), k.alias("version"))))
+        .when(src == "jira", F.to_json(F.struct(F.struct(k.alias("key"), F.struct(name.alias("updated")).alias("fields")).alias("issue"))))
+        .otherwise(F.to_json(F.struct(F.array(item(k), item(F.lit("")), item(brand, "v9", "delete")).alias("changes"))))
+    )
+    return p.select(F.col("p_partkey").alias("seq"), src.alias("source"), body.alias("payload"))
+
+
+_EVENTS = """g AS (SELECT p_partkey AS seq, unnest(list_sort(list_distinct([CAST(p_partkey AS VARCHAR), p_name, p_brand]))) AS path, CAST(p_partkey AS VARCHAR) AS version FROM part WHERE p_partkey % 4 = 0),
+all_events AS (
+    SELECT seq, 'github:' || path AS artifact_id, version, 'github.push' AS kind FROM g
+    UNION ALL SELECT p_partkey, 'deploy:' || p_brand, CAST(p_partkey AS VARCHAR), 'deploy' FROM part WHERE p_partkey % 4 = 1 AND p_size > 5
+    UNION ALL SELECT p_partkey, 'jira:' || p_partkey, p_name, 'jira.update' FROM part WHERE p_partkey % 4 = 2
+    UNION ALL SELECT p_partkey, CAST(p_partkey AS VARCHAR), '', 'cdc' FROM part WHERE p_partkey % 4 = 3
+    UNION ALL SELECT p_partkey, p_brand, 'v9', 'delete' FROM part WHERE p_partkey % 4 = 3)"""
+
+
+def _event_query(name: str, kinds: str, sources: tuple[str, ...]) -> None:
+    @query(name, f"WITH {_EVENTS} SELECT seq, artifact_id, version, kind FROM all_events WHERE kind IN ({kinds})")
+    def run(spark, d):
+        every = C.default_connectors()
+        return C.events_of(_payloads(spark, d), {s: every[s] for s in sources}).select("seq", "artifact_id", "version", "kind")
+
+
+_event_query("github_events", "'github.push'", ("github",))
+_event_query("deploy_events", "'deploy'", ("deploy",))
+_event_query("jira_events", "'jira.update'", ("jira",))
+_event_query("cdc_events", "'cdc', 'delete'", ("cdc",))
+
+
+@query("dispatch_all", f"WITH {_EVENTS} SELECT seq, artifact_id, version, kind FROM all_events")
+def dispatch_all(spark, d):
+    return C.Dispatcher().dispatch(_payloads(spark, d)).select("seq", "artifact_id", "version", "kind")
+
+
+# Store ------------------------------------------------------------------------------------------
+
+
+def _bodies(spark, d) -> DataFrame:
+    """Units of documents as JSON: some without the later fields, some no JSON at all, some without provenance."""
+    x = B.table(spark, d, "documents")
+    p = F.struct(F.lit("m").alias("model_version"), F.lit("p").alias("prompt_version"),
+                 F.array(F.struct(F.col("source").alias("artifact_id"), F.lit("v1").alias("version"), T.content_hash(F.col("text")).alias("content_hash"))).alias("source_spans"),
+                 F.array().cast("array<string>").alias("observed_edges"))
+    understanding = F.to_json(F.struct(F.col("source").alias("summary")))
+    base = [F.concat(F.lit("cog:"), "doc_id").alias("id"), F.col("lang").alias("namespace"), F.col("text").alias("query"), understanding.alias("understanding")]
+    old, new = F.to_json(F.struct(*base, p.alias("provenance"))), F.to_json(F.struct(*base, p.alias("provenance"), F.lit("dirty").alias("status"), F.col("n_chars").alias("hits")))
+    n = F.col("doc_id") % 4
+    body = F.when(n == 0, old).when(n == 1, new).when(n == 2, F.to_json(F.struct(*base))).otherwise("{broken")
+    return x.select("doc_id", body.alias("body"))
+
+
+@query("serde_roundtrip", f"""
+SELECT 'cog:' || doc_id AS id, lang AS namespace, md5(text) AS query, {_HASH.format('text')} AS span_hash, CASE doc_id % 4 WHEN 1 THEN 'dirty' ELSE 'fresh' END AS status,
+CAST(CASE doc_id % 4 WHEN 1 THEN n_chars ELSE 0 END AS BIGINT) AS hits FROM documents WHERE doc_id % 4 < 2""")
+def serde_roundtrip(spark, d):
+    units = U.from_json(U.to_json(U.from_json(_bodies(spark, d))))
+    return units.select("id", "namespace", F.md5("query").alias("query"), F.col("provenance.source_spans")[0]["content_hash"].alias("span_hash"), "status", "hits")
+
+
+@query("legacy_backfill", f"""
+WITH t AS (SELECT doc_id, unnest({_tok('source')}) AS t FROM documents WHERE doc_id % 4 < 2), b AS (SELECT doc_id, {_BUCKET} AS bucket, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf * tf) AS n FROM b GROUP BY doc_id)
+SELECT 'cog:' || doc_id AS id, bucket, round(tf / sqrt(n), 6) AS weight FROM b JOIN n USING (doc_id)""")
+def legacy_backfill(spark, d):
+    units = U.from_json(_bodies(spark, d)).where(F.size("understanding_embedding") == 0)
+    digest = units.select("id", T.digest_text(F.get_json_object("understanding", "$.summary"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"),
+                                              F.lit(None).cast("map<string,string>")).alias("digest"))
+    rows = V.hashed_vectors(digest, ["id"], "digest").select("id", F.posexplode("vector").alias("bucket", "weight"))
+    return rows.where("weight > 0").select("id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+# Sequences and streams --------------------------------------------------------------------------
+
+
+@query("benchmark_report", """
+SELECT * FROM (VALUES ('naive', 10::BIGINT, 10::BIGINT, 0::BIGINT, 70::BIGINT, 1.0::DOUBLE, 0.0::DOUBLE), ('no_invalidation', 10, 8, 2, 35, 0.8, 0.2),
+('cache', 10, 10, 0, 49, 1.0, 0.0)) AS t(system, reads, correct, stale, cost_tokens, accuracy, stale_rate)""")
+def benchmark_report(spark, d):
+    from .benchmark import run_benchmark
+
+    return run_benchmark(spark)
+
+
+def replay_log(spark, d) -> DataFrame:
+    """User turns as reads, with what retrieval gives them, and changes of documents among them."""
+    from ..streaming.replay import spread
+
+    turns = B.turns(spark, d).withColumn("namespace", F.coalesce("namespace", F.lit("")))
+    corpus = B.corpus(spark, d)
+    found = retrievers.CorpusTable(corpus, 5).retrieve(turns.select("qid", "query", F.nullif("namespace", F.lit("")).alias("namespace")))
+    chunk = F.struct("artifact_id", "text", "version")
+    chunks = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", chunk.alias("c")))), lambda x: x["c"]).alias("chunks"))
+    none = F.lit(None).cast("string")
+    reads = turns.join(chunks, "qid", "left").select(
+        "namespace", F.col("qid").alias("seq"), F.lit("read").alias("kind"), "query", "chunks",
+        none.alias("artifact_id"), none.alias("content_hash"), none.alias("version"), none.alias("change_kind"),
+    )
+    kind = chunks.schema["chunks"].dataType
+    changes = corpus.select(
+        (F.col("seq") * 20 + 7).alias("seq"), F.lit("change").alias("kind"), none.alias("query"), F.lit(None).cast(kind).alias("chunks"), "artifact_id",
+        F.when(F.col("seq") % 3 == 0, T.content_hash(F.col("text"))).otherwise(F.lit("")).alias("content_hash"), F.lit("v2").alias("version"),
+        F.when(F.col("seq") % 10 == 9, "delete").otherwise("update").alias("change_kind"),
+    )
+    return reads.unionByName(spread(changes, turns.select("namespace")))
+
+
+@query("replay_exact")
+def replay_exact(spark, d):
+    from ..streaming.replay import replay
+
+    return replay(replay_log(spark, d))
+
+
+@query("stream_invalidation", SQL["change_actions"])
+def stream_invalidation(spark, d):
+    from ..base import scratch_path
+    from ..streaming.changes import stream_actions
+
+    folder = scratch_path(spark, "stream")
+    B.part_changes(spark, d).write.parquet(f"{folder}/in")
+    changes = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    stream_actions(changes, B.order_spans(spark, d), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_seq", "unit", "action")
+
+
+@query("read_batch")
+def read_batch(spark, d):
+    """User turns against units built from earlier turns' texts: outcome, unit and evidence of each."""
+    from .cache import read_batch as run
+
+    turns = B.turns(spark, d)
+    old = turns.where("turn = 0").select(F.col("qid").alias("unit_seq"), F.coalesce("namespace", F.lit("")).alias("namespace"), "query")
+    units = V.hashed_vectors(old, ["unit_seq", "namespace", "query"], "query").select(
+        "unit_seq", "namespace", T.unit_id(F.col("namespace"), F.col("query")).alias("id"), F.when(F.col("unit_seq") % 3 == 0, "dirty").otherwise("fresh").alias("status"),
+        F.col("vector").alias("seed"), F.col("vector").alias("understanding"), F.array("vector").alias("claim_vectors"),
+        F.array(F.struct(F.lit("turn").alias("artifact_id"), F.col("query").alias("text"), F.lit("v1").alias("version"))).alias("evidence"),
+    )
+    results, _ = run(turns, units, retrievers.CorpusTable(B.corpus(spark, d), 5))
+    return results.select("qid", "outcome", "unit_id", F.round("confidence", 6).alias("confidence"), "escalated", F.size("evidence").alias("n_evidence"))
