@@ -43,8 +43,8 @@ class ContextCache:
         settings: Settings | None = None, store: UnitStore | None = None, clock: Callable[[], float] = time.time,
     ):
         self.spark, self.store, self.pending = spark, store, []
-        self.engine = Engine(as_function(spark, retriever), synthesizer, embedder, settings, clock, self._keep if store else None)
-        if store:
+        self.engine = Engine(as_function(spark, retriever), synthesizer, embedder, settings, clock, self._keep if store is not None else None)
+        if store is not None:
             rows = store.all().orderBy("place").drop("place").collect()  # the units of one application's cache
             for r in rows:
                 unit = Unit.of_row(r.asDict(recursive=True))
