@@ -224,7 +224,10 @@ def quality_rules(
         "word_distance", F.when(judged, _distance(_whole(F.col("_p")), _whole(F.col("common_q")), noise))
     )
     over = (F.col("class_distance") > limits.class_distance) | (F.col("word_distance") > limits.word_distance)
-    kept = ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))
+    # Always true, but not deterministic to the optimizer: a filter on ``kept`` then stays above this projection.
+    # Pushed below, its whole expression would be copied there and computed anew for every use.
+    here = F.monotonically_increasing_id() >= 0
+    kept = ~F.col("base_failed") & ~F.coalesce(over, F.lit(False)) & here
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return df.withColumn("kept", kept).select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in {*counts, "class_distance", "word_distance", "kept"}),
