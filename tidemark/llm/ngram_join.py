@@ -97,8 +97,8 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
-    """A bit for each of 64 to 65,536 buckets, at least twice the set's size: whether it holds an odd number."""
-    bits = 1 << min(16, max(6, int(2 * len(grams) - 1).bit_length() if len(grams) else 6))
+    """A bit for each of 64 to 16,384 buckets, at least the set's size up to there: whether it holds an odd number."""
+    bits = 1 << min(14, max(6, (len(grams) - 1).bit_length()))
     odd = np.bincount(((grams >> _U(9)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
