@@ -35,12 +35,12 @@ from .common import ship, written
 class Settings:
     """``sample``: vectors, on average, that codebooks are fitted on."""
 
-    books: int = 8
+    books: int = 12
     words: int = 256
-    beam: int = 8
+    beam: int = 4
     sample: int = 8192
-    iterations: int = 8
-    rerank: int = 256
+    iterations: int = 6
+    rerank: int = 2048
     block: int = 65_536
     query_block: int = 256
 
