@@ -42,6 +42,7 @@ class Settings:
     sure: float = 0.95
     held_out: float = 0.25
     keep_at: float = 0.5
+    penalty: float = 2e-2
 
 
 def text_features(texts: list[str | None]) -> np.ndarray:
@@ -149,7 +150,8 @@ def co_train(
         y = np.concatenate([label[~held], np.fromiter(given[v].values(), np.float64, len(rows))])
         weight = np.concatenate([np.ones(len(views[v])), np.full(len(rows), 0.5)])
         share = max(1e-3, float((weight * y).sum() / weight.sum()))
-        return fit_logistic(x, y, weight * np.where(y == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share)))
+        even = weight * np.where(y == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share))
+        return fit_logistic(x, y, even, penalty=settings.penalty * max(1.0, 1000 / len(y)))
 
     weights = [fit(0), fit(1)]
     for _ in range(settings.rounds):
