@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .tokens import KNOWN, PieceEncoder, steps
+from .tokens import PieceEncoder, steps
 
 #: Fixed: how the byte-level splitter cuts text. The second says the same for Python's faster module,
 #: for texts without the characters (third) on whose class the modules differ.
@@ -46,10 +46,43 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Bytes of text worked on at once, and words that a worker keeps: words are objects here, so fewer than elsewhere.
+BPE_STEP, BPE_KNOWN = 3_000_000, 200_000
+
+
+def _token_bytes(config: dict) -> list[bytes]:
+    """The bytes of each id, special tokens included."""
+    letters, vocab, added = byte_letters(), config["model"]["vocab"], config["added_tokens"]
+    out = [b""] * (max([*vocab.values(), *(x["id"] for x in added)]) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(letters[c] for c in token)
+    for x in added:
+        out[x["id"]] = x["content"].encode()
+    return out
+
+
+class ByteDecoder:
+    """Decodes ids of a byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            all_bytes = _token_bytes(json.load(f))
+        self.sizes = np.fromiter(map(len, all_bytes), np.int64, len(all_bytes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(all_bytes), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)]
+        return raw.tobytes().decode("utf-8", "replace")
+
+
 class BytePairEncoder(PieceEncoder):
-    """Encodes and decodes with a byte-level BPE vocabulary file of the tokenizers library."""
+    """Encodes with a byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, known: int = KNOWN):
+    def __init__(self, path: str, known: int = BPE_KNOWN):
         super().__init__(known)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
@@ -57,12 +90,9 @@ class BytePairEncoder(PieceEncoder):
         plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
         if model["type"] != "BPE" or not plain or config.get("normalizer") or model.get("ignore_merges"):
             raise ValueError(f"{path} is not a byte-level BPE vocabulary of the kind this encoder reads")
-        letters = byte_letters()
         vocab = model["vocab"]
-        size = max([*vocab.values(), *(x["id"] for x in config["added_tokens"])]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(letters[c] for c in token)
+        self.bytes_of = _token_bytes(config)
+        size = len(self.bytes_of)
         # Rank 0 for single bytes, then by merge: what has a lower rank was made earlier.
         self.rank, self.left, self.right = np.zeros(size, np.int64), np.arange(size), np.arange(size)
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
@@ -82,15 +112,9 @@ class BytePairEncoder(PieceEncoder):
         self.added = {x["content"]: x["id"] for x in config["added_tokens"]}
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in config["added_tokens"]):
             raise ValueError(f"{path} has special tokens that take blanks with them")
-        for content, i in self.added.items():
-            self.bytes_of[i] = content.encode()
         names = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
         self.specials = re.compile(f"({names})") if names else None
         self.plain, self.general, self.odd = re.compile(PLAIN_SPLITTER), regex.compile(SPLITTER), re.compile(NOT_PLAIN)
-        sizes = np.fromiter(map(len, self.bytes_of), np.int64, size)
-        self.byte_sizes, self.byte_starts = sizes, np.cumsum(sizes) - sizes
-        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-
     def exact(self, raw: bytes) -> list[int]:
         """Ids of a word by merging: always the pair merged earliest in training, leftmost first."""
         ids = [self.single[b] for b in raw]
@@ -181,13 +205,6 @@ class BytePairEncoder(PieceEncoder):
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
         return self.gather(pa.array(chain.from_iterable(split), pa.string(), size=int(offsets[-1])), offsets)
 
-    def decode(self, ids: np.ndarray) -> str:
-        sizes = self.byte_sizes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        raw = self.all_bytes[np.repeat(self.byte_starts[ids] - (ends - sizes), sizes) + np.arange(total)]
-        return raw.tobytes().decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def byte_encoder(path: str) -> BytePairEncoder:
@@ -195,6 +212,12 @@ def byte_encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)
 
 
+@lru_cache(maxsize=2)
+def byte_decoder(path: str) -> ByteDecoder:
+    """This worker's decoder for a vocabulary file."""
+    return ByteDecoder(path)
+
+
 def _schema(df: DataFrame, but: set[str], more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in but] + [more])
 
@@ -208,7 +231,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_encoder(vocabulary)
         for batch in batches:
-            for part in steps(batch, text_col):
+            for part in steps(batch, text_col, BPE_STEP):
                 ids, sizes = bpe.encode(part.column(text_col))
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
                 own = pa.array([raw[e - 4 * n : e] for e, n in zip(ends, sizes.tolist())], pa.binary())
@@ -226,9 +249,9 @@ def decode(encoded: DataFrame, vocabulary: str, text_col: str = "text") -> DataF
     kept = [c for c in encoded.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_encoder(vocabulary)
+        bpe = byte_decoder(vocabulary)
         for batch in batches:
-            for part in steps(batch, "ids", 16_000_000):
+            for part in steps(batch, "ids", 2 * BPE_STEP):
                 texts = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text_col]

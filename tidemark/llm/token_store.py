@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, scratch_path, with_text, written
+from .common import discard, release, scratch_path, with_text, written
 from .tokens import encoder, steps
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 8, 32, 2048
@@ -249,6 +249,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     roots = [bytes.fromhex(x["root"]) for x in manifest["recipes"]]
     if merkle(roots).hex() != manifest["root"]:
         raise ValueError("the manifest's root is not that of its recipe files")
+    if not roots:
+        return spark.createDataFrame([], f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
     files = {x["part"]: (x["first"], bytes.fromhex(x["root"])) for x in manifest["recipes"]}  # one a recipe file
 
     def parse_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,4 +380,5 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` to a new store in the shared folder and read it back."""
     folder = scratch_path(docs.sparkSession, "store")
     write_store(docs, folder, vocabulary, end_id)
+    release(docs.sparkSession)
     return read_store(docs.sparkSession, folder)
