@@ -7,7 +7,7 @@ block. Either way each task keeps k rows a query, and no pair leaves a task unle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +36,9 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def similarity_topk(
-    queries: DataFrame, items: DataFrame, k: int, positive: bool = True, namespaces: str = "none", decimals: int | None = DECIMALS,
-    not_itself: bool = False, dim: int | None = None, groups: bool = False, normalise: bool = True,
-) -> DataFrame:
-    """qid, seq, score, rank: the k best ``items`` (seq, ns, vector) of each of ``queries`` (qid, ns, vector).
-
-    Without ``normalise`` scores are products, for vectors that are scaled already. ``groups`` asks for the k best of each namespace of items instead of the k best of all.
-
-    With ``dim``, vectors are given as bucket numbers, one for each token, and become counts in workers:
-    whole numbers, so products are exact and equal texts tie exactly.
-
-    ``positive`` asks for scores over 0. ``namespaces``: "none" compares all; "equal" asks for the same
-    namespace; "visible" lets queries without namespace see all and items without one be seen by all.
-    """
-    spark = queries.sparkSession
-    ship(spark)
-    kind = "array<double>" if dim is None else "array<int>"
+def _item_blocks(items: DataFrame, dim: int | None, normalise: bool) -> Callable[[], Iterator[tuple]]:
+    """A function for workers that yields (seq, ns, matrix, norms) of the items, block by block."""
+    spark, kind = items.sparkSession, "array<double>" if dim is None else "array<int>"
     items = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast(kind).alias("vector"))
     shape = items.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()
     small = shape["n"] * (8 if dim is None else 4) <= BROADCAST_BYTES
@@ -79,6 +65,28 @@ def similarity_topk(
                 x = _matrix(some["vector"], dim)
                 yield some["seq"].to_numpy(), np.array(some["ns"].to_pylist(), object), x, _norms(x) if normalise else np.ones(len(x))
 
+    return blocks
+
+
+def similarity_topk(
+    queries: DataFrame, items: DataFrame, k: int, positive: bool = True, namespaces: str = "none", decimals: int | None = DECIMALS,
+    not_itself: bool = False, dim: int | None = None, groups: bool = False, normalise: bool = True,
+) -> DataFrame:
+    """qid, seq, score, rank: the k best ``items`` (seq, ns, vector) of each of ``queries`` (qid, ns, vector).
+
+    Without ``normalise`` scores are products, for vectors that are scaled already. ``groups`` asks for the k best of each namespace of items instead of the k best of all.
+
+    With ``dim``, vectors are given as bucket numbers, one for each token, and become counts in workers:
+    whole numbers, so products are exact and equal texts tie exactly.
+
+    ``positive`` asks for scores over 0. ``namespaces``: "none" compares all; "equal" asks for the same
+    namespace; "visible" lets queries without namespace see all and items without one be seen by all.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    kind = "array<double>" if dim is None else "array<int>"
+    blocks = _item_blocks(items, dim, normalise)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
@@ -111,3 +119,24 @@ def similarity_topk(
 
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast(kind).alias("vector"))
     return asked.mapInArrow(run, "qid bigint, seq bigint, score double, rank int")
+
+
+def pair_scores(items: DataFrame, decimals: int = DECIMALS) -> DataFrame:
+    """(score, c): how many pairs of ``items`` (seq, ns, vector) have each cosine, rounded; pairs stay in workers."""
+    ship(items.sparkSession)
+    blocks = _item_blocks(items, None, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                q, ids = _matrix(batch.column("vector")), batch.column("seq").to_numpy()
+                size = _norms(q)
+                for seq, _, x, norms in blocks():
+                    both = np.outer(size, norms)
+                    score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0), decimals)
+                    found, c = np.unique(score[ids[:, None] < seq[None, :]] + 0.0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c.astype(np.int64))], ["score", "c"])
+
+    asked = items.select(F.col("seq").cast("long").alias("seq"), F.col("vector").cast("array<double>").alias("vector"))
+    return asked.mapInArrow(run, "score double, c bigint").groupBy("score").agg(F.sum("c").alias("c"))

@@ -50,14 +50,24 @@ def calibrate(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 
 
 def suggest(scores: DataFrame) -> DataFrame:
-    """Thresholds over the 95th of 100 parts of all pair ``score``s: an element of the list, not interpolated."""
-    counted = scores.groupBy("score").agg(F.count("*").alias("c"))
-    # Distinct rounded scores are few however many pairs there are; their running count finds the place.
-    upto = F.sum("c").over(Window.orderBy("score"))
-    total = scores.agg(F.count("*").alias("n"))
-    placed = counted.withColumn("upto", upto).crossJoin(F.broadcast(total))  # one row
-    at = F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n")))
-    p95 = placed.where(F.col("upto") > at).agg(F.min("score").alias("p95"))
+    """Thresholds over the 95th of 100 parts of all pair ``score``s: an element of the list, not interpolated.
+
+    ``scores`` has a row a pair, or counts in a column c. The place is found by counts in classes of a
+    thousandth first, then in the one class that holds it: no task sees the whole list.
+    """
+    counted = scores if "c" in scores.columns else scores.groupBy("score").agg(F.count("*").alias("c"))
+    counted = counted.withColumn("class", F.floor(F.col("score") * 1000))
+    classes = counted.groupBy("class").agg(F.sum("c").alias("k")).orderBy("class").collect()  # about 2,000 rows at most
+    n, before, wanted = sum(r["k"] for r in classes), 0, None
+    at = min(n - 1, int(0.95 * n))
+    for r in classes:
+        if before + r["k"] > at:
+            wanted = r["class"]
+            break
+        before += r["k"]
+    inside = counted.where(F.col("class") == F.lit(wanted).cast("bigint"))
+    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("class").orderBy("score")) + F.lit(before))
+    p95 = inside.where(F.col("upto") > F.lit(at)).agg(F.min("score").alias("p95"))
     hit = F.when(F.col("p95").isNull(), 0.45).otherwise(F.bround(F.least(F.lit(0.9), F.col("p95") + 0.08), 3))
     floor = F.when(F.col("p95").isNull(), 0.4).otherwise(F.bround(F.greatest(F.lit(0.0), hit - 0.05), 3))
     return p95.select(hit.alias("hit_threshold"), floor.alias("coverage_floor"))

@@ -16,7 +16,7 @@ from ..operators import matching as M
 from ..operators import projection as P
 from ..operators import provenance as O
 from ..operators import stats as S
-from ..operators.similarity import similarity_topk
+from ..operators.similarity import pair_scores, similarity_topk
 from ..sources import connectors as C
 from ..sources import retrievers
 from ..sources import store as U
@@ -771,9 +771,7 @@ WITH s AS (SELECT round({_cos('a.embedding', 'b.embedding')}, 9) AS score, row_n
 h AS (SELECT round_even(least(0.9, score + 0.08), 3) AS hit_threshold FROM s WHERE r = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) + 1)
 SELECT hit_threshold, round_even(greatest(0, hit_threshold - 0.05), 3) AS coverage_floor FROM h""")
 def suggest_thresholds(spark, d):
-    v = B.vectors(spark, d)
-    pairs = v.select(F.col("seq").alias("i"), F.col("vector").alias("x")).join(v.select(F.col("seq").alias("j"), F.col("vector").alias("y")), F.col("i") < F.col("j"))
-    return S.suggest(pairs.select(F.round(V.cosine(F.col("x"), F.col("y")), 9).alias("score")))
+    return S.suggest(pair_scores(B.vectors(spark, d)))
 
 
 # Events -----------------------------------------------------------------------------------------
