@@ -23,7 +23,7 @@ ODD = r"[\x00-\x08\x0e-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-
 #: Marks after a word that the splitters set apart from it.
 MARKS = (".", ",", ";", ":", "!", "?")
 #: Bytes of text that are worked on at once, and pieces and words that a worker keeps.
-STEP_BYTES, KNOWN, WORDS = 8_000_000, 500_000, 200_000
+STEP_BYTES, KNOWN, WORDS = 3_000_000, 250_000, 100_000
 
 
 class PieceEncoder:
