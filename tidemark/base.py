@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -61,7 +63,12 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session's application."""
+    """Send this package to the executors' Python workers, once a session's application.
+
+    Rows here hold whole texts, so Arrow batches get ``BATCH_ROWS`` rows unless the session says otherwise.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
