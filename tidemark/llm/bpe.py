@@ -47,7 +47,7 @@ def byte_letters() -> dict[str, int]:
 
 
 #: Bytes of text worked on at once, and words that a worker keeps: words are objects here, so fewer than elsewhere.
-BPE_STEP, BPE_KNOWN = 3_000_000, 200_000
+BPE_STEP, BPE_KNOWN = 2_000_000, 120_000
 
 
 def _token_bytes(config: dict) -> list[bytes]:
