@@ -40,6 +40,8 @@ def _item_blocks(items: DataFrame, dim: int | None, normalise: bool) -> Callable
     """A function for workers that yields (seq, ns, matrix, norms) of the items, block by block."""
     spark, kind = items.sparkSession, "array<double>" if dim is None else "array<int>"
     items = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast(kind).alias("vector"))
+    if dim is not None:
+        items = written(items, "item-buckets")  # texts are cut into tokens once, for the size and for the rows
     shape = items.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()
     small = shape["n"] * (8 if dim is None else 4) <= BROADCAST_BYTES
     if small:

@@ -80,8 +80,8 @@ def hash_embedding_norms(spark, d):
 
 
 def _retrieved(spark, d, k: int, namespaces: str) -> DataFrame:
-    turns = B.turns(spark, d).select("qid", F.col("namespace").alias("ns"), V.buckets(F.col("query")).alias("vector"))
-    docs = B.corpus(spark, d).select("seq", F.col("namespace").alias("ns"), V.buckets(F.col("text")).alias("vector"))
+    turns = B.spread(B.turns(spark, d)).select("qid", F.col("namespace").alias("ns"), V.buckets(F.col("query")).alias("vector"))
+    docs = B.spread(B.corpus(spark, d)).select("seq", F.col("namespace").alias("ns"), V.buckets(F.col("text")).alias("vector"))
     best = similarity_topk(turns, docs, k, namespaces=namespaces, decimals=None, dim=V.DIM)
     return best.select("qid", F.col("seq").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
@@ -167,8 +167,7 @@ _BEST = f"""best AS (SELECT e.vec_id AS qid, unit_seq, round({_BLEND}, 9) AS sco
 
 
 def _matched(spark, d) -> DataFrame:
-    score = M.match_score(F.col("q"), F.col("seed"), F.col("understanding"))
-    return M.best_match(_reads(spark, d), _units(spark, d), score)
+    return M.best_match_by_product(_reads(spark, d), _units(spark, d))
 
 
 @query("best_match_blended", f"WITH {_UNITS}, {_BEST} SELECT e.vec_id AS qid, unit_seq, round(coalesce(score, -1), 6) AS score FROM embeddings e LEFT JOIN top ON qid = vec_id")
