@@ -100,14 +100,16 @@ def write_file(uri: str, raw: bytes) -> None:
 
 
 def _chunked(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> DataFrame:
-    """A row a document: doc_id, root, n_tokens, digests, and the chunks that its batch met first."""
+    """A row a document: doc_id, root, n_tokens, digests, and the chunks that its task met first."""
     element = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
+        met: set[bytes] = set()  # addresses that this task has given out, as far as it remembers
         for batch in batches:
             for part in steps(batch):
-                met: set[bytes] = set()
+                if len(met) > 500_000:
+                    met.clear()
                 roots, counts, digests, fresh = [], [], [], []
                 for ids in encode(part.column("text")):
                     ids = np.append(ids, np.uint32(end_id))
