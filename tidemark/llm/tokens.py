@@ -23,7 +23,7 @@ ODD = r"[\x00-\x08\x0e-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-
 #: Marks after a word that the splitters set apart from it.
 MARKS = (".", ",", ";", ":", "!", "?")
 #: Bytes of text that are worked on at once, and pieces and words that a worker keeps.
-STEP_BYTES, KNOWN, WORDS = 3_000_000, 250_000, 100_000
+STEP_BYTES, KNOWN, WORDS = 8_000_000, 400_000, 150_000
 
 
 class PieceEncoder:
@@ -111,13 +111,12 @@ class TextEncoder(PieceEncoder):
         for x in pieces:
             core, mark = (x[:-1], x[-1]) if x[-1:] in MARKS else (x, "")
             keys.append((core.lower(), mark) if core.isalpha() and max(core) < "\u0130" else (x, ""))
-        words = self.words
+        words, more = self.words, {}  # words beyond those kept are forgotten after the call
         new = [w for w in dict.fromkeys(k for pair in keys for k in pair if k) if w not in words]
         for w, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            words[w] = found.ids
-        out = [words[w] + words[m] if m else words[w] for w, m in keys]
-        if len(words) > WORDS:
-            words.clear()
+            (words if len(words) < WORDS else more)[w] = found.ids
+        of = lambda w: words[w] if w in words else more.get(w, [])
+        out = [of(w) + of(m) if m else of(w) for w, m in keys]
         return out
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
