@@ -5,7 +5,8 @@
 stage's rows written as Parquet and read again.
 
 - quality_rules: documents that the rules reject go (operator 9).
-- language_id: documents without a language, or whose text and labels don't agree on one, go (operator 6).
+- language_id: documents without a language go, also those in none of the corpus's languages, and those whose
+  text and labels don't agree on one (operator 6).
 - line_dedup: later occurrences of repeated three-line windows go from the texts; a document of which no
   word is left goes too, its lines are all in earlier documents (operator 1).
 - near_duplicates: of documents linked by five-word shingles at a similarity of 0.8, the smallest id stays
@@ -39,11 +40,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the evidence settles."""
+    """Documents whose language the evidence settles, and whose text doesn't contradict the declared one."""
     model = fit_text_model(docs)
     found = identify(docs, model, docs.columns, text_col="text", declared_col="lang", host_col="source")
     sure = F.col("detected").isNotNull() & (F.col("confidence") >= LEAST_CONFIDENCE)
-    return found.where(sure).select(*docs.columns)
+    against = (F.col("text_confidence") >= LEAST_CONFIDENCE) & (F.lower("text_detected") != F.lower(F.col("lang").cast("string")))
+    return found.where(sure & ~F.coalesce(against, F.lit(False))).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,3 +343,24 @@ def test_pipeline_stages(spark):
     found = [eval(x) for x in brute_components(few, 5, 80, 100)]
     assert kept == {i for i, _, component, _ in found if i == component}
     assert cp.pack_sequences(spark, cleaned, DATA).count() >= cleaned.count()
+
+
+def test_language_unknown_or_contradicted(spark):
+    """Planted gibberish, foreign and mislabelled texts go; texts that agree with their labels stay."""
+    import corpus_pipeline as cp
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    good = table.where("length(text) BETWEEN 1000 AND 3000").orderBy("doc_id").limit(40).collect()
+    random.seed(11)
+    noise = lambda letters: " ".join("".join(random.choices(letters, k=random.randint(2, 9))) for _ in range(120))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 4
+    planted = [noise("bcdfghjklmnpqrstvwxz"), noise("абвгдежзийклмнопрст"), noise([chr(c) for c in range(0x4E00, 0x5E00)]), finnish]
+    rows = [(900_000 + i, t, "en", "src0", len(t)) for i, t in enumerate(planted)]
+    rows += [(910_000 + i, r["text"], next(x for x in ("en", "fr") if x != r["lang"]), r["source"], r["n_chars"]) for i, r in enumerate(good[:5])]
+    more = spark.createDataFrame(rows, table.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    both = table.select(*more.columns).unionByName(more)
+    kept = {r["doc_id"] for r in cp.keep_identified(spark, both, DATA).collect()}
+    assert not kept & {r[0] for r in rows} and {r["doc_id"] for r in good} <= kept
+    model = language_id.fit_text_model(table)
+    found = language_id.identify(more.where("doc_id < 910000"), model, ["doc_id"], text_col="text", declared_col="lang", host_col="source").collect()
+    assert {(r["detected"], r["confidence"], r["text_detected"]) for r in found} == {(None, 0.0, None)}

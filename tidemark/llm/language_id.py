@@ -4,15 +4,16 @@ log P(l | row) = tempered text log-likelihood + log P(declared language | l) + l
                  + log prior of the host, up to a constant.
 
 - Text: naive Bayes over hashed character trigrams of letters, fitted on labelled texts. Trigrams of a text
-  depend on each other, so a text counts as at most ``tempered`` of them.
+  depend on each other, so a text counts as at most ``tempered`` of them. A further class, "none of these",
+  gives every trigram the same probability: a text it explains best is in no known language, whatever its labels.
 - Declared language (the html element's ``lang``, or a column) and address suffix (top-level domain and a
   two-letter first path part): their tables are counted over all rows against the text's own verdicts.
 - Host priors: counts per host are smoothed towards those of its registered domain, and these towards those
   of all rows; a row's own verdict is taken out of its host's counts. All counts are grouped aggregations.
 
 Edge cases: a row without letters has no text evidence and counts in no table; without declared language,
-suffix or host that evidence is not used; a row with no evidence at all gets a null language and confidence
-0; repeated rows are identified each; an empty table gives an empty result. ``carry`` names the columns to
+suffix or host that evidence is not used; a row with no evidence at all, or in no known language, gets a null
+language and confidence 0, and counts in no table; repeated rows are identified each; an empty table gives an empty result. ``carry`` names the columns to
 keep; others are not read and can't clash.
 """
 
@@ -132,7 +133,8 @@ def _evidence(
     rows: DataFrame, model: TextModel, settings: Settings, carry: list[str], text_col: str | None, html_col: str | None,
     url_col: str | None, declared_col: str | None, host_col: str | None,
 ) -> DataFrame:
-    """carry, declared, suffix, host, domain, own (text's verdict or null) and the text's log-likelihoods."""
+    """carry, declared, suffix, host, domain, own (text's verdict or null), own_p (its probability by the text alone),
+    foreign (the text is in no known language) and the text's log-likelihoods."""
     ship(rows.sparkSession)
     none = F.lit(None).cast("string")
     column = lambda c: F.col(f"`{c}`").cast("string") if c else none
@@ -147,7 +149,7 @@ def _evidence(
         log_p = known.value
         for batch in batches:
             for part in steps(batch):
-                declared, suffix, host, domain, own, scores = [], [], [], [], [], []
+                declared, suffix, host, domain, own, own_p, foreign, scores = [], [], [], [], [], [], [], []
                 for text, url, said, site in zip(*(part.column(c).to_pylist() for c in ("text", "url", "declared", "host"))):
                     text = text or ""
                     if html_col:
@@ -156,25 +158,32 @@ def _evidence(
                         text = page_text(text)
                     h, d, s = address(url) if url_col else (site, site, None)
                     grams = trigram_buckets(text)
-                    score = np.zeros(width)
+                    score, other = np.zeros(width), -np.inf
                     if len(grams) and width:
-                        score = log_p[grams].sum(axis=0, dtype=np.float64) * min(1.0, tempered / len(grams))
+                        counted = min(1.0, tempered / len(grams))
+                        score = log_p[grams].sum(axis=0, dtype=np.float64) * counted
+                        other = -np.log(BUCKETS) * len(grams) * counted - score.max()
                         score -= score.max()
+                    enough = len(grams) >= least and width > 0
                     declared.append(said)
                     suffix.append(s)
                     host.append(h)
                     domain.append(d)
-                    own.append(int(score.argmax()) if len(grams) >= least and width else None)
+                    foreign.append(enough and other > 0)
+                    own.append(int(score.argmax()) if enough and other <= 0 else None)
+                    own_p.append(float(1 / (np.exp(score).sum() + np.exp(other))) if enough and other <= 0 else None)
                     scores.append(score.tolist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), *(pa.array(x, pa.string()) for x in (declared, suffix, host, domain)),
-                     pa.array(own, pa.int32()), pa.array(scores, pa.list_(pa.float64()))],
-                    ["row", "declared", "suffix", "host", "domain", "own", "scores"],
+                     pa.array(own, pa.int32()), pa.array(own_p, pa.float64()), pa.array(foreign, pa.bool_()),
+                     pa.array(scores, pa.list_(pa.float64()))],
+                    ["row", "declared", "suffix", "host", "domain", "own", "own_p", "foreign", "scores"],
                 )
 
     row = source.schema["row"].dataType.simpleString()
     return source.mapInArrow(
-        run, f"row {row}, declared string, suffix string, host string, domain string, own int, scores array<double>"
+        run,
+        f"row {row}, declared string, suffix string, host string, domain string, own int, own_p double, foreign boolean, scores array<double>",
     )
 
 
@@ -194,13 +203,13 @@ def identify(
     url_col: str | None = None, declared_col: str | None = None, host_col: str | None = None,
     settings: Settings | None = None,
 ) -> DataFrame:
-    """The ``carry`` columns of each row, with detected (language), confidence, text_detected and declared."""
+    """The ``carry`` columns of each row, with detected (language), confidence, text_detected, text_confidence and declared."""
     settings = settings or Settings()
     width = len(model.languages)
     if not width:
         kept = [F.col(f"`{c}`") for c in carry]
         none = F.lit(None).cast("string")
-        return rows.select(*kept, none.alias("detected"), F.lit(0.0).alias("confidence"), none.alias("text_detected"), none.alias("declared"))
+        return rows.select(*kept, none.alias("detected"), F.lit(0.0).alias("confidence"), none.alias("text_detected"), none.cast("double").alias("text_confidence"), none.alias("declared"))
     found = written(_evidence(rows, model, settings, carry, text_col, html_col, url_col, declared_col, host_col), "evidence")
     slim = found.select("declared", "suffix", "host", "domain", "own")
     overall = list(_counted(slim, None, width).first()["c"])  # one row
@@ -231,13 +240,14 @@ def identify(
     out = out.withColumn("_total", total).withColumn("_most", F.array_max("_total"))
     weights = F.aggregate(F.transform("_total", lambda x: F.exp(x - F.col("_most"))), F.lit(0.0), lambda s, x: s + x)
     names = F.array(*(F.lit(x) for x in model.languages))
-    any_evidence = F.coalesce(F.col("own").isNotNull() | F.col("declared_p").isNotNull() | F.col("suffix_p").isNotNull() | F.col("host_counts").isNotNull(), F.lit(False))
+    any_evidence = F.coalesce(F.col("own").isNotNull() | F.col("declared_p").isNotNull() | F.col("suffix_p").isNotNull() | F.col("host_counts").isNotNull(), F.lit(False)) & ~F.col("foreign")
     best = F.get(names, F.array_position("_total", F.col("_most")).cast("int") - 1)
     return out.select(
         *(F.col("row").getField(c).alias(c) for c in carry),
         F.when(any_evidence, best).alias("detected"),
         F.when(any_evidence, 1 / weights).otherwise(F.lit(0.0)).alias("confidence"),
         F.get(names, F.col("own")).alias("text_detected"),
+        F.col("own_p").alias("text_confidence"),
         F.col("declared"),
     )
 
