@@ -4,7 +4,7 @@
 ``docs`` with the columns of documents, the last one the packed pieces. ``run`` applies them in order, each
 stage's rows written as Parquet and read again.
 
-- quality_rules: documents that the rules reject go (operator 9).
+- quality_rules: documents that the rules reject go (operator 9, here judging by divergence from 50 words on).
 - language_id: documents without a language go, also those in none of the corpus's languages, and those whose
   text and labels don't agree on one (operator 6).
 - line_dedup: later occurrences of repeated three-line windows go from the texts; a document of which no
@@ -27,7 +27,7 @@ from tidemark.llm.language_id import fit_text_model, identify
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import Join, ngram_join
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.quality_rules import BASE_WORDS, Limits, quality_rules
 from tidemark.llm.queries import tokenizer_file
 
 #: Below this probability a document's language counts as unknown.
@@ -35,8 +35,8 @@ LEAST_CONFIDENCE = 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that pass the quality rules; whatever passes the base rule on words is judged by divergence too."""
+    return quality_rules(docs, limits=Limits(min_words=BASE_WORDS)).where("kept").select(*docs.columns)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -364,3 +364,19 @@ def test_language_unknown_or_contradicted(spark):
     model = language_id.fit_text_model(table)
     found = language_id.identify(more.where("doc_id < 910000"), model, ["doc_id"], text_col="text", declared_col="lang", host_col="source").collect()
     assert {(r["detected"], r["confidence"], r["text_detected"]) for r in found} == {(None, 0.0, None)}
+
+
+def test_pipeline_judges_short_texts(spark):
+    """Junk of 50 to 99 words goes; documents of that length labelled good stay."""
+    import corpus_pipeline as cp
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    random.seed(5)
+    junk = [" ".join("".join(random.choices("rmiuecodl", k=4)) + random.choice(["$$$", "%%%", "&&&"]) for _ in range(n)) for n in (50, 60, 99)]
+    rows = [(900_000 + i, t, "en", "src0", len(t)) for i, t in enumerate(junk)]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
+    texts = {r["doc_id"]: r["text"] for r in table.collect() if r["doc_id"] in good}
+    short = {i for i, t in texts.items() if t and 50 <= len(t.split()) < 100 and len(set(t.split())) > 0.7 * len(t.split())}
+    kept = {r["doc_id"] for r in cp.keep_good(spark, table.unionByName(spark.createDataFrame(rows, table.schema)), DATA).select("doc_id").collect()}
+    assert not kept & {r[0] for r in rows}
+    assert short and short <= kept
