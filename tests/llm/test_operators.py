@@ -89,11 +89,11 @@ def test_quality_base_counts(spark):
         lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w))
 
-    got = base_counts(docs(spark, rows).drop("words")).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = base_counts(docs(spark, rows)).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for r in got.collect():
         assert tuple(r)[2:] == brute(r["text"]), r["text"]
-    kept = quality_rules(docs(spark, rows).drop("words"))
-    assert kept.count() == len(rows) and quality_rules(docs(spark, []).drop("words")).count() == 0
+    kept = quality_rules(docs(spark, rows))
+    assert kept.count() == len(rows) and quality_rules(docs(spark, [])).count() == 0
 
 
 def fuzz():
@@ -122,7 +122,7 @@ def test_text_encoder_equals_library(library):
 
 def test_bpe_edges(spark):
     path = tokenizer_file("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs(spark, EDGES).drop("ids"), path), path).collect()
+    both = bpe.decode(bpe.encode(docs(spark, EDGES), path), path).collect()
     assert sorted(repr(r["text"]) for r in both) == sorted(repr(t or "") for _, t in EDGES)
     assert bpe.encode(docs(spark, []), path).count() == 0
 

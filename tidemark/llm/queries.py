@@ -83,7 +83,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's counts and verdicts of every document."""
-    return quality_rules(_table(spark, sf_dir, "documents")).select(
+    return quality_rules(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -175,30 +175,36 @@ base AS (SELECT doc_id, lang, lw, CAST(len(w) AS BIGINT) AS n_words,
     length(regexp_replace(text, '[^!-/:-@\[-`{-~\x{00A1}-\x{00BF}\x{2010}-\x{205E}\x{3001}-\x{3003}]+', '', 'g')) AS marks
     FROM words LEFT JOIN repeats USING (doc_id)),
 spread AS (SELECT lang, unnest(lw) AS word FROM base),
-counts AS (SELECT lang, word, count(*) AS n FROM spread GROUP BY ALL
-           UNION ALL SELECT '*', word, count(*) FROM spread GROUP BY ALL),
-totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang HAVING sum(n) >= 10000),
-common AS (SELECT lang, word, n / total AS q FROM
-           (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts WHERE lang IS NOT NULL)
-           JOIN totals USING (lang) WHERE r <= 32),
-judged AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM totals) THEN lang ELSE '*' END AS ref FROM base),
-kinds AS (SELECT doc_id, ref, n_words, k, CAST(c AS DOUBLE) AS c FROM judged, LATERAL (VALUES
+counts AS (SELECT lang, word, count(*) AS n FROM spread WHERE lang IS NOT NULL GROUP BY ALL
+           UNION ALL SELECT NULL, word, count(*) FROM spread GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+common AS (SELECT c.lang, word, n / total AS q FROM
+           (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts) c
+           JOIN totals t ON t.lang IS NOT DISTINCT FROM c.lang WHERE r <= 32),
+bins AS (SELECT lang, count(*) AS k FROM common GROUP BY lang),
+sized AS (SELECT lang, count(*) AS n_docs FROM base WHERE n_words > 0 AND lang IS NOT NULL GROUP BY lang
+          UNION ALL SELECT NULL, count(*) FROM base WHERE n_words > 0),
+noise AS (SELECT b.lang, b.k AS bins, n_docs FROM bins b JOIN sized s ON s.lang IS NOT DISTINCT FROM b.lang),
+kinds AS (SELECT doc_id, lang, n_words, k, CAST(c AS DOUBLE) AS c FROM base, LATERAL (VALUES
     (0, word_chars - capitals - digits - marks), (1, capitals), (2, digits), (3, total - word_chars), (4, n_symbols),
     (5, marks - n_symbols)) AS v(k, c)),
-per_lang AS (SELECT lang, k, sum(c) AS c FROM (SELECT d.lang, k, c FROM kinds JOIN docs d USING (doc_id)
-             UNION ALL SELECT '*', k, c FROM kinds) GROUP BY lang, k),
-class_q AS (SELECT lang AS ref, k, c / sum(c) OVER (PARTITION BY lang) AS q FROM per_lang),
-class_p AS (SELECT doc_id, ref, k, c / nullif(sum(c) OVER (PARTITION BY doc_id), 0) AS p FROM kinds WHERE n_words >= 100),
+per_lang AS (SELECT lang, k, sum(c) AS c FROM (SELECT lang, k, c FROM kinds WHERE lang IS NOT NULL
+             UNION ALL SELECT NULL, k, c FROM kinds) GROUP BY lang, k),
+class_q AS (SELECT lang, k, c / sum(c) OVER (PARTITION BY lang) AS q FROM per_lang),
+class_p AS (SELECT doc_id, lang, n_words, k, c / nullif(sum(c) OVER (PARTITION BY doc_id), 0) AS p FROM kinds WHERE n_words >= 50),
 hits AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(lw) AS word FROM base) GROUP BY ALL),
-word_p AS (SELECT j.doc_id, j.n_words, c.word, coalesce(h.c, 0) / j.n_words AS p, c.q FROM judged j
-           JOIN common c ON c.lang = j.ref LEFT JOIN hits h ON h.doc_id = j.doc_id AND h.word = c.word WHERE j.n_words >= 100),
-word_all AS (SELECT doc_id, n_words, p, q FROM word_p UNION ALL
-             SELECT doc_id, n_words, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM word_p GROUP BY ALL),
-pairs AS (SELECT doc_id, 0 AS noise, 'c' AS kind, p, q FROM class_p JOIN class_q USING (ref, k)
-         UNION ALL SELECT doc_id, 32 / (8 * ln(2) * n_words), 'w', p, q FROM word_all),
+word_p AS (SELECT b.doc_id, b.lang, b.n_words, c.word, coalesce(h.c, 0) / b.n_words AS p, c.q FROM base b
+           JOIN common c ON c.lang IS NOT DISTINCT FROM b.lang
+           LEFT JOIN hits h ON h.doc_id = b.doc_id AND h.word = c.word WHERE b.n_words >= 50),
+word_all AS (SELECT doc_id, lang, n_words, p, q FROM word_p UNION ALL
+             SELECT doc_id, lang, n_words, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM word_p GROUP BY ALL),
+pairs AS (SELECT doc_id, p.lang, n_words, 'c' AS kind, p, q FROM class_p p JOIN class_q q ON q.lang IS NOT DISTINCT FROM p.lang AND q.k = p.k
+         UNION ALL SELECT doc_id, lang, n_words, 'w', p, q FROM word_all),
 distance AS (SELECT doc_id, kind, sqrt(greatest(0, sum(
     CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END
-    + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END) - max(noise))) AS d FROM pairs GROUP BY ALL),
+    + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END)
+    - max(CASE kind WHEN 'c' THEN 5 ELSE bins END * (1 / n_words + 1 / n_docs) / (8 * ln(2))))) AS d
+    FROM pairs x JOIN noise n ON n.lang IS NOT DISTINCT FROM x.lang GROUP BY ALL),
 over_limit AS (SELECT DISTINCT doc_id FROM distance WHERE d > CASE kind WHEN 'c' THEN 0.28 ELSE 0.30 END),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
