@@ -1,18 +1,22 @@
 """Whole texts to token ids, as the tokenizers library encodes them, with what repeats encoded once.
 
-Some tokenizers (their normalizer makes blanks single, their splitter drops blanks) never join text
-across blanks. There a text's ids are those of its blank-separated pieces, one after the other. Arrow
-splits a batch of texts and gives each distinct piece a number; the library encodes pieces that the
-worker has not met; numpy puts the ids together. Texts with a control or rare blank character, on
-which libraries differ, and all texts of other tokenizers, go to the library whole.
+Some tokenizers (their normalizer lower-cases and makes blanks single, their splitter drops blanks) never
+join text across what the splitter cuts. There numpy cuts the code points of many texts at once as the
+splitter does, hashes each word and looks its ids up; the library encodes words that the worker has not
+met, many in a call. Words with a character on whose lower case, composition or class libraries may differ
+go to the library one by one as they are; texts with a control or rare blank character or a special token,
+and all texts of other tokenizers, go to it whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +24,12 @@ import pyarrow.compute as pc
 
 #: Characters that send a text to the library whole.
 ODD = r"[\x00-\x08\x0e-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
-#: Marks after a word that the splitters set apart from it.
-MARKS = (".", ",", ";", ":", "!", "?")
-#: Bytes of text that are worked on at once, and pieces and words that a worker keeps.
-STEP_BYTES, KNOWN, WORDS = 8_000_000, 400_000, 150_000
+#: Fixed: how the splitter that this module follows cuts words, and the endings in it that go with an apostrophe.
+WORD_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDINGS_1 = np.array([ord(x) for x in ("s", "t", "m", "d")])
+ENDINGS_2 = np.array([ord(x[0]) << 16 | ord(x[1]) for x in ("re", "ve", "ll")])
+#: Bytes of text that are worked on at once, code points cut at once, and words that a worker keeps.
+STEP_BYTES, STEP_CHARS, KNOWN = 4_000_000, 1_000_000, 400_000
 
 
 class PieceEncoder:
@@ -77,11 +83,79 @@ class PieceEncoder:
         return ids, upto[offsets[1:]] - upto[offsets[:-1]]
 
 
-class TextEncoder(PieceEncoder):
+class KnownWords:
+    """A hash table in numpy: slots of at most ``known`` words by their 64-bit hashes, and the ids in each slot."""
+
+    def __init__(self, known: int):
+        size = 1 << max(4, (2 * known).bit_length())
+        self.known, self.mask, self.words = known, np.uint64(size - 1), 0
+        self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.starts, self.sizes = np.zeros(known, np.int64), np.zeros(known, np.int32)
+        self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key (not 0), -1 where it is not known."""
+        out = np.full(len(keys), -1, np.int64)
+        left, at = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.slots[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Keep new, distinct keys with their ids as far as there is room."""
+        n = min(len(keys), self.known - self.words)
+        if n <= 0:
+            return
+        keys, sizes = keys[:n], sizes[:n]
+        ids = ids[: int(sizes.sum())]
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        slot = np.arange(self.words, self.words + n)
+        self.starts[slot], self.sizes[slot] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used, self.words = self.used + len(ids), self.words + n
+        left, at = np.arange(n), keys & self.mask
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]  # of keys that meet here one stays, the others go on
+            mine = free & (self.keys[at] == keys[left])
+            self.slots[at[mine]] = slot[left[mine]]
+            left, at = left[~mine], (at[~mine] + np.uint64(1)) & self.mask
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+#: Kinds of code points: blank, letter, number, other, and those whose words go to the library as they are.
+BLANK, LETTER, NUMBER, OTHER, UNSURE = range(5)
+#: Code points from here on are unsure but for the marks of these ranges: what is below lower-cases to one
+#: code point, is composed already, and libraries agree on its class.
+SURE, SURE_MARKS = 0x130, ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))
+
+
+@lru_cache(maxsize=1)
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of each code point up to 0x3000, which stands for all from there on."""
+    kinds, lower = np.full(0x3001, UNSURE, np.uint8), np.arange(0x3001, dtype=np.uint32)
+    for c in (*range(SURE), *(c for a, b in SURE_MARKS for c in range(a, b))):
+        group = unicodedata.category(chr(c))[0]
+        kinds[c] = BLANK if c in (9, 10, 11, 12, 13, 32) else {"L": LETTER, "N": NUMBER}.get(group, OTHER)
+        lower[c] = ord(chr(c).lower())
+    return kinds, lower
+
+
+class TextEncoder:
     """Encodes Arrow string arrays with a vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str, known: int = KNOWN):
-        super().__init__(known)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,53 +163,151 @@ class TextEncoder(PieceEncoder):
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_piece = self._never_joins(json.load(f))
-        self.words: dict[str, list[int]] = {}
+            config = json.load(f)
+        self.by_word = self._never_joins(config)
         self.vocabulary = self.library.get_vocab_size()
+        self.special = "|".join(re.escape(x["content"]) for x in config["added_tokens"])
+        if self.by_word:
+            # For words that are normal already, with a blank between them.
+            plain = config | {"normalizer": None, "added_tokens": []}
+            plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, config["pre_tokenizer"]["pretokenizers"][-1]]}
+            self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.words = KnownWords(known)
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
     @staticmethod
     def _never_joins(config: dict) -> bool:
         normalizers = (config.get("normalizer") or {}).get("normalizers", [])
         splitters = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
         blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-        known = all(x.get("type") in ("NFC", "Lowercase") or x == blanks for x in normalizers) and blanks in normalizers
-        first = splitters[0] if splitters else {}
-        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-        return bool(known and drops and "\\s" in first["pattern"].get("Regex", "") and not config.get("post_processor"))
+        known = [x.get("type") if x != blanks else "blanks" for x in normalizers] == ["NFC", "blanks", "Lowercase"]
+        split = {"type": "Split", "pattern": {"Regex": WORD_SPLITTER}, "behavior": "Removed", "invert": True}
+        letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        return known and splitters == [split, letters] and not config.get("post_processor")
 
-    def encode_new(self, pieces: list[str]) -> list[list[int]]:
-        """Pieces that are a word of plain letters, and perhaps one mark, are that word's ids and the mark's."""
-        if not self.by_piece:
-            return [x.ids for x in self.library.encode_batch(pieces, add_special_tokens=False)]
-        keys: list[tuple[str, str]] = []
-        for x in pieces:
-            core, mark = (x[:-1], x[-1]) if x[-1:] in MARKS else (x, "")
-            keys.append((core.lower(), mark) if core.isalpha() and max(core) < "\u0130" else (x, ""))
-        words, more = self.words, {}  # words beyond those kept are forgotten after the call
-        new = [w for w in dict.fromkeys(k for pair in keys for k in pair if k) if w not in words]
-        for w, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            (words if len(words) < WORDS else more)[w] = found.ids
-        of = lambda w: words[w] if w in words else more.get(w, [])
-        out = [of(w) + of(m) if m else of(w) for w, m in keys]
-        return out
+    def _units(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and end of each unit (what the splitter cuts, or an unsure word), whether it is unsure, its hash."""
+        kinds, lower = _code_points()
+        at = np.minimum(c, 0x3000)
+        kind, low = kinds[at], np.where(c < 0x3000, lower[at], c)
+        blank = kind == BLANK
+        start = np.ones(len(c), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        start &= ~blank
+        # An apostrophe by itself takes some endings with it.
+        quote = np.flatnonzero(start[:-1] & (c[:-1] == ord("'")) & (kind[1:] == LETTER))
+        if len(quote):
+            one, two = low[quote + 1], np.where(quote + 2 < len(c), low[np.minimum(quote + 2, len(c) - 1)], 0)
+            taken = np.where(np.isin(one, ENDINGS_1), 1, np.where(np.isin(one << 16 | two, ENDINGS_2), 2, 0))
+            quote, taken = quote[taken > 0], taken[taken > 0]
+            start[quote + 1] = False
+            after = quote + 1 + taken
+            start[after[after < len(c)]] |= kind[after[after < len(c)]] == LETTER
+        unsure = np.flatnonzero(kind == UNSURE)
+        if len(unsure):
+            first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+            end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+            which = np.unique(np.searchsorted(first, unsure, "right") - 1)
+            inside = np.zeros(len(c) + 1, np.int8)
+            inside[first[which]] = 1
+            inside[end[which]] -= 1
+            inside = np.cumsum(inside[:-1]).astype(bool)
+            start[inside] = False
+            start[first[which]] = True
+            low = np.where(inside, c, low)
+        first = np.flatnonzero(start)
+        end = np.flatnonzero(~blank & np.concatenate([start[1:] | blank[1:], [True]])) + 1
+        odd = inside[first] if len(unsure) else np.zeros(len(first), bool)
+        self._reach(len(c))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * self.powers[: len(c)])])
+        h = (total[end] - total[first]) * self.inverses[first] + ((end - first) << 1 | odd).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        return first, end, odd, (h ^ (h >> np.uint64(29))) | np.uint64(1 << 63)
+
+    def _reach(self, n: int) -> None:
+        """Powers of an odd number and of its inverse modulo 2 ** 64, up to n."""
+        if n > len(self.powers):
+            base = 0xD1342543DE82EF95
+            self.powers, self.inverses = (np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+            for x in (self.powers, self.inverses):
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+
+    def _encoded(self, c: np.ndarray, first: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that are not known, and how many each has."""
+        lower, sizes, usual = _code_points()[1], np.zeros(len(first), np.int64), np.flatnonzero(~odd)
+        plain, own = [], []
+        for some in np.array_split(usual, -(-len(usual) // 20_000)) if len(usual) else []:
+            long = end[some] - first[some] + 1  # with the character after it, made a blank
+            ends = np.cumsum(long)
+            flat = gathered(np.append(c, 32), first[some], long)
+            flat[ends - 1] = 32
+            flat = lower[flat].astype("<u4")
+            lines = [flat[a:b].tobytes().decode("utf-32-le") for a, b in self._lines(ends)]
+            found = self.plain.encode_batch(lines, add_special_tokens=False)
+            plain += [np.array(x.ids, np.uint32) for x in found]
+            sizes[some] = np.concatenate([np.bincount(np.array(x.word_ids, np.int64)) for x in found])
+        for k in np.flatnonzero(odd).tolist():
+            word = c[first[k] : end[k]].astype("<u4").tobytes().decode("utf-32-le")
+            own.append(np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32))
+            sizes[k] = len(own[-1])
+        out, mine = np.zeros(int(sizes.sum()), np.uint32), np.repeat(odd, sizes)
+        for where, ids in ((~mine, plain), (mine, own)):
+            if ids:
+                out[where] = np.concatenate(ids)
+        return out, sizes
+
+    @staticmethod
+    def _lines(ends: np.ndarray, words: int = 500) -> list[tuple[int, int]]:
+        cut = [0, *ends[words - 1 : -1 : words].tolist(), int(ends[-1])]
+        return list(zip(cut, cut[1:]))
+
+    def _by_words(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a run of code points, and for each unit where it begins and how many ids it has."""
+        first, end, odd, keys = self._units(c)
+        slot = self.words.find(keys)
+        missing = np.flatnonzero(slot < 0)
+        starts, sizes = self.words.starts[slot], self.words.sizes[slot].astype(np.int64)
+        if not len(missing):
+            return gathered(self.words.flat, starts, sizes), first, sizes
+        new, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+        at = missing[at]
+        ids, n = self._encoded(c, first[at], end[at], odd[at])
+        sizes[missing] = n[back]
+        starts[missing] = self.words.used + (np.cumsum(n) - n)[back]
+        out = gathered(np.concatenate([self.words.flat[: self.words.used], ids]), starts, sizes)
+        self.words.add(new, n, ids)
+        return out, first, sizes
 
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.utf8_split_whitespace(texts)
-        return self.gather(lists.flatten(), lists.offsets.to_numpy())
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer("\n".join(texts).encode("utf-32-le"), "<u4")
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        ids, counts, lo = [], np.zeros(len(texts), np.int64), 0
+        while lo < len(c):
+            hi = min(len(c), lo + STEP_CHARS)
+            while hi < len(c) and c[hi] not in (10, 32):  # never within a word
+                hi += 1
+            own, first, sizes = self._by_words(c[lo:hi])
+            ids.append(own)
+            np.add.at(counts, np.searchsorted(text_ends, first + lo, "right"), sizes)
+            lo = hi
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
 
-    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids (uint32) of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
+        odd = np.ones(len(texts), bool)
+        if self.by_word:
+            odd = pc.match_substring_regex(texts, f"{ODD}|{self.special}" if self.special else ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for which, how in ((np.flatnonzero(~odd), self._pieces), (np.flatnonzero(odd), self._whole)):
+        for which, how in ((np.flatnonzero(~odd), self._plain), (np.flatnonzero(odd), self._whole)):
             if len(which):
-                ids, sizes = how(texts.take(pa.array(which)))
+                ids, sizes = how(texts.take(pa.array(which)).to_pylist())
                 for k, x in zip(which, np.split(ids, np.cumsum(sizes)[:-1])):
                     out[k] = x
         return out
