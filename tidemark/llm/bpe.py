@@ -10,7 +10,8 @@ Decoding puts tokens' bytes together and reads them as UTF-8, with U+FFFD for wh
 
 Edge cases: null or empty text has no ids; null ids decode to the empty text; texts of any length are
 encoded whole; special tokens' strings in a text become their ids, as in the tokenizers library; rows
-that repeat are encoded each; an empty table gives an empty result; other columns are kept.
+that repeat are encoded each; an empty table gives an empty result; other columns are kept, but one that
+has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -115,6 +116,7 @@ class BytePairEncoder(PieceEncoder):
         names = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
         self.specials = re.compile(f"({names})") if names else None
         self.plain, self.general, self.odd = re.compile(PLAIN_SPLITTER), regex.compile(SPLITTER), re.compile(NOT_PLAIN)
+
     def exact(self, raw: bytes) -> list[int]:
         """Ids of a word by merging: always the pair merged earliest in training, leftmost first."""
         ids = [self.single[b] for b in raw]
@@ -222,24 +224,31 @@ def _schema(df: DataFrame, but: set[str], more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in but] + [more])
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text column given way to n_tokens (long) and ids (binary: little-endian unsigned 32-bit)."""
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the text column given way to n_tokens (long) and ids (binary: little-endian unsigned 32-bit).
+
+    ``decoded_col`` asks for a column with the text that the ids decode to, made by the same workers.
+    """
     ship(docs.sparkSession)
-    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    kept = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens")]
+    docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    made = ["n_tokens", "ids"] + ([decoded_col] if decoded_col else [])
+    kept = [c for c in docs.columns if c not in (text_col, *made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_encoder(vocabulary)
+        bpe, back = byte_encoder(vocabulary), byte_decoder(vocabulary) if decoded_col else None
         for batch in batches:
             for part in steps(batch, text_col, BPE_STEP):
                 ids, sizes = bpe.encode(part.column(text_col))
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
-                own = pa.array([raw[e - 4 * n : e] for e, n in zip(ends, sizes.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(sizes, pa.int64()), own], [*kept, "n_tokens", "ids"]
-                )
-
-    schema = _schema(docs, {text_col, "ids", "n_tokens"}, "n_tokens bigint, ids binary")
+                rows = [raw[e - 4 * n : e] for e, n in zip(ends, sizes.tolist())]
+                found = [pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())]
+                if back:
+                    found.append(pa.array([back.decode(np.frombuffer(x, "<u4")) for x in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *found], [*kept, *made])
+                del ids, raw, rows, found, part
+                pa.default_memory_pool().release_unused()
+
+    schema = _schema(docs, {text_col, *made}, "n_tokens bigint, ids binary" + (f", `{decoded_col}` string" if decoded_col else ""))
     return docs.select(*(F.col(f"`{c}`") for c in kept), f"`{text_col}`").mapInArrow(run, schema)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quality_classifier
 from .ann import search
-from .bpe import decode, encode
+from .bpe import encode
 from .language_id import fit_text_model, identify
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
@@ -37,7 +37,7 @@ def tokenizer_file(name: str) -> str:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row for each document: encoded, then decoded from the ids."""
     docs, vocabulary = _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json")
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = encode(docs, vocabulary, decoded_col="text")
     return both.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
