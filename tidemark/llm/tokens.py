@@ -29,7 +29,7 @@ WORD_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENDINGS_1 = np.array([ord(x) for x in ("s", "t", "m", "d")])
 ENDINGS_2 = np.array([ord(x[0]) << 16 | ord(x[1]) for x in ("re", "ve", "ll")])
 #: Bytes of text that are worked on at once, code points cut at once, and words that a worker keeps.
-STEP_BYTES, STEP_CHARS, KNOWN = 4_000_000, 1_000_000, 400_000
+STEP_BYTES, STEP_CHARS, KNOWN = 4_000_000, 150_000, 400_000
 
 
 class PieceEncoder:
