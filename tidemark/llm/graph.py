@@ -12,8 +12,8 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b: long); a component is named by its smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b of one type); a component is named by its smallest node.
 
     Steps replace edges by edges to the smallest neighbour, linear in the edges whatever a node's degree;
     each is written to the shared folder. Nodes with only an edge to themselves are left out.
@@ -21,9 +21,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = written(edges.select(high.alias("a"), low.alias("b")).where("a <> b").distinct(), "edges")
     mark = _mark(now)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -36,7 +34,5 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         now = after
         if mark == last:
             break
-    else:
-        raise RuntimeError("components did not settle")
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -1,15 +1,18 @@
 """N-gram Jaccard join: all links between documents whose sets of word n-grams are similar enough, exactly.
 
-1. Each text becomes its set of n-gram hashes (64 bits). Texts of equal sets are one node from here on.
+1. Each text becomes its set of n-gram hashes (64 bits). Texts of equal sets are one set from here on, named
+   by a digest of it; its first 64 bits are its key while candidates are sought.
 2. Candidates. Sets are ordered globally, n-grams known to be frequent last, and two sets that link share
-   one of their first ``n - ceil(t n) + 1`` (prefix filter). Sets that share such an n-gram are compared by
-   parity sketches: the Hamming distance of two sketches is never more than the sets' difference, so a
-   distance over the limit rules a link out, exactly. What is left is connected into classes; a link never
-   leaves its class. Frequent n-grams come from a sample of texts; they change costs, never results.
+   one of their first ``n - ceil(t n) + 1`` (prefix filter; of the smaller set, one of still fewer). Those
+   n-grams, each with its set's key, are the only rows that grow with the texts; they are shuffled once. Sets
+   that share one make a group, and groups of the same sets are compared once, by parity sketches: the Hamming
+   distance of two sketches is never more than the sets' difference, so a distance over the limit rules a
+   link out, exactly. What is left is connected into classes; a link never leaves its class. Frequent n-grams
+   are counted in all texts, each worker's counts cut to those it meets often; they change costs, never results.
 3. Prefix-tree join. The sets of a class are stored in a trie, in descending frequency, and walked once for
    all of them: overlaps of the shared path are counted once, and a subtree is left where, for every set,
    the overlap so far and what its lengths leave cannot reach the threshold. Leaves give exact links.
-4. Links connect nodes into components, named by their smallest document id.
+4. Links connect sets into components, named by the smallest document id.
 
 Where an n-gram or class has more sets than a block, blocks are paired and each pair of blocks is a group
 of its own, so groups in tasks are bounded and no pair is left out.
@@ -25,10 +28,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +40,10 @@ from .common import discard, release, ship, written
 from .graph import components
 from .tokens import steps
 
-
-#: Bytes of text worked on at once: words are objects here, so less than where Arrow splits texts.
-STEP_BYTES = 2_000_000
+#: Bytes of text worked on at once, and those whose words are hashed at once.
+STEP_BYTES, HASH_BYTES = 2_000_000, 150_000
+#: Keys of sets and groups that a task remembers; what it meets again after them costs a row, no more.
+REMEMBERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -52,14 +57,15 @@ class Join:
     block: int = 4096
     class_block: int = 2000
     class_grams: int = 4_000_000
-    #: Frequent n-grams known to workers (16 bytes each), and the share of texts they are counted in.
+    #: Frequent n-grams known to workers (16 bytes each).
     frequent: int = 200_000
-    sample: int = 8
-    #: Rows up to which the table of classes is broadcast (16 bytes each); beyond it is a shuffled join.
+    #: Rows up to which the table of classes is broadcast (some 60 bytes each); beyond it is a shuffled join.
     broadcast_rows: int = 1_000_000
 
 
 _U = np.uint64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,18 +74,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    base, found = 0xB5026F5AA96619E9, []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(n, b, _U)
+        x[0] = 1
+        found.append(np.multiply.accumulate(x))
+    return found[0], found[1]
+
+
+def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes (uint64) of each text. Only A-Z are lower-cased, blanks are ASCII's."""
-    split = [(x or "").encode().lower().split() for x in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    if not total:
-        return [np.zeros(0, _U)] * len(texts)
-    coded = pa.array((w for x in split for w in x), pa.binary(), size=total).dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    words = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), _U, len(coded.dictionary))
-    words = words[coded.indices.to_numpy()]
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return []
+    _, places, data = texts.buffers()
+    places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    out: list[np.ndarray] = []
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(places, places[first] + HASH_BYTES, "right")) - 1)
+        out += _gram_sets(data[places[first] : places[end]], places[first : end + 1] - places[first], n)
+        first = end
+    return out
+
+
+def _gram_sets(data: np.ndarray, places: np.ndarray, n: int) -> list[np.ndarray]:
+    if not len(data):
+        return [np.zeros(0, _U)] * (len(places) - 1)
+    blank = _SPACE[data]
+    border = np.zeros(len(data) + 1, bool)  # before each byte: does a text begin there
+    border[places] = True
+    start = ~blank & np.concatenate([[True], blank[:-1] | border[1:-1]])
+    first = np.flatnonzero(start)
+    end = np.flatnonzero(~blank & np.concatenate([blank[1:] | border[1:-1], [True]])) + 1
+    power, inverse = _powers(1 << max(18, (len(data) - 1).bit_length()))
+    total = np.concatenate([np.zeros(1, _U), np.cumsum((_LOWER[data].astype(_U) + _U(1)) * power[: len(data)])])
+    words = _mixed((total[end] - total[first]) * inverse[first] + (end - first).astype(_U))
 
     def chained(first: int, k: int, count: int) -> np.ndarray:
         h = np.full(count, k, _U)
@@ -87,15 +121,22 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
             h = _mixed(h * _U(0x9E3779B97F4A7C15) + words[first + i : first + i + count])
         return h
 
-    grams = chained(0, n, total - n + 1) if total >= n else np.zeros(0, _U)
-    out = []
-    for end, size in zip(ends.tolist(), sizes.tolist()):
-        first = end - size
-        own = grams[first : end - n + 1] if size >= n else chained(first, size, 1) if size else grams[:0]
-        out.append(np.unique(own))
+    grams = chained(0, n, len(words) - n + 1) if len(words) >= n else np.zeros(0, _U)
+    out, upto = [], np.searchsorted(first, places).tolist()
+    for a, b in zip(upto, upto[1:]):
+        own = np.sort(grams[a : b - n + 1]) if b - a >= n else chained(a, b - a, 1) if b > a else grams[:0]
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)
     return out
 
 
+def set_id(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def _key(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
 def parity_sketch(grams: np.ndarray) -> bytes:
     """A bit for each of 64 to 16,384 buckets, at least the set's size up to there: whether it holds an odd number."""
     bits = 1 << min(14, max(6, (len(grams) - 1).bit_length()))
@@ -111,12 +152,12 @@ def _folded(sketch: bytes, words: int) -> np.ndarray:
 
 
 class _Sets:
-    """Union-find over node ids."""
+    """Union-find over set keys."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def top(self, x: int) -> int:
+    def top(self, x):
         root = x
         while (y := self.up.get(root, root)) != root:
             root = y
@@ -125,7 +166,7 @@ class _Sets:
             x = y
         return root
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x, y) -> bool:
         x, y = self.top(x), self.top(y)
         if x == y:
             return False
@@ -133,132 +174,257 @@ class _Sets:
         return True
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows of equal keys, of a stream sorted by them."""
-    left: list[pa.Table] = []
-    last = None
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[tuple]:
+    """The columns ``keys`` (one value each) and ``names`` (arrays, lists of binary ones) of each run of rows of equal
+    keys, of a stream sorted by them."""
+    every = keys + names
+    left: list = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        columns = [table[k].to_numpy() for k in keys]
-        change = np.zeros(len(table) - 1, bool)
-        for c in columns:
+        now = [x.to_pylist() if pa.types.is_binary(x.type) else x.to_numpy() for x in (batch.column(c) for c in every)]
+        if left:
+            now = [a + b if isinstance(a, list) else np.concatenate([a, b]) for a, b in zip(left, now)]
+        change = np.zeros(len(now[0]) - 1, bool)
+        for c in now[: len(keys)]:
             change |= c[1:] != c[:-1]
-        at = [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
+        at = [0, *(np.flatnonzero(change) + 1).tolist()]
         for first, end in zip(at, at[1:]):
-            key = tuple(c[first] for c in columns)
-            if left and key != last:
-                yield pa.concat_tables(left)
-                left = []
-            left.append(table.slice(first, end - first))
-            last = key
+            yield (*(c[first] for c in now[: len(keys)]), *(c[first:end] for c in now[len(keys) :]))
+        left = [c[at[-1] :] for c in now]
     if left:
-        yield pa.concat_tables(left)
+        yield (*(c[0] for c in left[: len(keys)]), *left[len(keys) :])
 
 
-def _sampled_frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that a step of some worker found in many sampled texts, sorted, and their counts."""
+def _merged_counts(grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal n-grams added up; of more than twice ``most``, the ``most`` largest."""
+    grams, back = np.unique(grams, return_inverse=True)
+    counts = np.bincount(back, counts, len(grams)).astype(np.int64)
+    if len(grams) > 2 * most:
+        keep = np.sort(np.argpartition(counts, len(counts) - most)[len(counts) - most :])
+        grams, counts = grams[keep], counts[keep]
+    return grams, counts
+
+
+def _described(docs: DataFrame, join: Join) -> DataFrame:
+    """For each document (is_doc): doc_id, n, its set's name and key, and the sketch of a set that its task meets first;
+    further rows have as key and n an n-gram that many texts of a task hold and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["is_doc", "doc_id", "n", "set_id", "key", "sketch"]
+        grams, counts, texts = np.zeros(0, _U), np.zeros(0, np.int64), 0
+        met: set[int] = set()
         for batch in batches:
             for part in steps(batch, most=STEP_BYTES):
-                sets = gram_sets(part.column("text").to_pylist(), join.n)
-                grams, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, _U), np.zeros(0, int))
-                many = counts >= max(4, len(sets) // 500)
+                sets = gram_sets(part.column("text"), join.n)
+                found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (grams, counts)
+                grams, counts = _merged_counts(np.concatenate([grams, found[n > 1]]), np.concatenate([counts, n[n > 1]]), join.frequent)
+                texts += len(sets)
+                ids = [set_id(x) if len(x) else None for x in sets]
+                keys = [None if x is None else _key(x) for x in ids]
+                sketches = []
+                for x, key in zip(sets, keys):
+                    sketches.append(None if key is None or key in met else parity_sketch(x))
+                    met.add(key)
+                if len(met) > REMEMBERED:
+                    met.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["gram", "n"]
-                )
-
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(join.sample)) == 0).select("text")
-    found = some.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "gram").limit(join.frequent).toArrow()
-    grams = rows["gram"].to_numpy().astype(np.int64).view(_U)
+                    [pa.array([True] * len(sets)), part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()),
+                     pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names,
+                )
+        many = counts >= max(4, texts // 500)
+        grams, counts = grams[many].view(np.int64), counts[many].astype(np.int32)
+        none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([False] * len(grams), pa.bool_()), none[0], pa.array(counts), none[1], pa.array(grams), none[2]], names
+        )
+
+    return docs.mapInArrow(run, "is_doc boolean, doc_id bigint, n int, set_id binary, key bigint, sketch binary")
+
+
+def _prefixes(docs: DataFrame, described: DataFrame, join: Join) -> DataFrame:
+    """(gram, key, n) of the first n-grams of each set, once a task; n is negative where the n-gram is beyond those
+    that the smaller of two linking sets shares, part is over 0 where an n-gram is known to be in over a block of sets."""
+    counted = described.where("NOT is_doc").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "key").limit(join.frequent).toArrow()
+    grams = rows["key"].to_numpy().astype(np.int64).view(_U)
     order = np.argsort(grams)
-    return grams[order], rows["n"].to_numpy().astype(np.int64)[order]
-
-
-def _features(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n, set_id, prefix and sketch of each document."""
-    frequent, counts = _sampled_frequent(docs, join)
-    known = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # at most ``frequent`` pairs
+    pairs = grams[order], rows["n"].to_numpy().astype(np.int64)[order]
+    known = docs.sparkSession.sparkContext.broadcast(pairs)  # at most ``frequent`` pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = known.value
+        met: set[int] = set()
         for batch in batches:
             for part in steps(batch, most=STEP_BYTES):
-                sizes, ids, prefixes, sketches = [], [], [], []
-                for grams in gram_sets(part.column("text").to_pylist(), join.n):
+                columns: tuple[list, ...] = ([], [], [], [])
+                for grams in gram_sets(part.column("text"), join.n):
                     n = len(grams)
-                    sizes.append(n)
-                    ids.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                    if not n or (key := _key(set_id(grams))) in met:
+                        continue
+                    met.add(key)
                     weight = np.zeros(n, np.int64)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                         weight = np.where(frequent[at] == grams, counts[at], 0)
-                    k = n - -(-join.num * n // join.den) + 1 if n else 0
-                    prefixes.append(grams[np.argsort(weight, kind="stable")[:k]].view(np.int64))
-                    sketches.append(parity_sketch(grams))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-                flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n", "set_id", "prefix", "sketch"],
-                )
-
-    return docs.mapInArrow(run, "doc_id bigint, n int, set_id binary, prefix array<bigint>, sketch binary")
+                    k = n - -(-join.num * n // join.den) + 1
+                    small = n - -(-2 * join.num * n // (join.den + join.num)) + 1
+                    best = np.argsort(weight, kind="stable")[:k]
+                    size = np.full(k, n, np.int32)
+                    size[small:] = -n
+                    salt = np.where(weight[best] > join.block, 1 + key % np.maximum(1, weight[best] // join.block + 1), 0)
+                    for column, x in zip(columns, (grams[best].view(np.int64), np.full(k, key), size, salt.astype(np.int32))):
+                        column.append(x)
+                if len(met) > REMEMBERED:
+                    met.clear()
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["gram", "key", "n", "part"])
+
+    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "gram bigint, key bigint, n int, part int")
+    return rows.repartition("gram", "part").sortWithinPartitions("gram", "part", "key")
+
+
+def _shared(rows: DataFrame, join: Join) -> DataFrame:
+    """Of ``_prefixes``: (kind, group, key) for sets that share an n-gram. Kind 0: the group is named by its sets, so
+    that equal groups are one; kind 1: the n-gram has more than a block of sets, its rows go on one by one."""
 
-
-def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        out: tuple[list, ...] = ([], [], [])
+        held = 0
+
+        def flushed() -> pa.RecordBatch:
+            types = (np.int8, np.int64, np.int64)
+            found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(out, types)], ["kind", "group", "key"])
+            for c in out:
+                c.clear()
+            return found
+
+        def send(kind: int, group: int, keys: np.ndarray) -> int:
+            for c, x in zip(out, (np.full(len(keys), kind), np.full(len(keys), group), keys)):
+                c.append(x)
+            return len(keys)
+
+        def settle(gram: np.ndarray, part: np.ndarray, key: np.ndarray, n: np.ndarray, going_on: bool) -> int:
+            """Send on whole groups, sorted; ``going_on``: rows of the first went on as rows of a large one."""
+            sent = 0
+            fresh = np.ones(len(gram), bool)
+            fresh[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
+            again = np.zeros(len(gram), bool)
+            again[1:] = ~fresh[1:] & (key[1:] == key[:-1])  # a set that several tasks gave
+            gram, part, key, n, fresh = (x[~again] for x in (gram, part, key, n, fresh))
+            edges = np.append(np.flatnonzero(fresh), len(gram))
+            sizes = np.diff(edges)
+            first = edges[:-1]
+            if going_on:
+                sent += send(1, int(gram[0]), key[: edges[1]])
+                first, sizes = first[1:], sizes[1:]
+            two = first[(sizes == 2) & (part[first] == 0)]
+            if len(two):
+                a, b = np.abs(n[two]).astype(np.int64), np.abs(n[two + 1]).astype(np.int64)
+                near = join.den * np.minimum(a, b) >= join.num * np.maximum(a, b)
+                near &= ((a <= b) & (n[two] > 0)) | ((b <= a) & (n[two + 1] > 0))
+                both = np.stack([key[two[near]], key[two[near] + 1]], axis=1)
+                both = np.unique(both, axis=0) if len(both) else both
+                names = _mixed(_mixed(both[:, 0].view(_U)) + both[:, 1].view(_U)).view(np.int64)
+                new = np.array([x not in met for x in names.tolist()], bool)
+                met.update(names.tolist())
+                both, names = both[new], names[new]
+                for c, x in zip(out, (np.zeros(2 * len(both)), np.repeat(names, 2), both.ravel())):
+                    c.append(x)
+                sent += 2 * len(both)
+            for at, size in zip(*(x[(sizes > 2) | ((sizes > 0) & (part[first] > 0))].tolist() for x in (first, sizes))):
+                own = key[at : at + size]
+                if size > join.block or part[at] > 0:
+                    sent += send(1, int(gram[at]), own)
+                elif (n[at : at + size] > 0).any():
+                    lengths = np.sort(np.abs(n[at : at + size]).astype(np.int64))
+                    if (join.den * lengths[:-1] >= join.num * lengths[1:]).any():
+                        name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                        if name not in met:
+                            met.add(name)
+                            sent += send(0, name, own)
+            if len(met) > REMEMBERED:
+                met.clear()
+            return sent
+
+        left, open_ = [np.zeros(0, np.int64)] * 4, None  # the last group so far; the group whose rows went on already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.concatenate([a, batch.column(c).to_numpy()]) for a, c in zip(left, ("gram", "part", "key", "n"))]
+            gram, part = now[0], now[1]
+            other = np.flatnonzero((gram != gram[-1]) | (part != part[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            going_on = (int(gram[0]), int(part[0])) == open_
+            if last:
+                held += settle(*(x[:last] for x in now), going_on)
+            left = [x[last:] for x in now]
+            if len(left[0]) > join.block or (going_on and not last):
+                held += send(1, int(gram[-1]), left[2])
+                left, open_ = [x[:0] for x in left], (int(gram[-1]), int(part[-1]))
+            if held > 100_000:
+                held = 0
+                yield flushed()
+        if len(left[0]):
+            settle(*left, False)
+        yield flushed()
+
+    return rows.mapInArrow(run, "kind tinyint, group bigint, key bigint")
+
+
+def _dealt(rows: DataFrame, blocks: str, by: str) -> DataFrame:
     """Each row in each pair of blocks that its own block is part of: adds block, bi, bj. One block: one row."""
-    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    own = F.pmod(F.xxhash64(by), F.col(blocks)).cast("int")
     rows = rows.withColumn("block", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
-    return rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
+    return rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", blocks)
 
 
-def _candidate_edges(nodes: DataFrame, join: Join) -> DataFrame:
-    """Edges that connect, in each group of sets sharing a prefix n-gram, those that sketches don't rule out."""
-    grams = nodes.select("node", "n", F.explode("prefix").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    rows = grams.join(shared, "gram").withColumn("blocks", F.ceil(F.col("c") / join.block))
-    rows = _dealt(rows, "blocks").select("gram", "bi", "bj", "block", "node", "n")
-    rows = rows.join(nodes.select("node", "sketch"), "node")
-    rows = rows.repartition("gram", "bi", "bj").sortWithinPartitions("gram", "bi", "bj", "n", "node")
+def _candidate_edges(docs: DataFrame, described: DataFrame, join: Join) -> DataFrame:
+    """Edges between keys that connect, in each group of sets sharing a first n-gram, those that sketches don't rule out."""
+    shared = written(_shared(_prefixes(docs, described, join), join), "shared")
+    release(docs.sparkSession)
+    sketches = described.where("sketch IS NOT NULL").select("key", "n", "sketch").dropDuplicates(["key"])
+    whole = shared.where("kind = 0").select("group", "key").distinct()
+    none = F.lit(0).cast("int")
+    whole = whole.withColumns({"block": none, "bi": none, "bj": none})
+    large = shared.where("kind = 1").select("group", "key").distinct()
+    sizes = large.groupBy("group").agg(F.ceil(F.count("*") / join.block).alias("blocks"))
+    rows = whole.unionByName(_dealt(large.join(sizes, "group"), "blocks", "key")).join(sketches, "key")
+    rows = rows.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj", "n", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, out = _Sets(), []
-        for group in _groups(batches, ["gram", "bi", "bj"]):
-            if len(group) < 2:
+        for _, bi, bj, block, key, size, raw in _runs(batches, ["group", "bi", "bj"], ["block", "key", "n", "sketch"]):
+            if len(key) < 2:
                 continue
-            node, size, block = (group[c].to_numpy() for c in ("node", "n", "block"))
-            cross = group["bi"][0].as_py() != group["bj"][0].as_py()
-            tops = np.array([sets.top(x) for x in node.tolist()])
+            keys = key.tolist()
+            tops = np.array([sets.top(x) for x in keys])
             if (tops == tops[0]).all():
                 continue
-            raw = group["sketch"].to_pylist()
             words = min(map(len, raw)) // 8
             sketch = np.array([_folded(x, words) for x in raw])
-            for i in range(len(node) - 1):
+            size = size.astype(np.int64)
+            for i in range(len(keys) - 1):
                 rest = np.flatnonzero(tops[i + 1 :] != tops[i]) + i + 1
-                if cross:
+                if bi != bj:
                     rest = rest[block[rest] != block[i]]
                 rest = rest[join.den * size[i] >= join.num * size[rest]]  # sorted by size
                 if not len(rest):
                     continue
                 apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                near = (join.den + join.num) * apart <= (join.den - join.num) * (size[rest].astype(np.int64) + size[i])
+                near = (join.den + join.num) * apart <= (join.den - join.num) * (size[rest] + size[i])
                 for j in rest[near].tolist():
-                    if sets.join(int(node[i]), int(node[j])):
-                        out.append((int(node[i]), int(node[j])))
+                    if sets.join(keys[i], keys[j]):
+                        out.append((keys[i], keys[j]))
                 if near.any():
                     tops = np.array([sets.top(x) for x in tops.tolist()])
             if len(out) > 50_000:
                 yield _pairs(out)
         yield _pairs(out)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.select("group", "bi", "bj", "block", "key", "n", "sketch").mapInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -329,38 +495,42 @@ class PrefixTree:
             stack += [("visit", a, b, common) for a, b in zip(cut, cut[1:])]
 
 
-def _class_links(classes: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+def _class_links(classes: DataFrame, docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Exact links of each class: rows (a, b, null) connect what links, rows (a, null, links) count links."""
-    sizes = classes.join(nodes.select("node", "n", "copies"), "node")
-    per = sizes.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("grams"))
+    members = sets.join(classes, sets["key"] == classes["node"])
+    per = members.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("grams"))
     per = per.withColumn("blocks", F.greatest(F.ceil(F.col("c") / join.class_block), F.ceil(F.col("grams") / join.class_grams)))
-    wanted = written(sizes.join(per.select("component", "blocks"), "component").select("node", "copies", "component", "blocks"), "classes")
+    wanted = members.join(per.select("component", "blocks"), "component").select("set_id", "rep", "copies", "component", "blocks")
+    wanted = written(wanted, "classes")
     small = wanted.count() <= join.broadcast_rows
-    rows = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted["node"])
-    rows = _dealt(rows, "blocks").select("component", "bi", "bj", "block", "node", "copies", "text")
+    rows = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted["rep"])
+    kept = ["component", "blocks", "set_id", "copies"]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["component", "bi", "bj", "block", "node", "copies"]
         for batch in batches:
             for part in steps(batch, most=STEP_BYTES):
-                raw = [x.tobytes() for x in gram_sets(part.column("text").to_pylist(), join.n)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "grams"])
+                found = gram_sets(part.column("text"), join.n)
+                mine = [k for k, (x, y) in enumerate(zip(found, part.column("set_id").to_pylist())) if len(x) and set_id(x) == y]
+                raw = pa.array([found[k].tobytes() for k in mine], pa.binary())
+                mine = pa.array(mine, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(mine) for c in kept), raw], [*kept, "grams"])
 
-    rows = rows.mapInArrow(sets_of, "component bigint, bi int, bj int, block int, node bigint, copies bigint, grams binary")
-    rows = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "node")
+    # Each set is made once; what a large class repeats in its pairs of blocks is the set, not the text.
+    rows = rows.select(*kept, "text").mapInArrow(sets_of, "component bigint, blocks bigint, set_id binary, copies bigint, grams binary")
+    rows = _dealt(rows, "blocks", "set_id")
+    rows = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
-        counts: list[tuple[int, int]] = []
-        for group in _groups(batches, ["component", "bi", "bj"]):
-            node, copies, block = (group[c].to_numpy() for c in ("node", "copies", "block"))
-            grams = [np.frombuffer(x, _U) for x in group["grams"].to_pylist()]
-            bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
-            left = np.flatnonzero(block == bi)
-            right = left if bi == bj else np.flatnonzero(block == bj)
+        edges: list[tuple[bytes, bytes]] = []
+        counts: list[tuple[bytes, int]] = []
+        for _, bi, bj, block, copies, names, raw in _runs(batches, ["component", "bi", "bj"], ["block", "copies", "set_id", "grams"]):
+            here = np.array([k for k in range(len(names)) if not k or names[k] != names[k - 1]])  # rows given twice
+            left = here[block[here] == bi]
+            right = left if bi == bj else here[block[here] == bj]
             if not len(left) or not len(right):
                 continue
-            sets, total = _Sets(), np.zeros(len(node), np.int64)
+            sets, total = _Sets(), np.zeros(len(names), np.int64)
+            grams = [np.frombuffer(x, _U) for x in raw]
             for i, found in PrefixTree([grams[k] for k in left], [grams[k] for k in right], join.num, join.den).links():
                 me, others = left[i], right[found]
                 others = others[others != me]
@@ -368,23 +538,23 @@ def _class_links(classes: DataFrame, docs: DataFrame, nodes: DataFrame, join: Jo
                 if bi != bj:
                     np.add.at(total, others, copies[me])
                 for k in others.tolist():
-                    if sets.join(int(node[me]), int(node[k])):
-                        edges.append((int(node[me]), int(node[k])))
-            counts += [(int(node[k]), int(total[k])) for k in np.flatnonzero(total)]
+                    if sets.join(int(me), k):
+                        edges.append((names[me], names[k]))
+            counts += [(names[k], int(total[k])) for k in np.flatnonzero(total)]
             if len(edges) + len(counts) > 100_000:
                 yield _linked(edges, counts)
         yield _linked(edges, counts)
 
-    return rows.mapInArrow(run, "a bigint, b bigint, links bigint")
+    return rows.select("component", "bi", "bj", "block", "copies", "set_id", "grams").mapInArrow(run, "a binary, b binary, links bigint")
 
 
-def _linked(edges: list[tuple[int, int]], counts: list[tuple[int, int]]) -> pa.RecordBatch:
+def _linked(edges: list[tuple[bytes, bytes]], counts: list[tuple[bytes, int]]) -> pa.RecordBatch:
     a = [x[0] for x in edges] + [x[0] for x in counts]
     b = [x[1] for x in edges] + [None] * len(counts)
     links = [None] * len(edges) + [x[1] for x in counts]
     edges.clear()
     counts.clear()
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, links)], ["a", "b", "links"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((a, pa.binary()), (b, pa.binary()), (links, pa.int64()))], ["a", "b", "links"])
 
 
 def ngram_join(
@@ -397,32 +567,32 @@ def ngram_join(
     join = join or Join()
     ship(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    features = written(_features(docs, join), "features")
-    slim = features.select("doc_id", "n", "set_id")
-    real = slim.where("n > 0 AND doc_id IS NOT NULL")
-    reps = real.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    of_doc = written(slim.join(reps, "set_id", "left").select("doc_id", "n", "set_id", "node", "copies"), "membership")
-    first = of_doc.where("doc_id = node").select("doc_id", "set_id", "copies").distinct()
-    nodes = features.where("n > 0").join(first, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
-    nodes = written(nodes.select(F.col("doc_id").alias("node"), "n", "copies", "prefix", "sketch"), "nodes")
-    discard(features)
-    classes = components(_candidate_edges(nodes, join))
+    described = written(_described(docs, join), "described")
+    every = described.where("is_doc").select("doc_id", "n", "set_id", "key")
+    real = every.where("n > 0 AND doc_id IS NOT NULL")
+    # Summed in each task first: a set that a third of the corpus has is one row a task.
+    sets = real.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("key").alias("key"), F.first("n").alias("n"))
+    sets = written(sets, "sets")
+    edges = written(_candidate_edges(docs, described, join), "candidates")
     release(docs.sparkSession)
-    links = written(_class_links(classes, docs, nodes, join), "links")
-    discard(nodes)
+    links = written(_class_links(components(edges), docs, sets, join), "links")
     # An id with several texts holds their components together.
-    several = of_doc.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last"))
-    several = several.where("b <> last").select("doc_id", "b").join(of_doc, "doc_id").where("node <> b")
-    edges = links.where("b IS NOT NULL").select("a", "b").unionByName(several.select(F.col("node").alias("a"), "b"))
+    by_doc = real.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("last"))
+    several = by_doc.where("b <> last").select("doc_id", "b").join(real, "doc_id").where("set_id <> b")
+    edges = links.where("b IS NOT NULL").select("a", "b").unionByName(several.select(F.col("set_id").alias("a"), "b"))
     found = components(edges)
-    counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    top = of_doc.select("node").where("node IS NOT NULL").distinct()
-    top = top.join(found, "node", "left").join(counts, "node", "left")
-    top = top.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    both = of_doc.join(top, "node", "left")
-    return both.select(
+    names = found.join(sets, F.col("node") == F.col("set_id")).groupBy("component").agg(F.min("rep").alias("name"))
+    found = found.join(names, "component").select(F.col("node").alias("set_id"), "name")
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
+    top = sets.join(found, "set_id", "left").join(counts, "set_id", "left")
+    top = top.select("set_id", F.coalesce("name", "rep").alias("name"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    # A row without a set has the component of its id's other rows, if there are any.
+    bare = every.where("n = 0").select("doc_id", "n").join(by_doc.select(F.col("doc_id").alias("_id"), "b"), F.col("doc_id") == F.col("_id"), "left")
+    rows = every.where("n > 0").select("doc_id", "n", "set_id").unionByName(bare.select("doc_id", "n", F.col("b").alias("set_id")))
+    no_id = F.col("doc_id").isNull()
+    return rows.join(top, "set_id", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.when(F.col("node").isNull(), 0).otherwise(F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"),
+        F.when(~no_id, F.coalesce("name", "doc_id")).alias("component_id"),
+        F.when(no_id | (F.col("n") == 0), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
