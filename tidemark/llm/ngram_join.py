@@ -403,9 +403,11 @@ def _candidate_edges(docs: DataFrame, described: DataFrame, join: Join) -> DataF
             tops = np.array([sets.top(x) for x in keys])
             if (tops == tops[0]).all():
                 continue
-            words = min(map(len, raw)) // 8
-            sketch = np.array([_folded(x, words) for x in raw])
-            size = size.astype(np.int64)
+            size, width = size.astype(np.int64), np.array([len(x) // 8 for x in raw])
+            # Rows are sorted by size, so by the sketches' width too: each is compared at its own width with what follows.
+            first = {w: int(np.searchsorted(width, w)) for w in np.unique(width).tolist()}
+            end = {w: int(np.searchsorted(join.num * size, join.den * size[np.searchsorted(width, w, "right") - 1], "right")) for w in first}
+            sketches = {w: np.array([_folded(x, w) for x in raw[first[w] : end[w]]]) for w in first}
             for i in range(len(keys) - 1):
                 rest = np.flatnonzero(tops[i + 1 :] != tops[i]) + i + 1
                 if bi != bj:
@@ -413,7 +415,8 @@ def _candidate_edges(docs: DataFrame, described: DataFrame, join: Join) -> DataF
                 rest = rest[join.den * size[i] >= join.num * size[rest]]  # sorted by size
                 if not len(rest):
                     continue
-                apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                own, at = sketches[width[i]], first[width[i]]
+                apart = np.bitwise_count(own[rest - at] ^ own[i - at]).sum(axis=1, dtype=np.int64)
                 near = (join.den + join.num) * apart <= (join.den - join.num) * (size[rest] + size[i])
                 for j in rest[near].tolist():
                     if sets.join(keys[i], keys[j]):
