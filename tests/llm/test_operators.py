@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(key(columns, tuple(r)) for r in df.collect()) == sorted(key(names, r) for r in want.fetchall())
 
 
-def brute_lines(rows, window=3):
+def brute_lines(rows, window=3, long_line=50):
     """Line dedup, plainly: {(id, text): text left}."""
     seen, out = set(), {}
     for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -56,10 +56,12 @@ def brute_lines(rows, window=3):
         full = [(k, re.sub(r"[\x20\x09-\x0d]+$", "", x)) for k, x in enumerate(lines)]
         full = [(k, x) for k, x in full if x]
         width, gone, new = min(window, len(full)), set(), set()
-        for k in range(len(full) - width + 1) if full else []:
-            body = tuple(x for _, x in full[k : k + width])
+        windows = [full[k : k + width] for k in range(len(full) - width + 1)] if full else []
+        windows += [[x] for x in full if width > 1 and len(re.findall(r"[^\x20\x09-\x0D]+", x[1])) > long_line]
+        for some in windows:
+            body = tuple(x for _, x in some)
             if body in seen or body in new:
-                gone |= set(range(full[k][0], full[k + width - 1][0] + 1))
+                gone |= set(range(some[0][0], some[-1][0] + 1))
             new.add(body)
         seen |= new
         out[i, text] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text
@@ -68,12 +70,15 @@ def brute_lines(rows, window=3):
 
 def test_line_dedup(spark):
     random.seed(1)
-    rows = [(i, "\n".join(random.choice(["a", "b", "c", "", "d "]) for _ in range(random.randint(1, 9)))) for i in range(60)] + EDGES
-    got = line_dedup(docs(spark, rows))
-    assert set(docs(spark, rows).columns) < set(got.columns)
-    want = brute_lines(rows)
-    found = got.select("doc_id", "text", "n_removed").collect()
-    assert sorted(repr((r["doc_id"], r["text"])) for r in found) == sorted(repr((i, want[i, t])) for i, t in rows)
+    passage = [f"word{k} " * 51 for k in range(4)]
+    lines = ["a", "b", "c", "", "d ", "e", "f", *passage]
+    rows = [(i, "\n".join(random.choice(lines) for _ in range(random.randint(1, 9)))) for i in range(60)] + EDGES
+    for long_line in (50, 51):
+        got = line_dedup(docs(spark, rows), long_line=long_line)
+        assert set(docs(spark, rows).columns) < set(got.columns)
+        want = brute_lines(rows, long_line=long_line)
+        found = got.select("doc_id", "text", "n_removed").collect()
+        assert sorted(repr((r["doc_id"], r["text"])) for r in found) == sorted(repr((i, want[i, t])) for i, t in rows)
     assert line_dedup(docs(spark, [])).count() == 0
 
 

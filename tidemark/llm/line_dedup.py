@@ -7,8 +7,9 @@ the first occurrence of its window is earlier, and going back ends at a line tha
 
 Lines are the ``\\n``-separated pieces of a text. Lines without a word (blank) are not counted in a
 window, and go when a removed window spans them. A text with fewer such lines than a window has one
-window, its whole line sequence, so that short copies are found like long ones. Blanks at the end
-of a line don't count when lines are compared.
+window, its whole line sequence, so that short copies are found like long ones. A line of more than
+``long_line`` words, a whole passage, is a window by itself too, since the lines around it may differ.
+Blanks at the end of a line don't count when lines are compared.
 
 Edge cases: null or empty text is returned as it is and counts 0 removed; rows equal in id and text
 are one document given twice and get the same result; null ids come first in the order; an empty
@@ -20,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
+WINDOW, LONG_LINE = 3, 50
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _windows(keys: DataFrame, window: int) -> DataFrame:
+def _windows(keys: DataFrame, window: int, long_line: int) -> DataFrame:
     """(doc_id, text_hash, first_line, last_line, h1, h2) of each window of each document."""
     bare = lambda x: F.regexp_replace(x, r"[\x20\x09-\x0D]+$", "")
     full = keys.select(
@@ -40,28 +41,39 @@ def _windows(keys: DataFrame, window: int) -> DataFrame:
     ).where(F.size("full") > 0)
     full = full.withColumn("width", F.least(F.size("full"), F.lit(window)))
 
-    def hashed(i: Column) -> Column:
+    def hashed(part: Column, first: Column, last: Column) -> Column:
         # 128 bits: two 64-bit hashes of the same lines, the second chained from another seed.
-        part = F.array_join(F.slice(F.col("full.line"), i + 1, F.col("width")), "\n")
-        ends = [F.get("full.at", i), F.get("full.at", i + F.col("width") - 1)]
         return F.struct(
-            ends[0].alias("first_line"),
-            ends[1].alias("last_line"),
+            first.alias("first_line"),
+            last.alias("last_line"),
             F.xxhash64(part).alias("h1"),
             F.xxhash64(F.lit(window), part, F.length(part)).alias("h2"),
         )
 
+    def of_lines(i: Column) -> Column:
+        part = F.array_join(F.slice(F.col("full.line"), i + 1, F.col("width")), "\n")
+        return hashed(part, F.get("full.at", i), F.get("full.at", i + F.col("width") - 1))
+
+    def is_long(x: Column) -> Column:
+        words = F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+"))
+        return (F.char_length(x["line"]) > 2 * long_line) & (words > long_line)
+
     starts = F.sequence(F.lit(0), F.size("full") - F.col("width"))
-    return full.select("doc_id", "text_hash", F.explode(F.transform(starts, hashed)).alias("w")).select(
+    windows = F.transform(starts, of_lines)
+    long_ones = F.transform(F.filter("full", is_long), lambda x: hashed(x["line"], x["at"], x["at"]))
+    windows = F.when(F.col("width") > 1, F.concat(windows, long_ones)).otherwise(windows)
+    return full.select("doc_id", "text_hash", F.explode(windows).alias("w")).select(
         "doc_id", "text_hash", "w.*"
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_line: int = LONG_LINE
+) -> DataFrame:
     """``docs`` with its text column cleaned, and ``n_lines`` and ``n_removed`` (int) added."""
     text = docs[text_col].cast("string")
     keys = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    seen = _windows(keys, window)
+    seen = _windows(keys, window, long_line)
     place = F.struct("doc_id", "text_hash", "first_line")
     # Aggregated in each task first: a window that a third of the corpus holds is one row a task here.
     repeated = (

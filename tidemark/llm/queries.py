@@ -119,7 +119,8 @@ windows AS (SELECT doc_id, pos AS first_line, n, k,
       || CASE WHEN n > 2 THEN chr(10) || lead(b, 2) OVER w ELSE '' END AS body,
     CASE WHEN n = 1 THEN pos WHEN n = 2 THEN lead(pos, 1) OVER w ELSE lead(pos, 2) OVER w END AS last_line
     FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-whole AS (SELECT * FROM windows WHERE body IS NOT NULL AND last_line IS NOT NULL),
+whole AS (SELECT doc_id, first_line, last_line, body FROM windows WHERE body IS NOT NULL AND last_line IS NOT NULL
+          UNION ALL SELECT doc_id, pos, pos, b FROM full_lines WHERE n > 1 AND len(regexp_extract_all(b, '[^\x20\x09-\x0D]+')) > 50),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first_line) AS r FROM whole),
 gone AS (SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN ranked r
          ON r.doc_id = l.doc_id AND r.r > 1 AND l.pos BETWEEN r.first_line AND r.last_line),
