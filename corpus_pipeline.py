@@ -13,8 +13,9 @@ stage's rows written as Parquet and read again.
   (operator 4).
 - packing: pieces of at most 2048 tokens in as few sequences as best fit finds (operator 3).
 
-Null ids: such documents pass the first three stages by their text; they have no place in the link graph
-and stay in it. Empty tables give empty stages.
+Null ids: such documents pass the stages by their text; in the fourth, those of equal texts are one document.
+Rows that repeat an id are one document to the fourth stage, of which one row stays. Null and empty texts fail
+the quality rules. Empty tables give empty stages.
 """
 
 from __future__ import annotations
@@ -61,9 +62,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle links, the one with the smallest id."""
-    found = ngram_join(docs, join=Join(n=5, num=80, den=100))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # A null id's stand-in comes from the text, after all ids in use: copies without id are one document, too.
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    key = F.coalesce(F.col("doc_id").cast("long"), stand_in)
+    keyed = docs.select(key.alias("_key"), F.struct("*").alias("row"), F.col("text").alias("_text"))
+    found = ngram_join(keyed, "_key", "_text", Join(n=5, num=80, den=100))
+    found = written(found.select(F.col("doc_id").alias("_id"), "component_id"), "components")
+    gone = found.where("_id <> component_id").select("_id").distinct()
+    kept = keyed.join(gone, F.col("_key") == F.col("_id"), "left_anti")
+    twice = found.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    if not twice.isEmpty():  # rows of one id: one stays
+        same = kept.join(twice, F.col("_key") == F.col("_id"), "left_semi")
+        first = same.groupBy("_key").agg(F.min_by("row", F.struct("_text", F.xxhash64("row"))).alias("row"))
+        kept = kept.join(twice, F.col("_key") == F.col("_id"), "left_anti").select("row").unionByName(first.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

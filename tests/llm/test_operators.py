@@ -97,7 +97,12 @@ def test_quality_base_counts(spark):
     got = base_counts(docs(spark, rows)).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for r in got.collect():
         assert tuple(r)[2:] == brute(r["text"]), r["text"]
-    kept = quality_rules(docs(spark, rows))
+    assert {r["words"] for r in base_counts(docs(spark, rows)).collect()} == {1}
+    assert base_counts(docs(spark, rows)).where("NOT base_failed AND n_repeat_words < 5").count() >= 0
+    clash = docs(spark, rows).selectExpr("*", "1 AS common", "2 AS class_q", "3 AS _lang", "4 AS lang_", "5 AS kept", "6 AS base")
+    kept = quality_rules(clash)
+    assert kept.where("common = 1 AND class_q = 2 AND _lang = 3 AND base = 6 AND words = 1").count() == len(rows)
+    assert dict(kept.dtypes)["kept"] == "boolean"
     assert kept.count() == len(rows) and quality_rules(docs(spark, [])).count() == 0
 
 
@@ -350,6 +355,30 @@ def test_pipeline_stages(spark):
     assert cp.pack_sequences(spark, cleaned, DATA).count() >= cleaned.count()
 
 
+def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline as cp
+
+    random.seed(12)
+    text = lambda: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, a), (2, a + " more"), (None, b), (None, b), (7, c), (None, c), (9, None), (9, ""), (4, a), (4, text())]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = [tuple(r) for r in cp.drop_near_duplicates(spark, table, DATA).select("doc_id", "text").collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, a), (None, b), (7, c), next(r for r in kept if r[0] == 9)]))
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_pipeline_stage_edges(spark, stage):
+    """No stage fails on nulls, repeated rows, long texts and empty tables; all but the last keep the columns."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int"
+    rows = [(i, t, None if i is None else "en", None, None) for i, t in EDGES] + [(8, "x y z " * 30, None, "s", 1), (None, None, None, None, None)]
+    for some in (rows, []):
+        got = cp.STAGES[stage][1](spark, spark.createDataFrame(some, schema), DATA)
+        assert got.count() <= 2 * len(some) + 20 and (stage == 4 or got.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
 def test_language_unknown_or_contradicted(spark):
     """Planted gibberish, foreign and mislabelled texts go; texts that agree with their labels stay."""
     import corpus_pipeline as cp
