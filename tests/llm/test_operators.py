@@ -10,6 +10,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import ann, bpe, language_id, ngram_join, packing, quality_classifier, token_store, warc
@@ -246,6 +247,7 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(docs(spark, EDGES), model).count() == len(EDGES)
     none = quality_classifier.fit(docs(spark, EDGES), labels.limit(0))
     assert {r["score"] for r in quality_classifier.score(docs(spark, EDGES), none).collect()} == {0.5}
+    assert quality_classifier.score(docs(spark, []), quality_classifier.fit(docs(spark, []), labels)).count() == 0
 
 
 def test_language_id(spark):
@@ -271,11 +273,16 @@ def test_warc(spark, monkeypatch):
     same = "<p>" + "x" * 200
     rows = [(i, f"http://h{i % 3}.example.com/{i}", same if i % 2 else f"<p>{i}") for i in range(40)] + [(50, None, None), (51, "u\r\nv", "é" * 70), (None, "n", same)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, digest string").repartition(9)
-    monkeypatch.setattr(warc, "FAN_IN", 3)
+    monkeypatch.setattr(warc, "FAN_IN", 3)  # 13 runs or so: two passes before the last
+    monkeypatch.setattr(warc, "PER_RANGE", 9)
     folder = scratch_path(spark, "test-archive")
     index = warc.write_archive(pages, folder)
     keys = [(r["url_key"], r["timestamp"]) for r in index.collect()]
     assert len(keys) == len(rows)
+    files = sorted(glob.glob(folder.removeprefix("file://") + "/index/part-*"))
+    assert len([f for f in files if pq.read_metadata(f).num_rows]) > 2 and len(glob.glob(folder.removeprefix("file://") + "/runs/*-*/*.run")) > 4
+    order = [(r["url_key"], r["timestamp"]) for f in files for r in pq.read_table(f).to_pylist()]
+    assert order == sorted(keys)
     got = {r["page_id"]: r for r in warc.read_archive(index, folder).collect()}
     for i, _, html in rows:
         raw = (html or "").encode()
@@ -332,6 +339,140 @@ def test_ann(spark):
     assert ann.search(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_ann_of_very_small_and_large_components(spark):
+    x = np.random.default_rng(9).normal(size=(60, 8))
+    rows = [(i, [float(v) * (1e-200, 1.0, 1e200)[i % 3] for v in x[i]]) for i in range(60)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id % 50 = 0").collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in (0, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.argsort(-score)[:5].tolist()
+
+
+def test_ann_recall_at_default_settings():
+    """On 50,000 vectors in one block, a hundred times what is reranked."""
+    settings, rng = ann.Settings(), np.random.default_rng(10)
+    x = rng.normal(size=(50_000, 32)) + 2 * rng.normal(size=(500, 32))[rng.integers(0, 500, 50_000)]
+    unit = ann._unit(x)
+    books = ann.fit_codebooks(unit[: settings.sample], settings)
+    codes, norms = (np.concatenate(c) for c in zip(*(books.encode(unit[i : i + 1024].astype(np.float32), settings.beam) for i in range(0, len(x), 1024))))
+    hit = 0
+    for q in range(0, 5000, 100):
+        table = np.einsum("d,bwd->bw", unit[q].astype(np.float32), books.words)
+        near = sum(table[b][codes[:, b]] for b in range(settings.books)) / norms
+        near[q] = -2
+        score = unit @ unit[q]
+        score[q] = -2
+        hit += len(set(np.argsort(-score)[:5]) & set(np.argsort(-near)[: settings.rerank]))
+    assert hit / 250 >= 0.9
+
+
+def test_page_text_scans_once():
+    import time
+
+    cases = {
+        "a<!-- x -->b<p>c": "a b c", "<script>1</script >z": "z", "<script>no end <b>x": "no end x", "<!-- no end > x": "x", "1 < 2": "1 < 2",
+        "<STYLE a='>'>p{}</style>q<!doctype html>": "q", "<scripted>y</scripted>": "y", "": "", "<": "<",
+    }
+    for page, want in cases.items():
+        assert language_id.page_text(page).split() == want.split(), page
+    began = time.time()
+    for page in ("<!-- " * 400_000, "<script " * 250_000, "<" * 1_000_000, "<html " * 300_000):
+        language_id.page_text(page)
+        language_id._DECLARED.search(page)
+    assert time.time() - began < 20
+
+
+def test_language_fusion_equals_plain_python(spark):
+    """All four kinds of evidence on pages, against the same sums in plain Python."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    model, settings = language_id.fit_text_model(table), language_id.Settings()
+    texts = [r["text"] for r in table.where("length(text) > 300 AND lang IS NOT NULL").orderBy("doc_id").limit(40).collect()]
+    random.seed(13)
+    rows = []
+    for i, t in enumerate([*texts, "", "x", None]):
+        html = None if t is None else f"<html lang={random.choice(['en', 'fr', 'xx'])}><p>{t}</p>" if i % 3 else f"<p>{t}"
+        rows.append((i, random.choice(["http://a.x.fr/en/1", "http://b.x.fr/2", "http://c.y.de/3", None, "http://b.x.fr/es/"]), html))
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model, ["page_id"], html_col="html", url_col="url").collect()
+    width, seen = len(model.languages), []
+    for i, url, html in rows:
+        found = language_id._DECLARED.search(html or "")
+        grams = language_id.trigram_buckets(language_id.page_text(html or ""))
+        score, other = np.zeros(width), -np.inf
+        if len(grams):
+            share = min(1.0, settings.tempered / len(grams))
+            score = model.log_p[grams].sum(axis=0, dtype=float) * share
+            other = -np.log(language_id.BUCKETS) * len(grams) * share - score.max()
+            score -= score.max()
+        enough = len(grams) >= settings.least_letters
+        seen.append((i, found and found[1].lower(), *language_id.address(url), int(score.argmax()) if enough and other <= 0 else None, enough and other > 0, score))
+    counts = lambda rows: np.array([sum(r[5] == k for r in rows) for k in range(width)], float)
+    total = counts(seen)
+    base = (total + 1) / (total.sum() + width)
+    want = {}
+    for r in seen:
+        own = np.array([r[5] == k for k in range(width)], float)
+        score, evidence = r[7].copy(), r[5] is not None
+        same = [x for x in seen if x[2] == r[2] and x[5] is not None and r[2] is not None]
+        prior = base
+        if same:
+            evidence = True
+            domain = counts([x for x in seen if x[3] == r[3]])
+            domain = (domain + settings.domain_weight * base) / (domain.sum() + settings.domain_weight)
+            host = counts(same) - own
+            prior = (host + settings.host_weight * domain) / (host.sum() + settings.host_weight)
+        score = score + np.log(prior)
+        for at in (1, 4):
+            alike = [x for x in seen if x[at] == r[at] and x[5] is not None and r[at] is not None]
+            if alike:
+                evidence, c = True, counts(alike)
+                score = score + np.log((c + settings.table_weight * c.sum() / max(1, total.sum())) / (total + settings.table_weight))
+        p = np.exp(score - score.max())
+        want[r[0]] = (model.languages[int(score.argmax())], p.max() / p.sum()) if evidence and not r[6] else (None, 0.0)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["detected"] == want[r["page_id"]][0] and abs(r["confidence"] - want[r["page_id"]][1]) < 1e-9, (r, want[r["page_id"]])
+
+
+def test_co_training_rounds():
+    """Each view gets, once each, the rows that the other is surest of; without a pool it is plain logistic regression."""
+    rng = np.random.default_rng(14)
+    y = rng.integers(0, 2, 600).astype(float)
+    text, meta = y[:, None] * 2 + rng.normal(size=(600, 3)), y[:, None] * 2 + rng.normal(size=(600, 2))
+    held = np.arange(600) % 4 == 0
+    pool_y = rng.integers(0, 2, 2000).astype(float)
+    more = pool_y[:, None] * 2 + rng.normal(size=(2000, 3)), pool_y[:, None] * 2 + rng.normal(size=(2000, 2))
+    settings = quality_classifier.Settings(rounds=2, per_round=50)
+    views, pool, label = [text[~held], meta[~held]], list(more), y[~held]
+    ties = np.random.default_rng(11).permutation(2000)
+    given = [{}, {}]
+
+    def fit(v):
+        x, t = list(views[v]), list(label)
+        w = [1.0] * len(t)
+        for i, kind in given[v].items():
+            x.append(pool[v][i])
+            t.append(kind)
+            w.append(0.5)
+        x, t, w = np.array(x), np.array(t, float), np.array(w)
+        share = (w * t).sum() / w.sum()
+        return quality_classifier.fit_logistic(x, t, w * np.where(t == 1, 0.5 / share, 0.5 / (1 - share)), penalty=settings.penalty * max(1.0, 1000 / len(t)))
+
+    weights = [fit(0), fit(1)]
+    for _ in range(2):
+        for v in (0, 1):
+            p = 1 / (1 + np.exp(-(pool[v] @ weights[v][:-1] + weights[v][-1])))
+            for kind in (1, 0):
+                sure = p if kind else 1 - p
+                free = sorted((i for i in range(2000) if i not in given[1 - v] and sure[i] >= settings.sure), key=lambda i: (-sure[i], ties[i]))
+                given[1 - v].update(dict.fromkeys(free[:50], kind))
+        weights = [fit(0), fit(1)]
+    model = quality_classifier.co_train(text, meta, y, held, *more, settings)
+    assert np.allclose(model.text, weights[0]) and np.allclose(model.meta, weights[1])
+    assert len(given[0]) > 100 and ((model.scores(more[0], more[1])[0] > 0.5) == pool_y).mean() > 0.9
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

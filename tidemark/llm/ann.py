@@ -11,7 +11,7 @@ The index holds every row. Queries are a table too: workers read it from the sha
 time, for each block of the index; nothing grows in memory with either.
 
 Edge cases: a vector that is null, empty, zero, or holds null or non-finite components takes no part, nor
-does one of another dimension than the most frequent one; equal vectors tie exactly, ties go to smaller
+does one of another dimension than the most frequent one; components of any finite size count; equal vectors tie exactly, ties go to smaller
 ids; rows that share an id are never each other's answers; fewer candidates than k are all returned; an
 empty table gives an empty result; other columns are not read.
 """
@@ -35,12 +35,12 @@ from .common import ship, written
 class Settings:
     """``sample``: vectors, on average, that codebooks are fitted on."""
 
-    books: int = 12
+    books: int = 20
     words: int = 256
     beam: int = 4
     sample: int = 8192
     iterations: int = 6
-    rerank: int = 2048
+    rerank: int = 512
     block: int = 65_536
     query_block: int = 256
 
@@ -106,7 +106,14 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dimension)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to about 1: exact, and no square over- or underflows."""
+    power = np.frexp(np.abs(x).max(axis=1))[1] if len(x) else np.zeros(0, np.int64)
+    return np.ldexp(x, -power[:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -167,13 +174,13 @@ def search(
     def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
         order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
-        ids, vectors = table["vec_id"].to_numpy(), _matrix(table["vector"].chunk(0), dimension)
+        ids, vectors = table["vec_id"].to_numpy(), _scaled(_matrix(table["vector"].chunk(0), dimension))
         codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
         norms, lengths = table["norm"].to_numpy(), np.sqrt((vectors * vectors).sum(axis=1))
         words = known.value.words
         for query_ids, asked in _query_blocks(files, dimension, settings.query_block):
             tables = np.einsum("qd,bwd->bqw", _unit(asked).astype(np.float32), words)
-            out: list[tuple[int, int, float]] = []
+            asked, out = _scaled(asked), []
             for first in range(0, len(asked), 16):
                 some = slice(first, min(len(asked), first + 16))
                 scores = np.zeros((some.stop - some.start, len(ids)), np.float32)
@@ -182,7 +189,8 @@ def search(
                 scores /= np.maximum(norms, 1e-12)
                 for i, row in enumerate(scores):
                     q = first + i
-                    row[ids == query_ids[q]] = -np.inf
+                    own = np.searchsorted(ids, [query_ids[q], query_ids[q] + 1])
+                    row[own[0] : own[1]] = -np.inf
                     keep = min(settings.rerank, len(ids))
                     border = np.partition(row, len(row) - keep)[len(row) - keep]
                     sure = np.flatnonzero(row > border)

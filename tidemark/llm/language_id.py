@@ -40,7 +40,6 @@ class Settings:
     """``per_language``: labelled texts that the text model is fitted on, for each language, on average."""
 
     per_language: int = 500
-    max_languages: int = 64
     smoothing: float = 0.5
     tempered: float = 60.0
     least_letters: int = 20
@@ -74,12 +73,12 @@ def trigram_buckets(text: str) -> np.ndarray:
 def fit_text_model(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None
 ) -> TextModel:
-    """Fit on about ``per_language`` texts of each of the most frequent labels, picked by a hash of the text."""
+    """Fit on about ``per_language`` texts of each label, picked by a hash of the text; a label takes 128 KB of memory."""
     settings = settings or Settings()
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     languages = sorted(r["lang"] for r in sizes)
     part = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
     keep = F.lit(False)
@@ -108,13 +107,44 @@ def fit_text_model(
     return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-_DROPPED = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_OPEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style")}
 
 
 def page_text(html: str) -> str:
-    """What a reader sees of a page, roughly: without tags, scripts, styles and comments."""
-    return html_entities.unescape(_DROPPED.sub(" ", html))
+    """What a reader sees of a page, roughly: without tags, scripts, styles and comments.
+
+    One scan forward: an end that isn't found once is not looked for again.
+    """
+    out, at, missing = [], 0, set()
+
+    def end_of(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        if what in _CLOSE:
+            found = _CLOSE[what].search(html, start)
+            end = found.end() if found else -1
+        else:
+            end = html.find(what, start)
+            end = end + len(what) if end >= 0 else -1
+        if end < 0:
+            missing.add(what)
+        return end
+
+    while (start := html.find("<", at)) >= 0:
+        end, opened = -1, _OPEN.match(html, start)
+        if opened:
+            end = end_of(opened[1].lower(), opened.end())
+        elif html.startswith("<!--", start):
+            end = end_of("-->", start + 4)
+        if end < 0:
+            end = end_of(">", start + 1)
+        if end < 0:
+            break
+        out += [html[at:start], " "]
+        at = end
+    return html_entities.unescape("".join(out) + html[at:])
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -131,15 +161,15 @@ def address(url: str | None) -> tuple[str | None, str | None, str | None]:
 
 def _evidence(
     rows: DataFrame, model: TextModel, settings: Settings, carry: list[str], text_col: str | None, html_col: str | None,
-    url_col: str | None, declared_col: str | None, host_col: str | None,
+    url_col: str | None, declared_col: str | None, host_col: str | None, with_text: bool,
 ) -> DataFrame:
-    """carry, declared, suffix, host, domain, own (text's verdict or null), own_p (its probability by the text alone),
+    """carry, the text if asked for, declared, suffix, host, domain, own (text's verdict or null), own_p (its probability by the text alone),
     foreign (the text is in no known language) and the text's log-likelihoods."""
     ship(rows.sparkSession)
     none = F.lit(None).cast("string")
     column = lambda c: F.col(f"`{c}`").cast("string") if c else none
     source = rows.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), column(text_col or html_col).alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in carry), F.lit(0).alias("_")).alias("row"), column(text_col or html_col).alias("text"),
         column(url_col).alias("url"), F.lower(column(declared_col)).alias("declared"), column(host_col).alias("host"),
     )
     known = rows.sparkSession.sparkContext.broadcast(model.log_p)  # BUCKETS x languages, 8 MB at most
@@ -173,17 +203,18 @@ def _evidence(
                     own.append(int(score.argmax()) if enough and other <= 0 else None)
                     own_p.append(float(1 / (np.exp(score).sum() + np.exp(other))) if enough and other <= 0 else None)
                     scores.append(score.tolist())
+                own_text = [part.column("text")] if with_text else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), *(pa.array(x, pa.string()) for x in (declared, suffix, host, domain)),
+                    [part.column("row"), *own_text, *(pa.array(x, pa.string()) for x in (declared, suffix, host, domain)),
                      pa.array(own, pa.int32()), pa.array(own_p, pa.float64()), pa.array(foreign, pa.bool_()),
                      pa.array(scores, pa.list_(pa.float64()))],
-                    ["row", "declared", "suffix", "host", "domain", "own", "own_p", "foreign", "scores"],
+                    ["row", *(["text"] if with_text else []), "declared", "suffix", "host", "domain", "own", "own_p", "foreign", "scores"],
                 )
 
     row = source.schema["row"].dataType.simpleString()
     return source.mapInArrow(
         run,
-        f"row {row}, declared string, suffix string, host string, domain string, own int, own_p double, foreign boolean, scores array<double>",
+        f"row {row}, {'text string, ' if with_text else ''}declared string, suffix string, host string, domain string, own int, own_p double, foreign boolean, scores array<double>",
     )
 
 
@@ -210,7 +241,10 @@ def identify(
         kept = [F.col(f"`{c}`") for c in carry]
         none = F.lit(None).cast("string")
         return rows.select(*kept, none.alias("detected"), F.lit(0.0).alias("confidence"), none.alias("text_detected"), none.cast("double").alias("text_confidence"), none.alias("declared"))
-    found = written(_evidence(rows, model, settings, carry, text_col, html_col, url_col, declared_col, host_col), "evidence")
+    once = text_col if text_col in carry and rows.schema[text_col].dataType.simpleString() == "string" else None
+    others = [c for c in carry if c != once]  # a text that is carried goes to the workers once
+    found = _evidence(rows, model, settings, others, text_col, html_col, url_col, declared_col, host_col, once is not None)
+    found = written(found, "evidence")
     slim = found.select("declared", "suffix", "host", "domain", "own")
     overall = list(_counted(slim, None, width).first()["c"])  # one row
     overall = [float(x or 0) for x in overall]
@@ -243,7 +277,7 @@ def identify(
     any_evidence = F.coalesce(F.col("own").isNotNull() | F.col("declared_p").isNotNull() | F.col("suffix_p").isNotNull() | F.col("host_counts").isNotNull(), F.lit(False)) & ~F.col("foreign")
     best = F.get(names, F.array_position("_total", F.col("_most")).cast("int") - 1)
     return out.select(
-        *(F.col("row").getField(c).alias(c) for c in carry),
+        *(F.col("text").alias(c) if c == once else F.col("row").getField(c).alias(c) for c in carry),
         F.when(any_evidence, best).alias("detected"),
         F.when(any_evidence, 1 / weights).otherwise(F.lit(0.0)).alias("confidence"),
         F.get(names, F.col("own")).alias("text_detected"),

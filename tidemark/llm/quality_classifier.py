@@ -153,6 +153,7 @@ def co_train(
         even = weight * np.where(y == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share))
         return fit_logistic(x, y, even, penalty=settings.penalty * max(1.0, 1000 / len(y)))
 
+    ties = np.random.default_rng(11).permutation(len(more_text))  # so that equal rows of the pool are taken in no order
     weights = [fit(0), fit(1)]
     for _ in range(settings.rounds):
         for v in (0, 1):
@@ -160,8 +161,11 @@ def co_train(
                 continue
             p = _p(_logit(pool[v], weights[v]))
             for kind, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: settings.per_round]
-                given[1 - v].update({int(i): kind for i in best if sure[i] >= settings.sure})
+                new = np.ones(len(pool[v]), bool)
+                new[np.fromiter(given[1 - v], np.int64, len(given[1 - v]))] = False
+                new = np.flatnonzero(new & (sure >= settings.sure))
+                best = new[np.lexsort((ties[new], -sure[new]))[: settings.per_round]]
+                given[1 - v].update({int(i): kind for i in best})
         weights = [fit(0), fit(1)]
     raw = [_logit(text[held], weights[0]), _logit(meta[held], weights[1])]
     even = np.ones(held.sum())

@@ -6,10 +6,11 @@ others are revisits of it, with headers but no payload; the digests that repeat
 no group of copies, however large, meets in one task.
 
 Index. Each task also sorts its index entries by (URL key, timestamp, id) and writes them as a run: an Arrow
-file whose blocks stay within one key range. Ranges come from a sample of the keys, bounded by ``RANGES``.
+file whose blocks stay within one key range. Ranges come from a sample of the keys, ``SAMPLE`` a range.
 For each range one task merges that part of all runs with a loser tree, reading a block of each run at a
-time; more runs than ``FAN_IN`` are merged in several passes. The ranges in order are the capture history
-of all URLs in global order, written as index files.
+time; more runs than ``FAN_IN`` are merged in several passes, in which each group of runs and range is a task
+that writes as it merges. The ranges in order are the capture history of all URLs in global order, written
+as index files.
 
 Reading goes through the merged index: the archives' records are read at the places it names, digests are
 checked, and a revisit's payload length and digest are those its headers give.
@@ -40,7 +41,7 @@ from .common import scratch_path, ship
 
 LEAST_PAYLOAD = 100
 FILE_BYTES, ROLL_RECORDS = 64_000_000, 20_000
-RANGES, PER_RANGE, SAMPLE = 1024, 200_000, 16
+PER_RANGE, SAMPLE = 200_000, 16
 FAN_IN, BLOCK_ROWS = 64, 2048
 #: Date of a capture without one: this instant and its id in seconds.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
@@ -174,14 +175,19 @@ def _run_file(entries: list[dict], splits: list[tuple]) -> bytes:
 
 
 def _run_part(uri: str, wanted: int) -> Iterator[dict]:
-    """The entries of one range of a run, a block in memory at a time."""
-    system, path = fs.FileSystem.from_uri(uri)
+    """The entries of one range of a run, a block in memory at a time. A merged run is a folder, a file a range."""
+    merged = uri.endswith("/")
+    system, path = fs.FileSystem.from_uri(f"{uri}{wanted}.run" if merged else uri)
     with system.open_input_file(path) as f:
-        size = int.from_bytes(f.read(8), "little")
-        blocks = json.loads(f.read(size))
-        if wanted not in blocks:
-            return
-        reader = pa.ipc.open_file(_Shifted(f, 8 + size))
+        if merged:
+            reader = pa.ipc.open_file(f)
+            blocks = [wanted] * reader.num_record_batches
+        else:
+            size = int.from_bytes(f.read(8), "little")
+            blocks = json.loads(f.read(size))
+            if wanted not in blocks:
+                return
+            reader = pa.ipc.open_file(_Shifted(f, 8 + size))
         for i, r in enumerate(blocks):
             if r == wanted:
                 yield from reader.get_batch(i).to_pylist()
@@ -230,9 +236,9 @@ def _captures(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
 
 
 def _splits(pages: DataFrame, id_col: str, url_col: str) -> list[tuple]:
-    """Borders of the key ranges: every SAMPLE-th key of a sample of at most about RANGES * SAMPLE keys."""
+    """Borders of the key ranges, of about PER_RANGE captures each: every SAMPLE-th key of a sample."""
     total = pages.count()
-    ranges = min(RANGES, -(-total // PER_RANGE) + 1)
+    ranges = -(-total // PER_RANGE) + 1
     if total == 0 or ranges < 2:
         return []
     every = max(1, total // (ranges * SAMPLE))
@@ -299,30 +305,31 @@ def write_archive(
     runs = [r["run"] for r in captures.mapInArrow(run, "run string, entries bigint").collect()]  # a row an archive file
     while len(runs) > FAN_IN:
         groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
-        runs = [r["run"] for r in _merge_pass(spark, groups, folder, splits).collect()]
+        runs = _merge_pass(spark, groups, folder, len(splits) + 1)
     return _merged(spark, runs, folder, len(splits) + 1)
 
 
-def _merge_pass(spark: SparkSession, groups: list[list[str]], folder: str, splits: list[tuple]) -> DataFrame:
-    """Each group of runs becomes one run, written range by range."""
-    tasks = spark.createDataFrame([(g,) for g in groups], "runs array<string>").repartition(len(groups))
+def _merge_pass(spark: SparkSession, groups: list[list[str]], folder: str, ranges: int) -> list[str]:
+    """Each group of runs becomes one run; a task merges one range of one group and writes as it goes."""
+    name = uuid.uuid4().hex
+    runs = [f"{folder}/runs/{name}-{k}/" for k in range(len(groups))]
+    tasks = spark.createDataFrame(list(zip(runs, groups)), "run string, parts array<string>")
+    tasks = tasks.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)).cast("array<bigint>"))).repartition(len(groups) * ranges, "run", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in batch.column("runs").to_pylist():
-                uri = f"{folder}/runs/{uuid.uuid4().hex}.run"
-                out, blocks = io.BytesIO(), []
-                writer = pa.ipc.new_file(out, ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                for r in range(len(splits) + 1):
+            for uri, group, r in zip(*(batch.column(c).to_pylist() for c in ("run", "parts", "id"))):
+                system, path = fs.FileSystem.from_uri(f"{uri}{r}.run")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                own = f"{path}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(own) as f, pa.ipc.new_file(f, ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     for block in _blocks(LoserTree([_run_part(x, r) for x in group], _order)):
                         writer.write_batch(pa.RecordBatch.from_pylist(block, ENTRY))
-                        blocks.append(r)
-                writer.close()
-                head = json.dumps(blocks).encode()
-                _write(uri, len(head).to_bytes(8, "little") + head + out.getvalue())
-                yield pa.RecordBatch.from_arrays([pa.array([uri])], ["run"])
+                system.move(own, path)
+            yield batch.select(["id"])
 
-    return tasks.mapInArrow(run, "run string")
+    tasks.mapInArrow(run, "id bigint").agg(F.count("*")).collect()
+    return runs
 
 
 def _blocks(rows) -> Iterator[list[dict]]:
