@@ -273,7 +273,8 @@ def test_warc(spark, monkeypatch):
     same = "<p>" + "x" * 200
     rows = [(i, f"http://h{i % 3}.example.com/{i}", same if i % 2 else f"<p>{i}") for i in range(40)] + [(50, None, None), (51, "u\r\nv", "é" * 70), (None, "n", same)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, digest string").repartition(9)
-    monkeypatch.setattr(warc, "FAN_IN", 3)  # 13 runs or so: two passes before the last
+    monkeypatch.setattr(warc, "FAN_IN", 3)  # 11 runs or more: two passes before the last
+    monkeypatch.setattr(warc, "ROLL_RECORDS", 4)
     monkeypatch.setattr(warc, "PER_RANGE", 9)
     folder = scratch_path(spark, "test-archive")
     index = warc.write_archive(pages, folder)

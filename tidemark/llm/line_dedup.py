@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 WINDOW, LONG_LINE = 3, 50
 
 
@@ -61,7 +63,8 @@ def _windows(keys: DataFrame, window: int, long_line: int) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("full") - F.col("width"))
     windows = F.transform(starts, of_lines)
     long_ones = F.transform(F.filter("full", is_long), lambda x: hashed(x["line"], x["at"], x["at"]))
-    windows = F.when(F.col("width") > 1, F.concat(windows, long_ones)).otherwise(windows)
+    any_long = (F.col("width") > 1) & F.exists("full", is_long)
+    windows = F.when(any_long, F.concat(windows, long_ones)).otherwise(windows)
     return full.select("doc_id", "text_hash", F.explode(windows).alias("w")).select(
         "doc_id", "text_hash", "w.*"
     )
@@ -73,7 +76,7 @@ def line_dedup(
     """``docs`` with its text column cleaned, and ``n_lines`` and ``n_removed`` (int) added."""
     text = docs[text_col].cast("string")
     keys = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    seen = _windows(keys, window, long_line)
+    seen = written(_windows(keys, window, long_line), "windows")  # hashes and places, cut and hashed once
     place = F.struct("doc_id", "text_hash", "first_line")
     # Aggregated in each task first: a window that a third of the corpus holds is one row a task here.
     repeated = (
@@ -87,6 +90,8 @@ def line_dedup(
     covered = later.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.flatten(F.collect_list(F.sequence("first_line", "last_line"))).alias("_covered")
     )
+    covered = written(covered, "covered-lines")
+    discard(seen)
     whole = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), text.alias("text"))
     both = whole.join(
         covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left"

@@ -8,7 +8,7 @@
    that share one make a group, and groups of the same sets are compared once, by parity sketches: the Hamming
    distance of two sketches is never more than the sets' difference, so a distance over the limit rules a
    link out, exactly. What is left is connected into classes; a link never leaves its class. Frequent n-grams
-   are counted in all texts, each worker's counts cut to those it meets often; they change costs, never results.
+   are counted in all sets, in each task by counters of bounded size; they change costs, never results.
 3. Prefix-tree join. The sets of a class are stored in a trie, in descending frequency, and walked once for
    all of them: overlaps of the shared path are counted once, and a subtree is left where, for every set,
    the overlap so far and what its lengths leave cannot reach the threshold. Leaves give exact links.
@@ -59,6 +59,8 @@ class Join:
     class_grams: int = 4_000_000
     #: Frequent n-grams known to workers (16 bytes each).
     frequent: int = 200_000
+    #: One in so many groups is compared first.
+    first_part: int = 16
     #: Rows up to which the table of classes is broadcast (some 60 bytes each); beyond it is a shuffled join.
     broadcast_rows: int = 1_000_000
 
@@ -196,14 +198,37 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str])
         yield (*(c[0] for c in left[: len(keys)]), *left[len(keys) :])
 
 
-def _merged_counts(grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal n-grams added up; of more than twice ``most``, the ``most`` largest."""
-    grams, back = np.unique(grams, return_inverse=True)
-    counts = np.bincount(back, counts, len(grams)).astype(np.int64)
-    if len(grams) > 2 * most:
-        keep = np.sort(np.argpartition(counts, len(counts) - most)[len(counts) - most :])
-        grams, counts = grams[keep], counts[keep]
-    return grams, counts
+class _Frequent:
+    """The n-grams that many sets of a task hold: counters by a hash see all of them, those that pass a bound are listed."""
+
+    def __init__(self, slots: int = 1 << 22, least: int = 8):
+        self.counters, self.mask, self.least, self.total = np.zeros(slots, np.uint32), _U(slots - 1), least, 0
+        self.listed = np.zeros(0, _U)
+        self.new: list[np.ndarray] = []
+
+    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams >> _U(17)) & self.mask).astype(np.int64)
+
+    def bound(self) -> int:
+        """Well over what other n-grams of the same counter add up to."""
+        return max(self.least, 4 * self.total // len(self.counters))
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        grams = np.concatenate(sets) if sets else self.listed[:0]
+        self.total += len(grams)
+        slots = self._slots(grams)
+        np.add.at(self.counters, slots, np.uint32(1))
+        self.new.append(np.unique(grams[self.counters[slots] >= self.bound()]))
+        if sum(map(len, self.new)) > 1_000_000:
+            self.listed, self.new = np.unique(np.concatenate([self.listed, *self.new])), []
+
+    def largest(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most so many n-grams and their counts, about."""
+        grams = np.unique(np.concatenate([self.listed, *self.new]))
+        counts = self.counters[self._slots(grams)].astype(np.int64)
+        keep = np.lexsort((grams, -counts))[:most]
+        keep = keep[counts[keep] >= self.bound()]
+        return grams[keep], counts[keep]
 
 
 def _described(docs: DataFrame, join: Join) -> DataFrame:
@@ -212,28 +237,27 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["is_doc", "doc_id", "n", "set_id", "key", "sketch"]
-        grams, counts, texts = np.zeros(0, _U), np.zeros(0, np.int64), 0
         met: set[int] = set()
+        frequent = _Frequent()
         for batch in batches:
             for part in steps(batch, most=STEP_BYTES):
                 sets = gram_sets(part.column("text"), join.n)
-                found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (grams, counts)
-                grams, counts = _merged_counts(np.concatenate([grams, found[n > 1]]), np.concatenate([counts, n[n > 1]]), join.frequent)
-                texts += len(sets)
                 ids = [set_id(x) if len(x) else None for x in sets]
                 keys = [None if x is None else _key(x) for x in ids]
-                sketches = []
-                for x, key in zip(sets, keys):
-                    sketches.append(None if key is None or key in met else parity_sketch(x))
+                new = []
+                for key in keys:
+                    new.append(key is not None and key not in met)
                     met.add(key)
+                sketches = [parity_sketch(x) if fresh else None for x, fresh in zip(sets, new)]
+                frequent.add([x for x, fresh in zip(sets, new) if fresh])
                 if len(met) > REMEMBERED:
                     met.clear()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([True] * len(sets)), part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()),
                      pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names,
                 )
-        many = counts >= max(4, texts // 500)
-        grams, counts = grams[many].view(np.int64), counts[many].astype(np.int32)
+        grams, counts = frequent.largest(join.frequent)
+        grams, counts = grams.view(np.int64), counts.astype(np.int32)
         none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([False] * len(grams), pa.bool_()), none[0], pa.array(counts), none[1], pa.array(grams), none[2]], names
@@ -338,8 +362,11 @@ def _shared(rows: DataFrame, join: Join) -> DataFrame:
                 if size > join.block or part[at] > 0:
                     sent += send(1, int(gram[at]), own)
                 elif (n[at : at + size] > 0).any():
-                    lengths = np.sort(np.abs(n[at : at + size]).astype(np.int64))
-                    if (join.den * lengths[:-1] >= join.num * lengths[1:]).any():
+                    lengths = np.abs(n[at : at + size]).astype(np.int64)
+                    order = np.argsort(lengths, kind="stable")
+                    near = join.den * lengths[order[:-1]] >= join.num * lengths[order[1:]]
+                    own = own[np.sort(order[np.append(near, False) | np.append(False, near)])]  # the others have no partner
+                    if len(own):
                         name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
                         if name not in met:
                             met.add(name)
@@ -381,8 +408,19 @@ def _dealt(rows: DataFrame, blocks: str, by: str) -> DataFrame:
     return rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", blocks)
 
 
+def _spanning(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the groups in ``rows`` (group, key, ...) those that have keys of several classes."""
+    of = rows.select("group", "key").join(classes, F.col("key") == F.col("node"), "left")
+    of = of.select("group", F.coalesce("component", "key").alias("c")).groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return rows.join(of.where("low <> high").select("group"), "group", "left_semi")
+
+
 def _candidate_edges(docs: DataFrame, described: DataFrame, join: Join) -> DataFrame:
-    """Edges between keys that connect, in each group of sets sharing a first n-gram, those that sketches don't rule out."""
+    """Edges between keys that connect, in each group of sets sharing a first n-gram, those that sketches don't rule out.
+
+    Near copies share many n-grams, in as many groups that differ by a set or two. A part of the groups connects most
+    of them; then only groups that still have sets of several classes are compared.
+    """
     shared = written(_shared(_prefixes(docs, described, join), join), "shared")
     release(docs.sparkSession)
     sketches = described.where("sketch IS NOT NULL").select("key", "n", "sketch").dropDuplicates(["key"])
@@ -391,7 +429,19 @@ def _candidate_edges(docs: DataFrame, described: DataFrame, join: Join) -> DataF
     whole = whole.withColumns({"block": none, "bi": none, "bj": none})
     large = shared.where("kind = 1").select("group", "key").distinct()
     sizes = large.groupBy("group").agg(F.ceil(F.count("*") / join.block).alias("blocks"))
-    rows = whole.unionByName(_dealt(large.join(sizes, "group"), "blocks", "key")).join(sketches, "key")
+    every = written(whole.unionByName(_dealt(large.join(sizes, "group"), "blocks", "key")), "groups")
+    discard(shared)
+    first = F.pmod(F.xxhash64("group"), F.lit(join.first_part)) == 0
+    edges = written(_compared(every.where(first), sketches, join), "candidates")
+    rest = _spanning(every.where(~first), components(edges))
+    more = written(_compared(rest, sketches, join), "candidates")
+    discard(every)
+    return edges.unionByName(more)
+
+
+def _compared(rows: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """Edges between keys of a group that sketches don't rule out, but for those whose keys are connected anyway."""
+    rows = rows.join(sketches, "key")
     rows = rows.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj", "n", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -576,7 +626,7 @@ def ngram_join(
     # Summed in each task first: a set that a third of the corpus has is one row a task.
     sets = real.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("key").alias("key"), F.first("n").alias("n"))
     sets = written(sets, "sets")
-    edges = written(_candidate_edges(docs, described, join), "candidates")
+    edges = _candidate_edges(docs, described, join)
     release(docs.sparkSession)
     links = written(_class_links(components(edges), docs, sets, join), "links")
     # An id with several texts holds their components together.
