@@ -234,6 +234,22 @@ def test_ngram_join(spark, join):
     assert sorted(repr(tuple(r)) for r in got) == brute_components(rows, join.n, join.num, join.den)
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, monkeypatch, few):
+    from tidemark.llm import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
+    random.seed(15)
+    edges = [(random.randrange(60), random.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)]
+    sets = graph.Sets()
+    for a, b in edges:
+        sets.join(a, b)
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    got = graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).distinct().collect()
+    assert sorted((r["node"], r["component"]) for r in got) == sorted((x, sets.top(x)) for x in nodes)
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
 

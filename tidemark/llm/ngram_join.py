@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, ship, written
-from .graph import components
+from .graph import Sets, components
 from .tokens import steps
 
 #: Bytes of text worked on at once, and those whose words are hashed at once.
@@ -153,29 +153,6 @@ def _folded(sketch: bytes, words: int) -> np.ndarray:
     return x
 
 
-class _Sets:
-    """Union-find over set keys."""
-
-    def __init__(self) -> None:
-        self.up: dict = {}
-
-    def top(self, x):
-        root = x
-        while (y := self.up.get(root, root)) != root:
-            root = y
-        while (y := self.up.get(x, x)) != root:
-            self.up[x] = root
-            x = y
-        return root
-
-    def join(self, x, y) -> bool:
-        x, y = self.top(x), self.top(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[tuple]:
     """The columns ``keys`` (one value each) and ``names`` (arrays, lists of binary ones) of each run of rows of equal
     keys, of a stream sorted by them."""
@@ -445,7 +422,7 @@ def _compared(rows: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
     rows = rows.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj", "n", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, out = _Sets(), []
+        sets, out = Sets(), []
         for _, bi, bj, block, key, size, raw in _runs(batches, ["group", "bi", "bj"], ["block", "key", "n", "sketch"]):
             if len(key) < 2:
                 continue
@@ -582,7 +559,7 @@ def _class_links(classes: DataFrame, docs: DataFrame, sets: DataFrame, join: Joi
             right = left if bi == bj else here[block[here] == bj]
             if not len(left) or not len(right):
                 continue
-            sets, total = _Sets(), np.zeros(len(names), np.int64)
+            sets, total = Sets(), np.zeros(len(names), np.int64)
             grams = [np.frombuffer(x, _U) for x in raw]
             for i, found in PrefixTree([grams[k] for k in left], [grams[k] for k in right], join.num, join.den).links():
                 me, others = left[i], right[found]
