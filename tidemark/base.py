@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 3000
+BATCH_ROWS = 1000
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
