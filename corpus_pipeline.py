@@ -33,6 +33,8 @@ from tidemark.llm.queries import tokenizer_file
 
 #: Below this probability a document's language counts as unknown.
 LEAST_CONFIDENCE = 0.5
+#: Ids of documents to drop that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = ngram_join(keyed, "_key", "_text", Join(n=5, num=80, den=100))
     found = written(found.select(F.col("doc_id").alias("_id"), "component_id"), "components")
     gone = found.where("_id <> component_id").select("_id").distinct()
-    kept = keyed.join(gone, F.col("_key") == F.col("_id"), "left_anti")
+    small = gone.count() <= BROADCAST_ROWS  # ids alone; beyond, texts are shuffled to them
+    kept = keyed.join(F.broadcast(gone) if small else gone, F.col("_key") == F.col("_id"), "left_anti")
     twice = found.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
     if not twice.isEmpty():  # rows of one id: one stays
         same = kept.join(twice, F.col("_key") == F.col("_id"), "left_semi")

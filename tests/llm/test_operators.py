@@ -69,12 +69,13 @@ def brute_lines(rows, window=3, long_line=50):
     return out
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     random.seed(1)
     passage = [f"word{k} " * 51 for k in range(4)]
     lines = ["a", "b", "c", "", "d ", "e", "f", *passage]
     rows = [(i, "\n".join(random.choice(lines) for _ in range(random.randint(1, 9)))) for i in range(60)] + EDGES
     for long_line in (50, 51):
+        monkeypatch.setattr("tidemark.llm.line_dedup.BROADCAST_BYTES", 32_000_000 * (long_line - 50))
         got = line_dedup(docs(spark, rows), long_line=long_line)
         assert set(docs(spark, rows).columns) < set(got.columns)
         want = brute_lines(rows, long_line=long_line)

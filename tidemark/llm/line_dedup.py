@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 WINDOW, LONG_LINE = 3, 50
+BROADCAST_BYTES = 32_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -92,6 +93,10 @@ def line_dedup(
     )
     covered = written(covered, "covered-lines")
     discard(seen)
+    # Up to BROADCAST_BYTES the lines to remove go to the texts; beyond, texts and lines meet in a shuffled join.
+    size = covered.agg((F.count("*") * 64 + F.coalesce(F.sum(F.size("_covered")), F.lit(0)) * 4).alias("bytes")).first()["bytes"]
+    if size <= BROADCAST_BYTES:
+        covered = F.broadcast(covered)
     whole = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), text.alias("text"))
     both = whole.join(
         covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left"
