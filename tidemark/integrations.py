@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from .plans.cache import ContextCache
 from .sources.connectors import Dispatcher, UnknownSource
 
 
 def graph_node(cache: ContextCache, *, query_key: str = "question", output_key: str = "context", namespace: str | None = None) -> Callable[[dict], dict]:
-    """A node that reads its query from the state and returns the context under a key."""
+    """A node that reads its query from the state (empty where it has none) and returns the context under a key."""
 
     def node(state: dict[str, Any]) -> dict[str, Any]:
-        return {output_key: cache.get(state[query_key], namespace=namespace).context}
+        return {output_key: cache.get(state.get(query_key) or "", namespace=namespace).context}
 
     return node
 
@@ -32,33 +35,41 @@ def tools(cache: ContextCache) -> list[Tool]:
 
     def get_context(query: str, namespace: str | None = None) -> dict[str, Any]:
         r = cache.get(query, namespace=namespace)
-        sources = sorted({c.artifact_id for c in r.evidence})
+        sources = [c.artifact_id for c in r.evidence]
         return {"context": r.context, "raw": r.raw_text, "sources": sources, "cache_hit": r.cache_hit, "coverage": r.coverage}
 
     schema = {"type": "object", "properties": {"query": {"type": "string"}, "namespace": {"type": "string"}}, "required": ["query"]}
     return [Tool("get_context", "Fresh context for a question, with its sources.", get_context, schema)]
 
 
-def web_application(dispatcher: Dispatcher, *, secret: str | None = None) -> Any:
-    """A FastAPI application that takes POST /webhooks/{source}: 404 for unknown sources, 401 for bad signatures."""
-    import json
+def receive_webhook(dispatcher: Dispatcher, source: str, body: bytes, signature: str | None = None, secret: str | None = None) -> tuple[int, dict[str, Any]]:
+    """(HTTP status, reply) for one payload: 400 if it is no JSON, 404 for unknown sources, 401 for bad signatures."""
+    try:
+        text = body.decode()
+        json.loads(text)
+    except ValueError as e:  # not UTF-8 or not JSON
+        return 400, {"detail": f"malformed payload: {e}"}
+    payloads = SparkSession.active().createDataFrame([(0, source, text, signature)], "seq bigint, source string, payload string, signature string")
+    try:
+        return 200, {"accepted": dispatcher.dispatch(payloads, secret).count()}
+    except UnknownSource as e:
+        return 404, {"detail": str(e)}
+    except PermissionError as e:
+        return 401, {"detail": str(e)}
 
-    from fastapi import FastAPI, HTTPException, Request
-    from pyspark.sql import SparkSession
+
+def web_application(dispatcher: Dispatcher, *, secret: str | None = None) -> Any:
+    """A FastAPI application that takes POST /webhooks/{source}; Spark's jobs run in its thread pool."""
+    from fastapi import FastAPI, Request
+    from fastapi.concurrency import run_in_threadpool
+    from fastapi.responses import JSONResponse
 
     app = FastAPI()
 
     @app.post("/webhooks/{source}")
-    async def receive(source: str, request: Request) -> dict[str, int]:
-        body = (await request.body()).decode()
-        json.loads(body)
-        row = (0, source, body, request.headers.get("x-hub-signature-256"))
-        payloads = SparkSession.active().createDataFrame([row], "seq bigint, source string, payload string, signature string")
-        try:
-            return {"accepted": dispatcher.dispatch(payloads, secret).count()}
-        except UnknownSource as e:
-            raise HTTPException(404, str(e)) from e
-        except PermissionError as e:
-            raise HTTPException(401, str(e)) from e
+    async def receive(source: str, request: Request) -> JSONResponse:
+        signature = request.headers.get("x-hub-signature-256")
+        status, reply = await run_in_threadpool(receive_webhook, dispatcher, source, await request.body(), signature, secret)
+        return JSONResponse(reply, status_code=status)
 
     return app
