@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import embedders
@@ -10,6 +11,8 @@ from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.functions.synthesis import Chunk
 from tidemark.operators import freshness as R
+from tidemark.operators import similarity
+from tidemark.operators.provenance import until_evicted
 from tidemark.operators.stats import suggest
 from tidemark.plans.engine import Engine, text_hash
 from tidemark.sources.store import UnitStore
@@ -82,6 +85,43 @@ def test_payload_stream_reaches_the_store(spark, tmp_path):
     assert {r["id"]: r["status"] for r in store.all().collect()} == {"u1": "fresh", "u2": "dirty"}
 
 
+def test_nothing_follows_an_eviction(spark):
+    rows = [(1, "u", "dirty"), (2, "u", "evict"), (3, "u", "dirty"), (4, "u", "evict"), (3, "v", "skip")]
+    left = until_evicted(spark.createDataFrame(rows, "event_seq bigint, unit string, action string"))
+    assert sorted(map(tuple, left.collect())) == [(1, "u", "dirty"), (2, "u", "evict"), (3, "v", "skip")]
+
+
+@pytest.mark.parametrize("namespaces", ["none", "equal", "visible"])
+@pytest.mark.parametrize("groups", [False, True])
+def test_similarity_equals_all_pairs(spark, monkeypatch, namespaces, groups):
+    """Items broadcast, and streamed in several blocks against several parts of the queries; ties go to the smaller seq."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, "a", "b"]), [float(rnd.randint(-1, 1)) for _ in range(3)]) for i in range(90)]
+    items = spark.createDataFrame(rows, "seq bigint, ns string, vector array<double>").repartition(3)
+    asked = items.withColumnRenamed("seq", "qid")
+    sees = {"none": lambda a, b: True, "equal": lambda a, b: a == b, "visible": lambda a, b: a is None or b is None or a == b}[namespaces]
+    want = {}
+    for i, own, x in rows:
+        found = [(-round(embedders.cosine(x, y), 9), j, ns) for j, ns, y in rows if i != j and sees(own, ns)]
+        parts = [[f for f in found if f[2] == ns] for ns in (None, "a", "b")] if groups else [found]
+        for p in parts:
+            want |= {(i, j): (s * -1 + 0.0, r) for r, (s, j, _) in enumerate(sorted(p, key=lambda f: f[:2])[:4], 1)}
+    for broadcast, block, held in ((similarity.BROADCAST_BYTES, 8192, 16_384), (0, 7, 11)):
+        monkeypatch.setattr(similarity, "BROADCAST_BYTES", broadcast)
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(similarity, "ASKED", held)
+        got = similarity.similarity_topk(asked, items, 4, positive=False, namespaces=namespaces, not_itself=True, groups=groups).collect()
+        assert {(r["qid"], r["seq"]): (r["score"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pair_scores_by_namespace(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "b", [0.0, 1.0]), (4, "b", [1.0, 0.0])]
+    items = spark.createDataFrame(rows, "seq bigint, ns string, vector array<double>")
+    got = {(r["same"], r["score"]): r["c"] for r in similarity.pair_scores(items, by_namespace=True).collect()}
+    assert got == {(True, 1.0): 1, (True, 0.0): 1, (False, 0.0): 2, (False, 1.0): 2}
+    assert {r["score"]: r["c"] for r in similarity.pair_scores(items).collect()} == {1.0: 3, 0.0: 3}
+
+
 def test_columns_equal_python(spark):
     texts = ["Policies of the class", "leave LEAVES", "", "Ünder 21 days, gives", "a1 b2 s ss sss ssss"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string")

@@ -63,6 +63,12 @@ def fold_actions(actions: DataFrame) -> DataFrame:
     return per.select("unit", outcome.alias("outcome"), F.coalesce("evicted", "dirtied").alias("event_seq"))
 
 
+def until_evicted(actions: DataFrame) -> DataFrame:
+    """The actions of a batch in event order: what comes after a unit's first eviction finds nothing."""
+    gone = F.min(F.when(F.col("action") == "evict", F.col("event_seq"))).over(Window.partitionBy("unit"))
+    return actions.withColumn("_gone", gone).where("_gone IS NULL OR event_seq <= _gone").drop("_gone")
+
+
 def related_pairs(seeds: DataFrame, by_entity: DataFrame, by_artifact: DataFrame) -> DataFrame:
     """(seed, unit, relation): units that share an entity, else those that share a source; not the seed itself."""
     def shared(index: DataFrame, key: str, relation: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Vectors meet as matrices in Arrow batches. The item side is collected and broadcast only up to
 ``BROADCAST_BYTES``; beyond that it is a table in the shared folder that workers stream through, block by
-block. Either way each task keeps k rows a query, and no pair leaves a task unless it is among them.
+block, once for each ``ASKED`` queries of a task. Either way each task keeps k rows a query, and no pair
+leaves a task unless it is among them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..base import ship, written
 
 BROADCAST_BYTES = 64_000_000
 BLOCK = 8192
+#: Queries that a task holds at once while it goes through the items.
+ASKED = 16_384
 #: Decimals to which scores of real-valued vectors are rounded before they are ranked.
 DECIMALS = 9
 
@@ -70,6 +73,43 @@ def _item_blocks(items: DataFrame, dim: int | None, normalise: bool) -> Callable
     return blocks
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches in tables of about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Best:
+    """The k best (score, seq) of each query so far; -inf where there are fewer."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.seq = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, rows: slice, score: np.ndarray, seq: np.ndarray) -> None:
+        """Scores of some queries with a block of items in seq order; what may not be found is -inf."""
+        k, old, own = self.k, self.score[rows], self.seq[rows]
+        least = old[:, -1:]  # the worst of k so far: less can't come in
+        if score.shape[1] > k:
+            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k, None])
+        tied = score == least
+        tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= k  # items are in seq order: of equal ones the first k do
+        i, j = np.nonzero(((score > least) | tied) & (score > -np.inf))
+        if not len(i):
+            return
+        row = np.concatenate([np.repeat(np.arange(len(old)), k), i])
+        value, place = np.concatenate([old.ravel(), score[i, j]]), np.concatenate([own.ravel(), seq[j]])
+        order = np.lexsort((place, -value, row))
+        row = row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        self.score[rows], self.seq[rows] = value[order][kept].reshape(-1, k), place[order][kept].reshape(-1, k)
+
+
 def similarity_topk(
     queries: DataFrame, items: DataFrame, k: int, positive: bool = True, namespaces: str = "none", decimals: int | None = DECIMALS,
     not_itself: bool = False, dim: int | None = None, groups: bool = False, normalise: bool = True,
@@ -90,55 +130,67 @@ def similarity_topk(
     blocks = _item_blocks(items, dim, normalise)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                q, ns = _matrix(batch.column("vector"), dim), batch.column("ns").to_pylist()
-                ids, size = batch.column("qid").to_numpy(), _norms(q) if normalise else np.ones(len(q))
-                best: list[dict[str | None, list[tuple[float, int]]]] = [{} for _ in ids]
-                for seq, own, x, norms in blocks():
-                    both = np.outer(size, norms)
+        for batch in _gathered(batches, ASKED):
+            ids, names = batch["qid"].to_numpy(), batch["ns"].to_pylist()
+            codes: dict[str | None, int] = {None: 0}
+            number = lambda values: np.array([codes.setdefault(v, len(codes)) for v in values], np.int64)
+            ns, best = number(names), {}
+            parts = [slice(i, i + 512) for i in range(0, len(ids), 512)]
+            asked = [_matrix(batch["vector"].slice(p.start, 512), dim) if dim is None else batch["vector"].slice(p.start, 512) for p in parts]
+            for seq, own_names, x, norms in blocks():
+                own = number(own_names)
+                for p, q in zip(parts, asked):
+                    q = q if dim is None else _matrix(q, dim)
+                    both = np.outer(_norms(q) if normalise else np.ones(len(q)), norms)
                     score = np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0)
                     if decimals is not None:
                         score = np.round(score, decimals)
-                    for i in range(len(ids)):
-                        row = score[i]
-                        ok = row > 0 if positive else np.ones(len(row), bool)
-                        if namespaces == "equal":
-                            ok &= own == ns[i]
-                        elif namespaces == "visible" and ns[i] is not None:
-                            ok &= (own == ns[i]) | (own == None)  # noqa: E711
-                        if not_itself:
-                            ok &= seq != ids[i]
-                        for name in sorted(set(own), key=str) if groups else [None]:
-                            at = np.flatnonzero(ok & (own == name) if groups else ok)
-                            at = at[np.lexsort((seq[at], -row[at]))[:k]]
-                            found = ((-float(row[j]), int(seq[j])) for j in at)
-                            best[i][name] = sorted([*best[i].get(name, []), *found])[:k]
-                rows = [(int(ids[i]), s, -v, r) for i, own in enumerate(best) for found in own.values() for r, (v, s) in enumerate(found, 1)]
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["qid", "seq", "score", "rank"])
+                    if positive:
+                        score[score <= 0] = -np.inf
+                    mine = ns[p, None]
+                    if namespaces == "equal":
+                        score[own != mine] = -np.inf
+                    elif namespaces == "visible":
+                        score[(own != mine) & (own != 0) & (mine != 0)] = -np.inf
+                    if not_itself:
+                        score[seq == ids[p, None]] = -np.inf
+                    for name in np.unique(own) if groups else [-1]:
+                        if name not in best:
+                            best[name] = _Best(len(ids), k)
+                        of = np.flatnonzero(own == name) if groups else slice(None)
+                        best[name].add(p, score[:, of], seq[of])
+            for b in best.values():
+                i, r = np.nonzero(b.score > -np.inf)
+                columns = (pa.array(ids[i]), pa.array(b.seq[i, r]), pa.array(b.score[i, r] + 0.0), pa.array((r + 1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(list(columns), ["qid", "seq", "score", "rank"])
 
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast(kind).alias("vector"))
     return asked.mapInArrow(run, "qid bigint, seq bigint, score double, rank int")
 
 
-def pair_scores(items: DataFrame, decimals: int = DECIMALS) -> DataFrame:
-    """(score, c): how many pairs of ``items`` (seq, ns, vector) have each cosine, rounded; pairs stay in workers."""
+def pair_scores(items: DataFrame, decimals: int = DECIMALS, by_namespace: bool = False) -> DataFrame:
+    """(score, c): how many pairs of ``items`` (seq, ns, vector) have each cosine, rounded; pairs stay in workers.
+
+    ``by_namespace`` adds a column same: whether the two items of the pairs have one namespace.
+    """
     ship(items.sparkSession)
     blocks = _item_blocks(items, None, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                q, ids = _matrix(batch.column("vector")), batch.column("seq").to_numpy()
-                size = _norms(q)
-                for seq, _, x, norms in blocks():
-                    both = np.outer(size, norms)
+        for batch in _gathered(batches, ASKED):
+            every, names = batch["seq"].to_numpy(), np.array(batch["ns"].to_pylist(), object)
+            for seq, own, x, norms in blocks():
+                for first in range(0, len(every), 512):
+                    part = slice(first, first + 512)
+                    q, ids = _matrix(batch["vector"].slice(first, 512)), every[part]
+                    both = np.outer(_norms(q), norms)
                     score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0), decimals)
-                    found, c = np.unique(score[ids[:, None] < seq[None, :]] + 0.0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c.astype(np.int64))], ["score", "c"])
-
-    asked = items.select(F.col("seq").cast("long").alias("seq"), F.col("vector").cast("array<double>").alias("vector"))
-    return asked.mapInArrow(run, "score double, c bigint").groupBy("score").agg(F.sum("c").alias("c"))
+                    once = ids[:, None] < seq[None, :]
+                    same = names[part, None] == own[None, :] if by_namespace else np.ones_like(once)
+                    for kind in (True, False) if by_namespace else (True,):
+                        found, c = np.unique(score[once & (same == kind)] + 0.0, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind)), pa.array(found), pa.array(c.astype(np.int64))], ["same", "score", "c"])
+
+    asked = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast("array<double>").alias("vector"))
+    keys = ["same", "score"] if by_namespace else ["score"]
+    return asked.mapInArrow(run, "same boolean, score double, c bigint").groupBy(*keys).agg(F.sum("c").alias("c"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..base import written
 from ..functions import json as J
 from ..functions import text as T
 from ..functions import vectors as V
@@ -341,11 +342,11 @@ def span_identity(spark, d):
 
 @query("digest_text", f"""
 WITH d AS (SELECT doc_id, lang, source, n_chars, {_LINES} AS l FROM documents)
-SELECT doc_id, md5(concat_ws(' ', l[1], nullif(array_to_string(l[2:4], ' '), ''), lang, source, 'length ' || n_chars)) AS digest FROM d""")
+SELECT doc_id, md5(concat_ws(' ', l[1], nullif(array_to_string(l[2:], ' '), ''), lang, source, 'length ' || n_chars)) AS digest FROM d""")
 def digest_text(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     facts = F.create_map(F.lit("length"), F.col("n_chars").cast("string"))
-    digest = T.digest_text(F.get(lines, F.lit(0)), F.slice(lines, 2, 3), F.array("lang", "source"), facts)
+    digest = T.digest_text(F.get(lines, F.lit(0)), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), F.array("lang", "source"), facts)
     return B.table(spark, d, "documents").select("doc_id", F.md5(digest).alias("digest"))
 
 
@@ -747,21 +748,14 @@ def store_latest_view(spark, d):
     return U.latest(log, "user_id").select("user_id", "seq", "first_seq")
 
 
-def _pair_scores(spark, d, equal: bool) -> DataFrame:
-    """The strongest pair of each label: scores of vectors with others of the same label, or of other labels."""
-    v = B.vectors(spark, d)
-    best = similarity_topk(v.withColumnRenamed("seq", "qid"), v, 1, positive=False, groups=True, not_itself=True)
-    own = v.select(F.col("seq").alias("qid"), F.col("label").alias("own"))
-    rows = best.join(own, "qid").join(v.select("seq", "label"), "seq")
-    return rows.where("own = label" if equal else "own <> label").select("qid", "score")
-
-
 @query("calibrate_thresholds", f"""
-WITH s AS (SELECT a.vec_id, a.label = b.label AS same, b.label, max(round({_cos('a.embedding', 'b.embedding')}, 9)) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL),
+WITH s AS (SELECT a.label = b.label AS same, round({_cos('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
 h AS (SELECT round_even((min(score) FILTER (WHERE same) + max(score) FILTER (WHERE NOT same)) / 2, 3) AS hit_threshold FROM s)
 SELECT hit_threshold, round_even(greatest(0, hit_threshold - 0.05), 3) AS coverage_floor FROM h""")
 def calibrate_thresholds(spark, d):
-    return S.calibrate(_pair_scores(spark, d, True), _pair_scores(spark, d, False))
+    """All pairs of one label as positives, all pairs of different labels as negatives."""
+    scores = written(pair_scores(B.vectors(spark, d), by_namespace=True), "pair-scores")
+    return S.calibrate(scores.where("same"), scores.where("NOT same"))
 
 
 @query("suggest_thresholds", f"""
