@@ -1,15 +1,16 @@
 """Behaviour of reads, changes, freshness, stores, tools and commands."""
 
 import json
+import random
 
 import pytest
 
 from tidemark import cli
 from tidemark.functions.embedders import FunctionEmbedder, HashingEmbedder, cosine
 from tidemark.functions.synthesis import JSONPassthrough, ModelSynthesizer, StubProvider
-from tidemark.integrations import graph_node, tools
+from tidemark.integrations import graph_node, receive_webhook, tools
 from tidemark.plans.cache import ContextCache
-from tidemark.plans.engine import Settings, make_id
+from tidemark.plans.engine import Engine, Settings, Unit, make_id
 from tidemark.sources import connectors as C
 from tidemark.sources.retrievers import ChromaRetriever, Composite, FunctionRetriever, MemoryCorpus, QdrantRetriever, chroma_rows
 from tidemark.sources.store import UnitStore
@@ -154,8 +155,64 @@ def test_dispatch_and_signatures(spark):
     assert not C.verify_signature("k", b"x", None)
 
 
+def test_webhook_replies(spark):
+    d = C.Dispatcher()
+    body = json.dumps({"changes": [{"artifact_id": "a"}, {"artifact_id": "b", "kind": "delete"}]}).encode()
+    assert receive_webhook(d, "cdc", body) == (200, {"accepted": 2})
+    assert receive_webhook(d, "cdc", b"{")[0] == 400 and receive_webhook(d, "cdc", b"\xff")[0] == 400 and receive_webhook(d, "cdc", b"")[0] == 400
+    assert receive_webhook(d, "gitlab", body)[0] == 404
+    assert receive_webhook(d, "github", b"{}", "sha256=0", "k")[0] == 401
+    assert receive_webhook(d, "github", b"{}", C.signature("k", b"{}"), "k") == (200, {"accepted": 0})
+
+
+def test_changes_of_one_batch_are_one_write(spark, tmp_path):
+    store = UnitStore(spark, f"file://{tmp_path}/units", prefix="all/of*[them]?")
+    cache = ContextCache(spark, source(DOCS), store=store)
+    unit = cache.get("annual leave policy").unit_id
+    before = store.log().count()
+    events = [(0, 0, "leave.md", "v2", "", "update"), (0, 1, "none", "", "", "update"), (1, 0, "leave.md", "", "", "delete"), (2, 0, "leave.md", "v3", "", "update")]
+    out = cache.apply_changes(spark.createDataFrame(events, "seq bigint, pos int, artifact_id string, version string, content_hash string, kind string"))
+    assert [(x["dirtied"], x["deleted"], x["matched_units"]) for x in out] == [([unit], [], 1), ([], [], 0), ([], [unit], 1), ([], [], 0)]
+    assert store.log().count() == before + 1 and len(store) == 0
+
+
+def plain_best(engine, q, namespace):
+    scored = [(engine.score(q, u), -i, u) for i, u in enumerate(engine.units.values()) if u.namespace == namespace]
+    top = max(scored, key=lambda x: x[:2], default=(-1.0, 0, None))
+    return (top[2], top[0]) if top[0] > -1 else (None, -1.0)
+
+
+@pytest.mark.parametrize("by_claim", [False, True])
+def test_indexes_of_the_engine_equal_plain_scans(by_claim):
+    """Units come, change and go; vectors are of several lengths, some zero, many equal."""
+    rnd = random.Random(7)
+    vector = lambda: [float(rnd.randint(-1, 2)) for _ in range(rnd.choice([0, 2, 3, 5]))]
+    engine = Engine(lambda q, ns: [], settings=Settings(route_by_claim=by_claim))
+    for step in range(400):
+        ns = rnd.choice(["", "a"])
+        if rnd.random() < 0.25:
+            artifact = f"s{rnd.randint(0, 9)}"
+            holding = [u.id for u in engine.units.values() if artifact in u.artifacts()]
+            found = engine.change(artifact, version="v2", kind=rnd.choice(["update", "delete"]))
+            assert found["dirtied"] + found["deleted"] == holding
+        else:
+            name = f"{ns}{rnd.randint(0, 30)}"
+            spans = [{"artifact_id": f"s{rnd.randint(0, 9)}", "version": "v1", "span": None, "content_hash": ""} for _ in range(rnd.randint(0, 3))]
+            said = {"entities": [f"E{rnd.randint(0, 5)} " for _ in range(rnd.randint(0, 2))]}
+            engine.add(Unit(name, ns, name, vector(), said, [], spans, [], vector(), [vector() for _ in range(rnd.randint(0, 3))]))
+        q = vector()
+        assert engine.best(q, ns) == plain_best(engine, q, ns)
+        for u in list(engine.units.values())[:3]:
+            others = [o for o in engine.units.values() if o is not u and o.status == "fresh" and o.namespace == u.namespace]
+            near = [o for o in others if u.entities() & o.entities() or set(u.artifacts()) & set(o.artifacts())]
+            assert [r["unit_id"] for r in engine.related(u, q, 99)] == [o.id for o in sorted(near, key=lambda o: -engine.score(q, o))]
+        assert engine.stats()["tracked_artifacts"] == len({a for u in engine.units.values() for a in u.artifacts()})
+
+
 def test_node_and_tool(spark):
-    cache = ContextCache(spark, source(DOCS))
+    cache = ContextCache(spark, lambda q, ns: [("b", "annual leave policy", "v1"), ("a", "annual leave", "v1"), ("b", "leave policy", "v1")])
     assert graph_node(cache)({"question": "annual leave policy"})["context"]["understanding"]["summary"]
+    assert set(graph_node(cache)({})) == {"context"}
     (tool,) = tools(cache)
-    assert tool.handler("annual leave policy")["cache_hit"]
+    said = tool.handler("annual leave policy")
+    assert said["cache_hit"] and said["sources"] == ["b", "a", "b"]

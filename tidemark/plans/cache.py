@@ -51,7 +51,7 @@ class ContextCache:
                 if not unit.understanding_embedding and unit.understanding:
                     self.engine.embed(unit)
                     self._keep("put", unit)
-                self.engine.units[unit.id] = unit
+                self.engine.add(unit)
             self.flush()
 
     def _keep(self, op: str, unit: Unit) -> None:
@@ -85,8 +85,11 @@ class ContextCache:
         return self.invalidate(artifact_id, kind="delete")
 
     def apply_changes(self, events: DataFrame) -> list[dict[str, Any]]:
-        """The events (artifact_id, version, content_hash, kind) of a dispatcher, in order."""
-        return [self.invalidate(e["artifact_id"], version=e["version"], content_hash=e["content_hash"], kind=e["kind"]) for e in events.orderBy("seq", "pos").toLocalIterator()]
+        """The events (artifact_id, version, content_hash, kind) of a dispatcher, in order; the store gets one batch."""
+        rows = events.orderBy("seq", "pos").toLocalIterator()
+        out = [self.engine.change(e["artifact_id"], e["content_hash"] or "", e["version"] or "", e["kind"]) for e in rows]
+        self.flush()
+        return out
 
     def drill(self, unit_id: str) -> list[Chunk]:
         unit = self.engine.units.get(unit_id)
@@ -148,7 +151,7 @@ def apply_changes(store: UnitStore, changes: DataFrame, batch_id: int | None = N
     spans = units.select(F.col("id").alias("unit"), F.explode("provenance.source_spans").alias("s")).select("unit", "s.artifact_id", "s.version", "s.content_hash")
     edges = units.select(F.col("id").alias("unit"), F.explode("provenance.observed_edges").alias("artifact_id"))
     both = spans.unionByName(edges, allowMissingColumns=True)
-    actions = written(O.change_actions(changes, both), "actions")
+    actions = written(O.until_evicted(O.change_actions(changes, both)), "actions")
     ends = written(O.fold_actions(actions), "outcomes")
     dirty = units.join(ends.where("outcome = 'dirty'").select(F.col("unit").alias("id")), "id").withColumn("status", F.lit("dirty"))
     gone = ends.where("outcome = 'evicted'").select(F.col("unit").alias("id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = "struct<artifact_id:string,text:string,version:string,content_hash:string>"
@@ -58,14 +58,13 @@ def from_json(rows: DataFrame, body: str = "body") -> DataFrame:
 def latest(log: DataFrame, key: str = "id") -> DataFrame:
     """The last entry of each key in (batch_id, seq) order unless it is a delete, with the key's first seq.
 
-    Only keys and places are aggregated; the entry itself is picked by a window over its key.
+    Places of a key differ. Only keys and places are aggregated, in each task first; the entries that hold
+    the last places are then joined, so where these are few the log itself isn't shuffled.
     """
     by = [c for c in ("store_prefix",) if c in log.columns] + [key]
-    order = Window.partitionBy(*by).orderBy(F.desc("batch_id"), F.desc("seq"))
-    whole = Window.partitionBy(*by)
-    place = F.struct("batch_id", "seq")
-    rows = log.withColumn("_r", F.row_number().over(order)).withColumn("_first", F.min(place).over(whole))
-    return rows.where("_r = 1 AND op <> 'delete'").withColumn("first_seq", F.col("_first.seq")).drop("_r", "_first")
+    places = log.groupBy(*by).agg(F.max(F.struct("batch_id", "seq", "op")).alias("_last"), F.min(F.struct("batch_id", "seq")).alias("_first"))
+    last = places.where("_last.op <> 'delete'").select(*by, F.col("_last.batch_id").alias("batch_id"), F.col("_last.seq").alias("seq"), F.col("_first.seq").alias("first_seq"))
+    return log.where("op <> 'delete'").join(last, [*by, "batch_id", "seq"])
 
 
 class UnitStore:
