@@ -904,7 +904,22 @@ def stream_invalidation(spark, d):
     return spark.read.parquet(f"{folder}/out").select("event_seq", "unit", "action")
 
 
-@query("read_batch")
+@query("read_batch", f"""
+WITH {_TURNS}, {_TF},
+qtf AS (SELECT qid, {_BUCKET} AS bucket, count(*) AS tf FROM (SELECT qid, unnest({_tok('query')}) AS t FROM turns) GROUP BY ALL),
+qn AS (SELECT qid, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY qid),
+reads AS (SELECT qid, turn, coalesce(namespace, '') AS ns, 'cog:' || substr(sha1(coalesce(namespace, '') || '|' || query), 1, 16) AS id FROM turns),
+found AS (SELECT p.qid, least(5, count(DISTINCT x.doc_id)) AS n FROM turns p JOIN qtf q USING (qid) JOIN tf f USING (bucket) JOIN documents x ON x.doc_id = f.doc_id
+    WHERE p.namespace IS NULL OR x.lang IS NULL OR p.namespace = x.lang GROUP BY p.qid),
+dots AS (SELECT q.qid, u.qid AS unit_seq, sum(q.tf * u.tf) AS dot FROM qtf q JOIN qtf u USING (bucket) WHERE u.qid IN (SELECT qid FROM reads WHERE turn = 0) GROUP BY ALL),
+scored AS (SELECT r.qid, u.qid AS unit_seq, u.id, round(coalesce(dot / (a.n * b.n), 0), 9) AS score FROM reads r JOIN reads u ON u.ns = r.ns AND u.turn = 0
+    LEFT JOIN dots d ON d.qid = r.qid AND d.unit_seq = u.qid LEFT JOIN qn a ON a.qid = r.qid LEFT JOIN qn b ON b.qid = u.qid),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_seq) = 1),
+state AS (SELECT r.qid, r.id AS new_id, b.id AS held_id, b.score, CASE WHEN b.score IS NULL OR b.score < 0.6 THEN 'miss' WHEN unit_seq % 3 = 0 THEN 'hit_stale' ELSE 'hit_fresh' END AS outcome
+    FROM reads r LEFT JOIN best b USING (qid))
+SELECT s.qid, outcome, CASE WHEN outcome = 'miss' THEN new_id ELSE held_id END AS unit_id, round(greatest(coalesce(score, 0), 0), 6) AS confidence,
+    outcome = 'hit_fresh' AND score < 0.5 AS escalated, CAST(CASE WHEN outcome = 'hit_fresh' THEN 1 ELSE coalesce(n, 0) END AS INTEGER) AS n_evidence
+FROM state s LEFT JOIN found USING (qid)""")
 def read_batch(spark, d):
     """User turns against units built from earlier turns' texts: outcome, unit and evidence of each."""
     from .cache import read_batch as run
