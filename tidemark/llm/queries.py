@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from . import quality_classifier
 from .ann import search
 from .bpe import encode
+from .collocations import collocations
 from .language_id import fit_text_model, identify
 from .line_dedup import line_dedup
+from .lloyd import clustered
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .token_store import round_trip
 from .warc import round_trip as archive_round_trip
 
@@ -93,6 +96,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each document."""
+    found = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id", F.col("n_words").cast("long"), F.col("n_removed").cast("long"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row for each vector."""
+    return clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's first 2000 phrases of each language."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -104,9 +125,66 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
     "op10_ann": op10_ann,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_collocations": op13_collocations,
 }
 
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and means over (vector, component) rows."""
+    parts = [f"""WITH valid AS MATERIALIZED (SELECT row_number() OVER () AS v, vec_id, embedding AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS MATERIALIZED (SELECT v, j, CAST(floor(256 * CAST(e[j] AS DOUBLE)) AS BIGINT) AS x FROM valid, range(1, 65) AS s(j)),
+first AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM valid QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, j, x FROM first JOIN x USING (v))"""]
+    near = """d{0} AS (SELECT v, c, sum((x.x - m.x) * (x.x - m.x)) AS d FROM x JOIN c{0} m USING (j) GROUP BY v, c),
+a{0} AS MATERIALIZED (SELECT v, c, d FROM d{0} QUALIFY row_number() OVER (PARTITION BY v ORDER BY d, c) = 1)"""
+    for i in range(rounds):
+        parts += [near.format(i), f"""m{i + 1} AS (SELECT c, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+    FROM a{i} JOIN x USING (v) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (SELECT c, j, CAST(coalesce(m.x, o.x) AS BIGINT) AS x FROM c{i} o LEFT JOIN m{i + 1} m USING (c, j))"""]
+    parts.append(near.format(rounds))
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN valid USING (v)
+JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c) h ON h.c = a.c"""
+
+
 SQL = {
+    "op11_substring_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT k, p, array_to_string(w[p : p + 34], ' ') AS body FROM (SELECT k, w, unnest(generate_series(1, len(w) - 34)) AS p FROM docs)),
+twice AS MATERIALIZED (SELECT k, p FROM windows QUALIFY count(*) OVER (PARTITION BY body) > 1),
+gone AS (SELECT DISTINCT k, p + i AS pos FROM twice, range(35) AS s(i)),
+words AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY pos) AS kept FROM words ANTI JOIN gone USING (k, pos) GROUP BY k),
+counts AS (SELECT k, count(*) AS n_removed FROM gone GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (k) LEFT JOIN counts USING (k)""",
+    "op12_centroid_clustering": _lloyd_sql(),
+    "op13_collocations": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+cut AS MATERIALIZED (SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+flat AS (SELECT p, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM cut),
+runs AS MATERIALIZED (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM flat WINDOW o AS (PARTITION BY p ORDER BY pos)),
+grams AS (SELECT lang, 1 AS k, w1 AS phrase FROM runs UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+          UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, phrase, f AS a, k AS size, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+gone AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS longer FROM candidates, range(1, 3) AS s(i) WHERE size = 3 GROUP BY ALL),
+cuts AS (SELECT c.*, k FROM candidates c, range(1, 3) AS s(k) WHERE k < size),
+scored AS (SELECT c.lang, c.phrase, a, c.k, l.f AS l, r.f AS r, 1000000 * CAST(a AS HUGEINT) * a // (CAST(l.f AS HUGEINT) * r.f) AS score
+           FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[: c.k], ' ')
+           JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[c.k + 1 :], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM lowest x LEFT JOIN gone g USING (lang, phrase) JOIN totals USING (lang)
+WHERE g.longer IS NULL OR 100 * g.longer < 50 * a QUALIFY rank <= 2000""",
     "op1_line_dedup": r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM docs),
