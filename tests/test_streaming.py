@@ -69,6 +69,41 @@ def test_replay_equals_one_by_one(spark, tmp_path):
     assert {r["seq"]: pick(r) for r in spark.table("replayed").collect()} == brute(rows)
 
 
+def test_stream_replay_goes_on_after_a_restart(spark, tmp_path):
+    """Triggers of 15 rows, each a run of its own from the checkpoint, equal the replay of the whole log."""
+    rows, pick = events(90), lambda r: {k: v for k, v in r.asDict().items() if k != "confidence"}
+    schema = spark.createDataFrame([], LOG).schema
+    (tmp_path / "log").mkdir()
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/log")
+    for first in range(0, len(rows), 15):
+        spark.createDataFrame(rows[first : first + 15], LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        q = stream_replay(source).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+    got = sorted((pick(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=lambda r: r["seq"])
+    assert got == sorted((pick(r) for r in replay(spark.createDataFrame(rows, LOG)).collect()), key=lambda r: r["seq"])
+
+
+def test_a_trigger_writes_the_state_of_touched_units_only(spark, tmp_path):
+    """300 units of one hot artifact and one of their own each; then a hit and an unknown source; then a change of one source."""
+    words = [f"w{i}x" for i in range(300)]
+    built = [("n", i, "read", f"{w} {w}q", [("doc:all", "text", "v1"), (f"doc:{w}", f"text of {w}", "v1")], None, None, None, None) for i, w in enumerate(words)]
+    hit = [("n", 1000, "read", "w7x w7xq", [], None, None, None, None), ("n", 1001, "change", None, None, "doc:none", "x", "v2", "update")]
+    change = [("n", 1002, "change", None, None, "doc:w9x", "0" * 16, "v2", "update")]
+    everything = [("n", 1003, "change", None, None, "doc:all", "0" * 16, "v2", "update")]
+    updated = []
+    (tmp_path / "log").mkdir()
+    source = spark.readStream.schema(spark.createDataFrame([], LOG).schema).parquet(f"{tmp_path}/log")
+    for part in (built, hit, change, everything):
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        q = stream_replay(source).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        updated.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"]))
+    out = {r["seq"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    touched = [sum(r["cache_hit"] is False for r in out.values()), out[1000]["cache_hit"], out[1002]["dirtied"], out[1003]["dirtied"]]
+    assert touched[0] > 290 and touched == [touched[0], True, 1, touched[0]]
+    assert updated[1] == 1 and updated[2] == 1 and updated[3] == touched[0]
+
+
 def test_payload_stream_reaches_the_store(spark, tmp_path):
     store = UnitStore(spark, f"file://{tmp_path}/units")
     span = lambda a: [{"artifact_id": a, "version": "v1", "span": None, "content_hash": text_hash(a)}]

@@ -18,7 +18,7 @@ from ..operators import matching as M
 from ..operators import provenance as O
 from ..operators.similarity import similarity_topk
 from ..sources.retrievers import Retriever
-from ..sources.store import UNIT_SCHEMA, UnitStore
+from ..sources.store import UNIT_SCHEMA, Store
 from .engine import Engine, Result, Settings, Unit, text_hash
 
 
@@ -40,7 +40,7 @@ class ContextCache:
 
     def __init__(
         self, spark: SparkSession, retriever: Retriever | Callable[[str, str | None], Iterable[Any]], synthesizer: Any = None, *, embedder: Any = None,
-        settings: Settings | None = None, store: UnitStore | None = None, clock: Callable[[], float] = time.time,
+        settings: Settings | None = None, store: Store | None = None, clock: Callable[[], float] = time.time,
     ):
         self.spark, self.store, self.pending = spark, store, []
         self.engine = Engine(as_function(spark, retriever), synthesizer, embedder, settings, clock, self._keep if store is not None else None)
@@ -63,10 +63,8 @@ class ContextCache:
         self.pending = []
         puts = [row for op, row in last.values() if op == "put"]
         gone = [key for key, (op, _) in last.items() if op == "delete"]
-        if puts:
-            self.store.put(self.spark.createDataFrame(puts, UNIT_SCHEMA))
-        if gone:
-            self.store.delete(gone)
+        if puts or gone:
+            self.store.write(self.spark.createDataFrame(puts, UNIT_SCHEMA), gone)
 
     def get(self, query: str, *, namespace: str | None = None, related: int = 3, strategy: str | None = None) -> Result:
         out = self.engine.get(query, namespace, related, strategy)
@@ -145,8 +143,8 @@ def read_batch(
     return results, new
 
 
-def apply_changes(store: UnitStore, changes: DataFrame, batch_id: int | None = None) -> DataFrame:
-    """Apply a table of change events to a store, set by set; returns (event_seq, unit, action)."""
+def apply_changes(store: Store, changes: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """Apply a table of change events to a store, set by set, as one batch; returns (event_seq, unit, action)."""
     units = store.all()
     spans = units.select(F.col("id").alias("unit"), F.explode("provenance.source_spans").alias("s")).select("unit", "s.artifact_id", "s.version", "s.content_hash")
     edges = units.select(F.col("id").alias("unit"), F.explode("provenance.observed_edges").alias("artifact_id"))
@@ -155,7 +153,5 @@ def apply_changes(store: UnitStore, changes: DataFrame, batch_id: int | None = N
     ends = written(O.fold_actions(actions), "outcomes")
     dirty = units.join(ends.where("outcome = 'dirty'").select(F.col("unit").alias("id")), "id").withColumn("status", F.lit("dirty"))
     gone = ends.where("outcome = 'evicted'").select(F.col("unit").alias("id"))
-    base = batch_id if batch_id is None else 2 * batch_id
-    store.put(dirty.withColumn("seq", F.col("place.first_seq")).drop("place"), base)
-    store.delete(gone, None if base is None else base + 1)
+    store.write(dirty.withColumn("seq", F.col("place.first_seq")).drop("place"), gone, batch_id)
     return actions

@@ -1,13 +1,20 @@
-"""The unit store: an append-only Parquet log of units, its latest view, and units as JSON."""
+"""The unit store: a committed Parquet log of units, its latest view, and units as JSON."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from abc import ABC, abstractmethod
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import CommitLog
+
+#: Folders whose numbers are broadcast at most (some 60 bytes each).
+BROADCAST_FOLDERS = 100_000
 CHUNK = "struct<artifact_id:string,text:string,version:string,content_hash:string>"
 SPAN = "struct<artifact_id:string,version:string,span:string,content_hash:string>"
 UNIT_SCHEMA = (
@@ -67,48 +74,22 @@ def latest(log: DataFrame, key: str = "id") -> DataFrame:
     return log.where("op <> 'delete'").join(last, [*by, "batch_id", "seq"])
 
 
-class UnitStore:
-    """Units in a folder: every put and delete is appended, a batch a write; reads see the latest view.
+class Store(ABC):
+    """What a cache asks of a store. Units have one id each; the last put of an id counts."""
 
-    A prefix is a partition of the log, compared as it is. A batch id that is there already is not
-    appended again, so a retried batch does no harm.
-    """
+    @abstractmethod
+    def write(self, units: DataFrame | None, gone: DataFrame | Iterable[str] | None = None, batch_id: int | None = None) -> bool:
+        """Put units and delete ids as one batch; False if the store has a batch of that id."""
 
-    def __init__(self, spark: SparkSession, path: str, prefix: str = "units"):
-        self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
+    @abstractmethod
+    def all(self) -> DataFrame:
+        """The units, with a column place that gives their order."""
 
-    def log(self) -> DataFrame:
-        spark = self.spark
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return spark.createDataFrame([], LOG_SCHEMA)
-        return spark.read.schema(LOG_SCHEMA).parquet(self.path).where(F.col("store_prefix") == self.prefix)
-
-    def _append(self, units: DataFrame, op: str, batch_id: int | None) -> None:
-        names = [f.split()[0] for f in _fields()]
-        if batch_id is None:
-            last = self.log().agg(F.max("batch_id")).first()[0]
-            batch_id = (last or 0) + 1
-        elif self.log().where(F.col("batch_id") == batch_id).limit(1).count():
-            return
-        have = set(units.columns)
-        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], UNIT_SCHEMA).schema}
-        cols = [(F.col(n) if n in have else F.lit(None)).cast(kinds[n]).alias(n) for n in names]
-        seq = F.col("seq").cast("bigint") if "seq" in have else F.monotonically_increasing_id()
-        rows = units.select(F.lit(self.prefix).alias("store_prefix"), F.lit(batch_id).cast("bigint").alias("batch_id"), seq.alias("seq"), F.lit(op).alias("op"), *cols)
-        rows.write.mode("append").partitionBy("store_prefix").parquet(self.path)
-
-    def put(self, units: DataFrame, batch_id: int | None = None) -> None:
-        self._append(units, "put", batch_id)
-
-    def delete(self, ids: DataFrame | Iterable[str], batch_id: int | None = None) -> None:
-        if not isinstance(ids, DataFrame):
-            ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        self._append(ids.select("id"), "delete", batch_id)
+    def put(self, units: DataFrame, batch_id: int | None = None) -> bool:
+        return self.write(units, None, batch_id)
 
-    def all(self) -> DataFrame:
-        found = latest(self.log())
-        return found.select(*[f.split()[0] for f in _fields()], F.struct("batch_id", "first_seq").alias("place"))
+    def delete(self, ids: DataFrame | Iterable[str], batch_id: int | None = None) -> bool:
+        return self.write(None, ids, batch_id)
 
     def get(self, unit_id: str) -> DataFrame:
         return self.all().where(F.col("id") == unit_id)
@@ -116,8 +97,118 @@ class UnitStore:
     def __len__(self) -> int:
         return self.all().count()
 
-    def compact(self) -> None:
-        """Rewrite the latest view into a new folder and point the store at it; the old log stays until it is removed."""
-        new = f"{self.path}-{uuid.uuid4().hex}"
-        old, self.path = self.all().drop("place"), new
-        self.put(old, batch_id=1)
+
+def entries(spark: SparkSession, units: DataFrame | None, gone: DataFrame | Iterable[str] | None) -> DataFrame:
+    """(seq, op, unit) rows of one batch: puts by their seq if they have one, deletes after them."""
+    empty = spark.createDataFrame([], f"seq bigint, op string, {UNIT_SCHEMA}")
+    kinds = {f.name: f.dataType for f in empty.schema}
+    parts = [empty]
+    if gone is not None and not isinstance(gone, DataFrame):
+        gone = spark.createDataFrame([(i,) for i in gone], "id string")
+    for rows, op in ((units, "put"), (None if gone is None else gone.select("id"), "delete")):
+        if rows is not None:
+            seq = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id() if op == "put" else F.lit((1 << 63) - 1)
+            cols = [(F.col(n) if n in rows.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in kinds if n not in ("seq", "op")]
+            parts.append(rows.select(seq.cast("bigint").alias("seq"), F.lit(op).alias("op"), *cols))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class EphemeralStore(Store):
+    """A store that lives as long as its object: batches are kept as they are given, as plans, and nothing is written.
+
+    A batch whose rows aren't in a table should be one (``written``) before it is put.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.batches, self.applied = spark, [], set()
+
+    def write(self, units: DataFrame | None, gone: DataFrame | Iterable[str] | None = None, batch_id: int | None = None) -> bool:
+        if batch_id is not None and batch_id in self.applied:
+            return False
+        self.applied.add(batch_id)
+        self.batches.append(entries(self.spark, units, gone).withColumn("batch_id", F.lit(len(self.batches) + 1).cast("bigint")))
+        return True
+
+    def all(self) -> DataFrame:
+        log = reduce(DataFrame.unionByName, self.batches) if self.batches else entries(self.spark, None, None).withColumn("batch_id", F.lit(1).cast("bigint"))
+        return _shown(latest(log))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select(*[f.split()[0] for f in _fields()], F.struct("batch_id", "first_seq").alias("place"))
+
+
+class UnitStore(Store):
+    """Units in a folder: a batch of puts and deletes is a folder of Parquet files and one commit; reads see the latest view.
+
+    Batches are ordered by their commits. A batch id that the prefix has is not applied again, so a retried
+    batch does no harm, and what a writer left without commit is never seen. A prefix is a partition of the
+    data, compared as it is; all prefixes share the commits. Log entries of compacted units keep the places
+    they had; tombstones go with compaction, so an id that is put again after it is a new one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, prefix: str = "units"):
+        self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
+        self.commits = CommitLog(spark, f"{self.path}/commits")
+
+    def _folder(self, token: str) -> str:
+        return f"{self.path}/data/token={token}"
+
+    def _entries(self, live: dict[str, int]) -> DataFrame:
+        """The log entries of all prefixes in some folders, batch_id being the number of the commit or the place kept."""
+        names = [f.split()[0] for f in LOG_SCHEMA.split(", ")[:4]] + [f.split()[0] for f in _fields()]
+        if not live:
+            return self.spark.createDataFrame([], LOG_SCHEMA).select(*names)
+        schema = f"{LOG_SCHEMA}, token string"
+        rows = self.spark.read.option("basePath", f"{self.path}/data").schema(schema).parquet(*map(self._folder, live))
+        numbers = self.spark.createDataFrame(list(live.items()), "token string, version bigint")
+        if len(live) <= BROADCAST_FOLDERS:
+            numbers = F.broadcast(numbers)
+        rows = rows.join(numbers, "token").withColumn("batch_id", F.coalesce("batch_id", "version"))
+        return rows.select(*names)
+
+    def log(self) -> DataFrame:
+        """The entries as of now; what is committed later, compaction too, doesn't change it."""
+        return self._entries(self.commits.state().live).where(F.col("store_prefix") == self.prefix)
+
+    def _commit(self, rows: DataFrame, entry: dict) -> bool:
+        """Write ``rows`` to a folder of its own and commit it; without a commit the folder goes again."""
+        token = uuid.uuid4().hex
+        rows.write.partitionBy("store_prefix").parquet(self._folder(token))
+        done = self.commits.commit(entry | {"add": [token]}) is not None
+        if not done:
+            self._remove(token)
+        return done
+
+    def _remove(self, token: str) -> None:
+        self.commits.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(token)), True)
+
+    def write(self, units: DataFrame | None, gone: DataFrame | Iterable[str] | None = None, batch_id: int | None = None) -> bool:
+        if self.commits.state().has(self.prefix, batch_id):
+            return False
+        rows = entries(self.spark, units, gone).withColumns({"store_prefix": F.lit(self.prefix), "batch_id": F.lit(None).cast("bigint")})
+        return self._commit(rows, {"prefix": self.prefix, "batch": batch_id, "gone": []})
+
+    def all(self) -> DataFrame:
+        return _shown(latest(self.log()))
+
+    def compact(self) -> bool:
+        """Replace what is live now, of all prefixes, by its latest view; False if another compaction came first.
+
+        Batches committed meanwhile stay live beside it. Old folders stay for readers that have them until ``vacuum``.
+        """
+        live = self.commits.state().live
+        if not live:
+            return False
+        now = latest(self._entries(live)).drop("seq").withColumnRenamed("first_seq", "seq")
+        return self._commit(now, {"prefix": self.prefix, "batch": None, "gone": sorted(live)})
+
+    def vacuum(self, older_than_s: float = 7 * 86400) -> int:
+        """Remove folders that are not live and older than any reader or writer may be; how many went."""
+        fs, live = self.commits.fs, self.commits.state().live
+        data = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        found = fs.listStatus(data) if fs.exists(data) else []
+        dead = [f for f in found if f.getPath().getName().removeprefix("token=") not in live and time.time() - f.getModificationTime() / 1000 >= older_than_s]
+        for f in dead:
+            fs.delete(f.getPath(), True)
+        return len(dead)
