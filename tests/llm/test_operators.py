@@ -7,6 +7,7 @@ import re
 import zlib
 from itertools import combinations
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,45 @@ def test_text_encoder_equals_library(library):
             assert list(own) == library["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    """A word of n letters a and b, and its complement: equal under any polynomial hash modulo 2 ** 64 from 1,024 letters on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+CRAFTED = [thue_morse(n) for n in (64, 512, 1024, 2048, 4096)]
+
+
+def test_words_of_equal_hashes_have_their_own_ids(library, monkeypatch):
+    texts = [x for pair in CRAFTED for x in pair] + [f"so {a} and {b}, {a} é{b}" for a, b in CRAFTED]
+    want = [x.ids for x in library["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False)]
+    for known in (400_000, 3):
+        made = TextEncoder(tokenizer_file("word_bpe_49k.json"), known)
+        for _ in range(2):  # the second time from what it keeps
+            assert [x.tolist() for x in made.encode(pa.array(texts))] == want
+            assert [made.encode(pa.array([t]))[0].tolist() for t in texts] == want
+    # However bad the hash is: all words of equal length meet.
+    monkeypatch.setattr(TextEncoder, "_reach", lambda self, n: self.__dict__.update(powers=np.zeros(n, np.uint64), inverses=np.zeros(n, np.uint64)))
+    texts += fuzz()
+    want = [x.ids for x in library["word_bpe_49k.json"].encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    made = TextEncoder(tokenizer_file("word_bpe_49k.json"))
+    for _ in range(2):
+        assert [x.tolist() for x in made.encode(pa.array(texts))] == want
+
+
+def test_texts_of_equal_hashes_in_operators(spark, library):
+    rows = [(2 * k + i, f"{word} x") for k, pair in enumerate(CRAFTED) for i, word in enumerate(pair)]
+    ids = {i: library["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert all(r["component_id"] == r["doc_id"] and r["n_links"] == 0 for r in ngram_join.ngram_join(docs(spark, rows)).collect())
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    found = token_store.round_trip(docs(spark, rows), tokenizer_file("word_bpe_49k.json")).collect()
+    assert {r["doc_id"]: crc(np.frombuffer(r["ids"], "<u4")) for r in found} == {i: crc([*x, 2]) for i, x in ids.items()}
+    pieces = packing.pack_documents(docs(spark, rows), tokenizer_file("word_bpe_49k.json")).where("piece = 0").collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in pieces} == {i: crc([*x, 0][:2048]) for i, x in ids.items()}
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert stage(spark, docs(spark, rows), DATA).count() == len(rows)
+
+
 def test_bpe_edges(spark):
     path = tokenizer_file("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(docs(spark, EDGES), path), path).collect()

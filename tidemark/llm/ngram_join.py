@@ -1,6 +1,6 @@
 """N-gram Jaccard join: all links between documents whose sets of word n-grams are similar enough, exactly.
 
-1. Each text becomes its set of n-gram hashes (64 bits). Texts of equal sets are one set from here on, named
+1. Each text becomes its set of n-gram hashes (64 bits, chained from a digest of each word). Texts of equal sets are one set from here on, named
    by a digest of it; its first 64 bits are its key while candidates are sought.
 2. Candidates. Sets are ordered globally, n-grams known to be frequent last, and two sets that link share
    one of their first ``n - ceil(t n) + 1`` (prefix filter; of the smaller set, one of still fewer). Those
@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,10 @@ from pyspark.sql import functions as F
 from .common import discard, release, ship, written
 from .graph import Sets, components
 from .tokens import steps
+from .words import cut, digests
 
 #: Bytes of text worked on at once, and those whose words are hashed at once.
-STEP_BYTES, HASH_BYTES = 2_000_000, 150_000
+STEP_BYTES, HASH_BYTES = 2_000_000, 1_000_000
 #: Keys of sets and groups that a task remembers; what it meets again after them costs a row, no more.
 REMEMBERED = 1_000_000
 
@@ -66,56 +66,29 @@ class Join:
 
 
 _U = np.uint64
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    base, found = 0xB5026F5AA96619E9, []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(n, b, _U)
-        x[0] = 1
-        found.append(np.multiply.accumulate(x))
-    return found[0], found[1]
-
-
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes (uint64) of each text. Only A-Z are lower-cased, blanks are ASCII's."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if not len(texts):
-        return []
-    _, places, data = texts.buffers()
-    places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     out: list[np.ndarray] = []
     first = 0
     while first < len(texts):
-        end = max(first + 1, int(np.searchsorted(places, places[first] + HASH_BYTES, "right")) - 1)
-        out += _gram_sets(data[places[first] : places[end]], places[first : end + 1] - places[first], n)
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + HASH_BYTES, "right")))
+        out += _gram_sets(texts.slice(first, end - first), n)
         first = end
     return out
 
 
-def _gram_sets(data: np.ndarray, places: np.ndarray, n: int) -> list[np.ndarray]:
-    if not len(data):
-        return [np.zeros(0, _U)] * (len(places) - 1)
-    blank = _SPACE[data]
-    border = np.zeros(len(data) + 1, bool)  # before each byte: does a text begin there
-    border[places] = True
-    start = ~blank & np.concatenate([[True], blank[:-1] | border[1:-1]])
-    first = np.flatnonzero(start)
-    end = np.flatnonzero(~blank & np.concatenate([blank[1:] | border[1:-1], [True]])) + 1
-    power, inverse = _powers(1 << max(18, (len(data) - 1).bit_length()))
-    total = np.concatenate([np.zeros(1, _U), np.cumsum((_LOWER[data].astype(_U) + _U(1)) * power[: len(data)])])
-    words = _mixed((total[end] - total[first]) * inverse[first] + (end - first).astype(_U))
+def _gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    spelled, upto = cut(texts)
+    words = np.ascontiguousarray(digests(spelled)[:, 0])
 
     def chained(first: int, k: int, count: int) -> np.ndarray:
         h = np.full(count, k, _U)
@@ -124,7 +97,7 @@ def _gram_sets(data: np.ndarray, places: np.ndarray, n: int) -> list[np.ndarray]
         return h
 
     grams = chained(0, n, len(words) - n + 1) if len(words) >= n else np.zeros(0, _U)
-    out, upto = [], np.searchsorted(first, places).tolist()
+    out, upto = [], upto.tolist()
     for a, b in zip(upto, upto[1:]):
         own = np.sort(grams[a : b - n + 1]) if b - a >= n else chained(a, b - a, 1) if b > a else grams[:0]
         out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)

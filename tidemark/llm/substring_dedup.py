@@ -25,7 +25,6 @@ columns come back in one struct, so their names can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, ship, words_of, written
+from .words import cut, digests
 
 WINDOW = 35
 #: Fixed: a period and a difference cover of it with the fewest residues.
@@ -77,17 +77,9 @@ class Words:
     """The words of some texts one after the other, as two 64-bit hashes each."""
 
     def __init__(self, texts: pa.Array):
-        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        flat = cut.flatten()
-        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-        before = np.concatenate([[0], np.cumsum(full)])
-        offsets = cut.offsets.to_numpy()
-        self.offsets = before[offsets - offsets[0]]
-        coded = flat.filter(pa.array(full)).dictionary_encode()
-        spelled = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in spelled), "<u8").reshape(-1, 2)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        self.lanes = [np.ascontiguousarray(digests[:, lane])[codes] for lane in (0, 1)]
+        words, self.offsets = cut(texts)
+        found = digests(words)
+        self.lanes = [np.ascontiguousarray(found[:, lane]) for lane in (0, 1)]
         self.counts = np.diff(self.offsets)
 
     def hashed(self, length: int, lane: int) -> np.ndarray:

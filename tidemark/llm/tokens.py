@@ -2,8 +2,8 @@
 
 Some tokenizers (their normalizer lower-cases and makes blanks single, their splitter drops blanks) never
 join text across what the splitter cuts. There numpy cuts the code points of many texts at once as the
-splitter does, hashes each word and looks its ids up; the library encodes words that the worker has not
-met, many in a call. Words with a character on whose lower case, composition or class libraries may differ
+splitter does, hashes each word, looks its ids up and compares the word itself; the library encodes words
+that the worker has not met, many in a call. Words with a character on whose lower case, composition or class libraries may differ
 go to the library one by one as they are; texts with a control or rare blank character or a special token,
 and all texts of other tokenizers, go to it whole.
 """
@@ -84,7 +84,12 @@ class PieceEncoder:
 
 
 class KnownWords:
-    """A hash table in numpy: slots of at most ``known`` words by their 64-bit hashes, and the ids in each slot."""
+    """A hash table in numpy: at most ``known`` words, their code points by which a hit is verified, and the ids of each.
+
+    Words of more than ``LONGEST`` code points, and what is beyond ``known * MEAN`` code points, are not kept.
+    """
+
+    LONGEST, MEAN = 256, 16
 
     def __init__(self, known: int):
         size = 1 << max(4, (2 * known).bit_length())
@@ -92,9 +97,11 @@ class KnownWords:
         self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         self.starts, self.sizes = np.zeros(known, np.int64), np.zeros(known, np.int32)
         self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
+        self.places, self.lengths = np.zeros(known, np.int64), np.zeros(known, np.int32)
+        self.points, self.spelled = np.zeros(1 << 12, np.uint32), 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key (not 0), -1 where it is not known."""
+    def find(self, keys: np.ndarray, points: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each word points[first : first + length] (-1 where it is not known), and whether its key is taken."""
         out = np.full(len(keys), -1, np.int64)
         left, at = np.arange(len(keys)), keys & self.mask
         while len(left):
@@ -103,21 +110,32 @@ class KnownWords:
             out[left[hit]] = self.slots[at[hit]]
             on = ~hit & (there != 0)
             left, at = left[on], (at[on] + np.uint64(1)) & self.mask
-        return out
-
-    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Keep new, distinct keys with their ids as far as there is room."""
-        n = min(len(keys), self.known - self.words)
+        taken = out >= 0
+        hit = np.flatnonzero(taken)
+        slot = out[hit]
+        same = self.lengths[slot] == lengths[hit]
+        same[same] = equal_runs(self.points, self.places[slot[same]], points, first[hit[same]], lengths[hit[same]])
+        out[hit[~same]] = -1
+        return out, taken
+
+    def add(self, keys: np.ndarray, points: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Keep new words of distinct keys, spelled one after the other in ``points``, with their ids, as far as there is room."""
+        room = np.searchsorted(np.cumsum(lengths), self.known * self.MEAN - self.spelled, "right")
+        n = min(len(keys), self.known - self.words, int(room))
         if n <= 0:
             return
-        keys, sizes = keys[:n], sizes[:n]
-        ids = ids[: int(sizes.sum())]
+        keys, lengths, sizes = keys[:n], lengths[:n], sizes[:n]
+        ids, points = ids[: int(sizes.sum())], points[: int(lengths.sum())]
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.spelled + len(points) > len(self.points):
+            self.points = np.concatenate([self.points, np.zeros_like(self.points)])
         slot = np.arange(self.words, self.words + n)
         self.starts[slot], self.sizes[slot] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.places[slot], self.lengths[slot] = self.spelled + np.cumsum(lengths) - lengths, lengths
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used, self.words = self.used + len(ids), self.words + n
+        self.points[self.spelled : self.spelled + len(points)] = points
+        self.used, self.spelled, self.words = self.used + len(ids), self.spelled + len(points), self.words + n
         left, at = np.arange(n), keys & self.mask
         while len(left):
             free = self.keys[at] == 0
@@ -127,6 +145,16 @@ class KnownWords:
             left, at = left[~mine], (at[~mine] + np.uint64(1)) & self.mask
 
 
+def equal_runs(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a[first : first + length] and b[first : first + length] are equal, for each (length over 0)."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    starts = np.cumsum(lengths) - lengths
+    steps = np.arange(int(starts[-1] + lengths[-1]))
+    differ = a[np.repeat(a_first - starts, lengths) + steps] != b[np.repeat(b_first - starts, lengths) + steps]
+    return ~np.logical_or.reduceat(differ, starts)
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The pieces flat[start : start + size], one after the other."""
     ends = np.cumsum(sizes)
@@ -185,8 +213,9 @@ class TextEncoder:
         letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         return known and splitters == [split, letters] and not config.get("post_processor")
 
-    def _units(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and end of each unit (what the splitter cuts, or an unsure word), whether it is unsure, its hash."""
+    def _units(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and end of each unit (what the splitter cuts, or an unsure word), whether it is unsure, its hash,
+        and the code points by which units are told apart: lower case, but for unsure ones."""
         kinds, lower = _code_points()
         at = np.minimum(c, 0x3000)
         kind, low = kinds[at], np.where(c < 0x3000, lower[at], c)
@@ -222,7 +251,7 @@ class TextEncoder:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * self.powers[: len(c)])])
         h = (total[end] - total[first]) * self.inverses[first] + ((end - first) << 1 | odd).astype(np.uint64)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        return first, end, odd, (h ^ (h >> np.uint64(29))) | np.uint64(1 << 63)
+        return first, end, odd, (h ^ (h >> np.uint64(29))) | np.uint64(1 << 63), low
 
     def _reach(self, n: int) -> None:
         """Powers of an odd number and of its inverse modulo 2 ** 64, up to n."""
@@ -264,19 +293,27 @@ class TextEncoder:
 
     def _by_words(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a run of code points, and for each unit where it begins and how many ids it has."""
-        first, end, odd, keys = self._units(c)
-        slot = self.words.find(keys)
+        first, end, odd, keys, points = self._units(c)
+        lengths = end - first
+        slot, taken = self.words.find(keys, points, first, lengths)
         missing = np.flatnonzero(slot < 0)
         starts, sizes = self.words.starts[slot], self.words.sizes[slot].astype(np.int64)
         if not len(missing):
             return gathered(self.words.flat, starts, sizes), first, sizes
         new, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
         at = missing[at]
+        # Other words of the same key are encoded one by one and not kept.
+        same = lengths[at][back] == lengths[missing]
+        same[same] = equal_runs(points, first[at[back[same]]], points, first[missing[same]], lengths[missing[same]])
+        back[~same] = len(new) + np.arange(int((~same).sum()))
+        at = np.concatenate([at, missing[~same]])
         ids, n = self._encoded(c, first[at], end[at], odd[at])
         sizes[missing] = n[back]
         starts[missing] = self.words.used + (np.cumsum(n) - n)[back]
         out = gathered(np.concatenate([self.words.flat[: self.words.used], ids]), starts, sizes)
-        self.words.add(new, n, ids)
+        keep = np.flatnonzero(~taken[at[: len(new)]] & (lengths[at[: len(new)]] <= KnownWords.LONGEST))
+        ids = gathered(ids, (np.cumsum(n) - n)[keep], n[keep])
+        self.words.add(new[keep], gathered(points, first[at[keep]], lengths[at[keep]]), lengths[at[keep]], n[keep], ids)
         return out, first, sizes
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
