@@ -13,7 +13,7 @@ from tidemark.functions.synthesis import Chunk
 from tidemark.operators import freshness as R
 from tidemark.operators import similarity
 from tidemark.operators.provenance import until_evicted
-from tidemark.operators.stats import suggest
+from tidemark.operators.stats import calibrate, suggest
 from tidemark.plans.engine import Engine, text_hash
 from tidemark.sources.store import UnitStore
 from tidemark.streaming.changes import stream_payloads
@@ -149,12 +149,35 @@ def test_similarity_equals_all_pairs(spark, monkeypatch, namespaces, groups):
         assert {(r["qid"], r["seq"]): (r["score"], r["rank"]) for r in got} == want and len(got) == len(want)
 
 
-def test_pair_scores_by_namespace(spark):
-    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "b", [0.0, 1.0]), (4, "b", [1.0, 0.0])]
-    items = spark.createDataFrame(rows, "seq bigint, ns string, vector array<double>")
-    got = {(r["same"], r["score"]): r["c"] for r in similarity.pair_scores(items, by_namespace=True).collect()}
-    assert got == {(True, 1.0): 1, (True, 0.0): 1, (False, 0.0): 2, (False, 1.0): 2}
-    assert {r["score"]: r["c"] for r in similarity.pair_scores(items).collect()} == {1.0: 3, 0.0: 3}
+@pytest.mark.parametrize("broadcast, block, held", [(similarity.BROADCAST_BYTES, 8192, 16_384), (0, 7, 11)])
+def test_pair_statistics_equal_all_pairs(spark, monkeypatch, broadcast, block, held):
+    """Extremes by kind, and the score at every kind of place, from counts; a task gives classes, not pairs."""
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "ASKED", held)
+    random.seed(8)
+    rows = [(i, random.choice("ab"), [random.choice([-1.0, 0.0, 0.5, random.gauss(0, 1)]) for _ in range(3)]) for i in range(60)]
+    items = spark.createDataFrame(rows, "seq bigint, ns string, vector array<double>").repartition(3)
+    pairs = [(round(embedders.cosine(x, y), 9) + 0.0, p == q) for i, (_, p, x) in enumerate(rows) for _, q, y in rows[:i]]
+    got = {r["same"]: (r["n"], r["low"], r["high"]) for r in similarity.pair_extremes(items).collect()}
+    for same in (True, False):
+        own = [s for s, kind in pairs if kind == same]
+        assert got[same][0] == len(own) and got[same][1:] == pytest.approx((min(own), max(own)), abs=2e-9)
+    scores = sorted(s for s, _ in pairs)
+    for at in (0, 1, len(pairs) // 2, len(pairs) - 1):
+        n, score = similarity.pair_at(items, lambda n, at=at: at)
+        assert n == len(pairs) and score == pytest.approx(scores[at], abs=2e-9)
+    rows_out = similarity._pairs(items, 9, lambda: lambda score=None, same=None: ([1], [2]) if score is None else None, "a bigint, b bigint")
+    assert rows_out.count() == rows_out.rdd.getNumPartitions()
+
+
+def test_token_buckets_equal_the_expressions(spark):
+    random.seed(4)
+    pool = "abs SXZ059\u0130\u212a\u00df\u00e9-.\n\x1c "
+    texts = [None, "", "the THE this", "s ss sss ssss classes", "\u0130s \u212aelvins", *("".join(random.choice(pool) for _ in range(40)) for _ in range(200))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string").repartition(2)
+    want = F.transform(T.tokens(F.col("t")), lambda t: T.bucket(t, 100))
+    assert df.select(V.buckets(F.col("t"), 100).alias("got"), want.alias("want")).where("NOT got <=> want").count() == 0
 
 
 def test_columns_equal_python(spark):
@@ -170,9 +193,9 @@ def test_columns_equal_python(spark):
 
 
 def test_thresholds_and_as_of(spark):
-    none = spark.createDataFrame([], "score double")
-    assert tuple(suggest(none).first()) == (0.45, 0.4)
-    three = spark.createDataFrame([(0.0,), (0.0,), (0.0,)], "score double")
+    none = spark.createDataFrame([], "seq bigint, ns string, vector array<double>")
+    assert tuple(suggest(none).first()) == (0.45, 0.4) and tuple(calibrate(similarity.pair_extremes(none)).first()) == (0.3, 0.25)
+    three = spark.createDataFrame([(0, "a", [1.0, 0.0, 0.0]), (1, "a", [0.0, 1.0, 0.0]), (2, "b", [0.0, 0.0, 1.0])], none.schema)
     assert tuple(suggest(three).first()) == (0.08, 0.03)
     log = [("k", 1, "read", None), ("k", 2, "build", 5), ("k", 3, "change", 5), ("k", 4, "read", None), ("k", 5, "change", 6), ("k", 6, "read", None), ("k", 7, "delete", None), ("k", 8, "read", None), ("k", 9, "build", 6), ("k", 10, "read", None)]
     found = R.as_of(spark.createDataFrame(log, "key string, seq bigint, kind string, content int")).orderBy("seq").collect()

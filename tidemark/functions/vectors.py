@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import bucket, tokens
+from ..base import ship
+from .text import STOP_WORDS
 
 DIM = 256
 
@@ -31,15 +36,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(size, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+#: Bytes of tokens as lower case, all others as blanks. Two letters outside ASCII have ASCII ones in their lower case.
+_TOKEN_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+_LOWER_TO_ASCII = {"\u0130": "i\u0307", "\u212a": "k"}
+
+
+def token_buckets(texts: pa.Array, dim: int = DIM) -> pa.Array:
+    """``bucket`` of each of ``tokens`` of texts, in order, for workers: each distinct token of a batch is hashed once."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    for letter, lower in _LOWER_TO_ASCII.items():
+        texts = pc.replace_substring(texts, letter, lower)
+    _, offsets, data = texts.buffers()
+    plain = np.frombuffer(_TOKEN_BYTES, np.uint8)[np.frombuffer(data, np.uint8)] if data is not None else np.zeros(0, np.uint8)
+    spaced = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(plain)], offset=texts.offset)
+    cut = pc.ascii_split_whitespace(spaced)
+    words = cut.flatten().dictionary_encode()
+    stop, found = set(STOP_WORDS), []
+    for word in words.dictionary.to_pylist():
+        token = word[:-1] if len(word) > 3 and word[-1] == "s" else word
+        found.append(-1 if len(word) < 2 or word in stop else int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim)
+    each = np.array(found, np.int32)[words.indices.to_numpy(zero_copy_only=False)] if found else np.zeros(0, np.int32)
+    before = np.concatenate([[0], np.cumsum(each >= 0)])
+    offsets = cut.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(before[offsets - offsets[0]].astype(np.int32)), pa.array(each[each >= 0]))
+
+
 def buckets(text: Column, dim: int = DIM) -> Column:
-    """The bucket of each token of a text: the sparse form of its vector of counts."""
-    return F.transform(tokens(text), lambda t: bucket(t, dim))
+    """The bucket of each token of a text: the sparse form of its vector of counts.
+
+    In Arrow batches, as hashing every token anew in an expression costs many times what it does here.
+    """
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+    return F.arrow_udf(lambda texts: token_buckets(texts, dim), "array<int>")(text)
 
 
 def bucket_table(df: DataFrame, ids: list[str], text_col: str, dim: int = DIM) -> DataFrame:
     """(ids, bucket, tf): the sparse form, a row for each bucket a text has."""
-    rows = df.select(*ids, F.explode(tokens(F.col(text_col))).alias("token"))
-    return rows.select(*ids, bucket(F.col("token"), dim).alias("bucket")).groupBy(*ids, "bucket").agg(F.count("*").alias("tf"))
+    rows = df.select(*ids, F.explode(buckets(F.col(text_col), dim)).alias("bucket"))
+    return rows.groupBy(*ids, "bucket").agg(F.count("*").alias("tf"))
 
 
 def hashed_vectors(df: DataFrame, ids: list[str], text_col: str, dim: int = DIM) -> DataFrame:

@@ -91,7 +91,7 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.k, self.score, self.seq = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
 
-    def add(self, rows: slice, score: np.ndarray, seq: np.ndarray) -> None:
+    def add(self, rows: slice | np.ndarray, score: np.ndarray, seq: np.ndarray) -> None:
         """Scores of some queries with a block of items in seq order; what may not be found is -inf."""
         k, old, own = self.k, self.score[rows], self.seq[rows]
         least = old[:, -1:]  # the worst of k so far: less can't come in
@@ -137,28 +137,37 @@ def similarity_topk(
             ns, best = number(names), {}
             parts = [slice(i, i + 512) for i in range(0, len(ids), 512)]
             asked = [_matrix(batch["vector"].slice(p.start, 512), dim) if dim is None else batch["vector"].slice(p.start, 512) for p in parts]
+
+            def compare(rows, q: np.ndarray, seq: np.ndarray, own: np.ndarray, x: np.ndarray, norms: np.ndarray) -> None:
+                both = np.outer(_norms(q) if normalise else np.ones(len(q)), norms)
+                score = np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0)
+                if decimals is not None:
+                    score = np.round(score, decimals)
+                if positive:
+                    score[score <= 0] = -np.inf
+                mine = ns[rows, None]
+                if namespaces == "visible":
+                    score[(own != mine) & (own != 0) & (mine != 0)] = -np.inf
+                if not_itself:
+                    score[seq == ids[rows, None]] = -np.inf
+                for name in np.unique(own) if groups else [-1]:
+                    if name not in best:
+                        best[name] = _Best(len(ids), k)
+                    of = np.flatnonzero(own == name) if groups else slice(None)
+                    best[name].add(rows, score[:, of], seq[of])
+
             for seq, own_names, x, norms in blocks():
                 own = number(own_names)
+                if namespaces == "equal":  # a namespace's queries meet its items, and no others
+                    for name in np.intersect1d(own, ns):
+                        of, whose = np.flatnonzero(own == name), np.flatnonzero(ns == name)
+                        for first in range(0, len(whose), 512):
+                            some = whose[first : first + 512]
+                            q = _matrix(batch["vector"].take(pa.array(some)), dim)
+                            compare(some, q, seq[of], own[of], x[of], norms[of])
+                    continue
                 for p, q in zip(parts, asked):
-                    q = q if dim is None else _matrix(q, dim)
-                    both = np.outer(_norms(q) if normalise else np.ones(len(q)), norms)
-                    score = np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0)
-                    if decimals is not None:
-                        score = np.round(score, decimals)
-                    if positive:
-                        score[score <= 0] = -np.inf
-                    mine = ns[p, None]
-                    if namespaces == "equal":
-                        score[own != mine] = -np.inf
-                    elif namespaces == "visible":
-                        score[(own != mine) & (own != 0) & (mine != 0)] = -np.inf
-                    if not_itself:
-                        score[seq == ids[p, None]] = -np.inf
-                    for name in np.unique(own) if groups else [-1]:
-                        if name not in best:
-                            best[name] = _Best(len(ids), k)
-                        of = np.flatnonzero(own == name) if groups else slice(None)
-                        best[name].add(p, score[:, of], seq[of])
+                    compare(p, q if dim is None else _matrix(q, dim), seq, own, x, norms)
             for b in best.values():
                 i, r = np.nonzero(b.score > -np.inf)
                 columns = (pa.array(ids[i]), pa.array(b.seq[i, r]), pa.array(b.score[i, r] + 0.0), pa.array((r + 1).astype(np.int32)))
@@ -168,29 +177,88 @@ def similarity_topk(
     return asked.mapInArrow(run, "qid bigint, seq bigint, score double, rank int")
 
 
-def pair_scores(items: DataFrame, decimals: int = DECIMALS, by_namespace: bool = False) -> DataFrame:
-    """(score, c): how many pairs of ``items`` (seq, ns, vector) have each cosine, rounded; pairs stay in workers.
+def _pairs(items: DataFrame, decimals: int, fold: Callable[[], Callable], schema: str) -> DataFrame:
+    """Rows of a fold over all pairs of ``items`` (seq, ns, vector), one fold a task.
 
-    ``by_namespace`` adds a column same: whether the two items of the pairs have one namespace.
+    ``fold()`` gives a function that takes (scores, whether the two have one namespace) of blocks of pairs, each pair
+    once, and, called with nothing, gives the columns of its rows. Pairs stay in workers.
     """
     ship(items.sparkSession)
-    blocks = _item_blocks(items, None, True)
+    blocks, names_of = _item_blocks(items, None, True), [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        took = fold()
         for batch in _gathered(batches, ASKED):
             every, names = batch["seq"].to_numpy(), np.array(batch["ns"].to_pylist(), object)
             for seq, own, x, norms in blocks():
                 for first in range(0, len(every), 512):
                     part = slice(first, first + 512)
                     q, ids = _matrix(batch["vector"].slice(first, 512)), every[part]
-                    both = np.outer(_norms(q), norms)
-                    score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0), decimals)
                     once = ids[:, None] < seq[None, :]
-                    same = names[part, None] == own[None, :] if by_namespace else np.ones_like(once)
-                    for kind in (True, False) if by_namespace else (True,):
-                        found, c = np.unique(score[once & (same == kind)] + 0.0, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind)), pa.array(found), pa.array(c.astype(np.int64))], ["same", "score", "c"])
+                    if once.any():
+                        both = np.outer(_norms(q), norms)
+                        score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0), decimals)
+                        took(score[once] + 0.0, (names[part, None] == own[None, :])[once])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in took()], names_of)
 
     asked = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast("array<double>").alias("vector"))
-    keys = ["same", "score"] if by_namespace else ["score"]
-    return asked.mapInArrow(run, "same boolean, score double, c bigint").groupBy(*keys).agg(F.sum("c").alias("c"))
+    return asked.mapInArrow(run, schema)
+
+
+def pair_extremes(items: DataFrame, decimals: int = DECIMALS) -> DataFrame:
+    """(same, n, low, high): number, least and greatest cosine of the pairs within and across namespaces; a task gives two rows."""
+
+    def fold() -> Callable:
+        n, low, high = np.zeros(2, np.int64), np.full(2, np.inf), np.full(2, -np.inf)
+
+        def took(score: np.ndarray | None = None, same: np.ndarray | None = None):
+            if score is None:
+                some = np.flatnonzero(n)
+                return some == 1, n[some], low[some], high[some]
+            for kind in (0, 1):
+                own = score[same == kind]
+                if len(own):
+                    n[kind], low[kind], high[kind] = n[kind] + len(own), min(low[kind], own.min()), max(high[kind], own.max())
+
+        return took
+
+    found = _pairs(items, decimals, fold, "same boolean, n bigint, low double, high double")
+    return found.groupBy("same").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def pair_at(items: DataFrame, place: Callable[[int], int], decimals: int = DECIMALS, step: int = 1000) -> tuple[int, float | None]:
+    """(n, score): the number of pairs, and of their sorted cosines the one at ``place(n)``, from 0; none without pairs.
+
+    Rounded scores are whole numbers of the last decimal. Each pass counts classes of them in workers, each ``step``
+    times as fine as those before, and only within the class that holds the place: at most 2 * ``step`` + 1 rows a task.
+    """
+    scale, width, low, before, total = 10**decimals, 10**decimals, None, 0, 0
+    while width > 1 or low is None:
+        inside, width = (low, width), max(1, width // step)
+
+        def fold(inside=inside, width=width) -> Callable:
+            counts: dict[int, int] = {}
+
+            def took(score: np.ndarray | None = None, same: np.ndarray | None = None):
+                if score is None:
+                    return np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+                whole = np.rint(score * scale).astype(np.int64)
+                if inside[0] is not None:
+                    whole = whole[(whole >= inside[0]) & (whole < inside[0] + inside[1])]
+                for c, k in zip(*np.unique(whole // width, return_counts=True)):
+                    counts[int(c)] = counts.get(int(c), 0) + int(k)
+
+            return took
+
+        classes = _pairs(items, decimals, fold, "class bigint, c bigint").groupBy("class").agg(F.sum("c").alias("c")).orderBy("class").collect()
+        if low is None:
+            total = sum(r["c"] for r in classes)
+            if not total:
+                return 0, None
+            left = place(total)
+        for r in classes:  # 2 * step + 1 at most
+            if before + r["c"] > left:
+                low = r["class"] * width
+                break
+            before += r["c"]
+    return total, low / scale

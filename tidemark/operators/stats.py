@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import pair_at
+
 
 def rate(part: Column, whole: Column) -> Column:
     """A ratio to three places, 0 over nothing."""
@@ -41,33 +43,19 @@ def touches(events: DataFrame, key: str, time: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("hits"), F.max(time).alias("last_access"))
 
 
-def calibrate(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Thresholds halfway between the weakest positive and the strongest negative ``score``."""
-    low = positives.agg(F.coalesce(F.min("score"), F.lit(0.4)).alias("low"))
-    high = negatives.agg(F.coalesce(F.max("score"), F.lit(0.2)).alias("high"))
-    hit = low.crossJoin(high).select(F.bround((F.col("low") + F.col("high")) / 2, 3).alias("hit_threshold"))  # one row each
+def calibrate(extremes: DataFrame) -> DataFrame:
+    """Thresholds halfway between the weakest positive and the strongest negative, from (same, low, high) of both kinds."""
+    ends = extremes.agg(
+        F.coalesce(F.min(F.when(F.col("same"), F.col("low"))), F.lit(0.4)).alias("low"), F.coalesce(F.max(F.when(~F.col("same"), F.col("high"))), F.lit(0.2)).alias("high")
+    )
+    hit = ends.select(F.bround((F.col("low") + F.col("high")) / 2, 3).alias("hit_threshold"))
     return hit.select("hit_threshold", F.bround(F.greatest(F.lit(0.0), F.col("hit_threshold") - 0.05), 3).alias("coverage_floor"))
 
 
-def suggest(scores: DataFrame) -> DataFrame:
-    """Thresholds over the 95th of 100 parts of all pair ``score``s: an element of the list, not interpolated.
-
-    ``scores`` has a row a pair, or counts in a column c. The place is found by counts in classes of a
-    thousandth first, then in the one class that holds it: no task sees the whole list.
-    """
-    counted = scores if "c" in scores.columns else scores.groupBy("score").agg(F.count("*").alias("c"))
-    counted = counted.withColumn("class", F.floor(F.col("score") * 1000))
-    classes = counted.groupBy("class").agg(F.sum("c").alias("k")).orderBy("class").collect()  # about 2,000 rows at most
-    n, before, wanted = sum(r["k"] for r in classes), 0, None
-    at = min(n - 1, int(0.95 * n))
-    for r in classes:
-        if before + r["k"] > at:
-            wanted = r["class"]
-            break
-        before += r["k"]
-    inside = counted.where(F.col("class") == F.lit(wanted).cast("bigint"))
-    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("class").orderBy("score")) + F.lit(before))
-    p95 = inside.where(F.col("upto") > F.lit(at)).agg(F.min("score").alias("p95"))
+def suggest(items: DataFrame) -> DataFrame:
+    """Thresholds over the 95th of 100 parts of the cosines of all pairs of ``items`` (seq, ns, vector): an element of the list, not interpolated."""
+    _, p95 = pair_at(items, lambda n: min(n - 1, int(0.95 * n)))
+    found = items.sparkSession.createDataFrame([(p95,)], "p95 double")
     hit = F.when(F.col("p95").isNull(), 0.45).otherwise(F.bround(F.least(F.lit(0.9), F.col("p95") + 0.08), 3))
     floor = F.when(F.col("p95").isNull(), 0.4).otherwise(F.bround(F.greatest(F.lit(0.0), hit - 0.05), 3))
-    return p95.select(hit.alias("hit_threshold"), floor.alias("coverage_floor"))
+    return found.select(hit.alias("hit_threshold"), floor.alias("coverage_floor"))

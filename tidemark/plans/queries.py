@@ -17,7 +17,7 @@ from ..operators import matching as M
 from ..operators import projection as P
 from ..operators import provenance as O
 from ..operators import stats as S
-from ..operators.similarity import pair_scores, similarity_topk
+from ..operators.similarity import pair_extremes, similarity_topk
 from ..sources import connectors as C
 from ..sources import retrievers
 from ..sources import store as U
@@ -754,8 +754,7 @@ h AS (SELECT round_even((min(score) FILTER (WHERE same) + max(score) FILTER (WHE
 SELECT hit_threshold, round_even(greatest(0, hit_threshold - 0.05), 3) AS coverage_floor FROM h""")
 def calibrate_thresholds(spark, d):
     """All pairs of one label as positives, all pairs of different labels as negatives."""
-    scores = written(pair_scores(B.vectors(spark, d), by_namespace=True), "pair-scores")
-    return S.calibrate(scores.where("same"), scores.where("NOT same"))
+    return S.calibrate(pair_extremes(B.vectors(spark, d)))
 
 
 @query("suggest_thresholds", f"""
@@ -764,7 +763,7 @@ WITH s AS (SELECT round({_cos('a.embedding', 'b.embedding')}, 9) AS score, row_n
 h AS (SELECT round_even(least(0.9, score + 0.08), 3) AS hit_threshold FROM s WHERE r = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) + 1)
 SELECT hit_threshold, round_even(greatest(0, hit_threshold - 0.05), 3) AS coverage_floor FROM h""")
 def suggest_thresholds(spark, d):
-    return S.suggest(pair_scores(B.vectors(spark, d)))
+    return S.suggest(B.vectors(spark, d))
 
 
 # Events -----------------------------------------------------------------------------------------
