@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import free_name, ship, written
 from .tokens import steps
 
 BUCKETS = 1 << 15
@@ -229,18 +229,25 @@ def _smoothed(counts: Column, base: Column, weight: float) -> Column:
     return F.zip_with(counts, base, lambda c, b: (c + weight * b) / (total + weight))
 
 
+RESULTS = ("detected", "confidence", "text_detected", "text_confidence", "declared")
+
+
 def identify(
     rows: DataFrame, model: TextModel, carry: list[str], text_col: str | None = None, html_col: str | None = None,
     url_col: str | None = None, declared_col: str | None = None, host_col: str | None = None,
     settings: Settings | None = None,
 ) -> DataFrame:
-    """The ``carry`` columns of each row, with detected (language), confidence, text_detected, text_confidence and declared."""
+    """The ``carry`` columns of each row, with detected (language), confidence, text_detected, text_confidence and declared.
+
+    A result whose name is carried gets underscores.
+    """
     settings = settings or Settings()
     width = len(model.languages)
     if not width:
         kept = [F.col(f"`{c}`") for c in carry]
         none = F.lit(None).cast("string")
-        return rows.select(*kept, none.alias("detected"), F.lit(0.0).alias("confidence"), none.alias("text_detected"), none.cast("double").alias("text_confidence"), none.alias("declared"))
+        results = (none, F.lit(0.0), none, none.cast("double"), none)
+        return rows.select(*kept, *(x.alias(free_name(n, carry)) for n, x in zip(RESULTS, results)))
     once = text_col if text_col in carry and rows.schema[text_col].dataType.simpleString() == "string" else None
     others = [c for c in carry if c != once]  # a text that is carried goes to the workers once
     found = _evidence(rows, model, settings, others, text_col, html_col, url_col, declared_col, host_col, once is not None)
@@ -276,13 +283,11 @@ def identify(
     names = F.array(*(F.lit(x) for x in model.languages))
     any_evidence = F.coalesce(F.col("own").isNotNull() | F.col("declared_p").isNotNull() | F.col("suffix_p").isNotNull() | F.col("host_counts").isNotNull(), F.lit(False)) & ~F.col("foreign")
     best = F.get(names, F.array_position("_total", F.col("_most")).cast("int") - 1)
+    sure = F.when(any_evidence, 1 / weights).otherwise(F.lit(0.0))
+    results = (F.when(any_evidence, best), sure, F.get(names, F.col("own")), F.col("own_p"), F.col("declared"))
     return out.select(
         *(F.col("text").alias(c) if c == once else F.col("row").getField(c).alias(c) for c in carry),
-        F.when(any_evidence, best).alias("detected"),
-        F.when(any_evidence, 1 / weights).otherwise(F.lit(0.0)).alias("confidence"),
-        F.get(names, F.col("own")).alias("text_detected"),
-        F.col("own_p").alias("text_confidence"),
-        F.col("declared"),
+        *(x.alias(free_name(n, carry)) for n, x in zip(RESULTS, results)),
     )
 
 

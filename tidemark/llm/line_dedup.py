@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, free_name, written
 
 WINDOW, LONG_LINE = 3, 50
 BROADCAST_BYTES = 32_000_000
@@ -74,7 +74,7 @@ def _windows(keys: DataFrame, window: int, long_line: int) -> DataFrame:
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_line: int = LONG_LINE
 ) -> DataFrame:
-    """``docs`` with its text column cleaned, and ``n_lines`` and ``n_removed`` (int) added."""
+    """``docs`` with its text column cleaned, and ``n_lines`` and ``n_removed`` (int) added (with underscores if ``docs`` has them)."""
     text = docs[text_col].cast("string")
     keys = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     seen = written(_windows(keys, window, long_line), "windows")  # hashes and places, cut and hashed once
@@ -110,4 +110,4 @@ def line_dedup(
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("lines"))
     removed = F.when(F.col("kept").isNotNull(), F.size("lines") - F.size("kept")).otherwise(0)
     others = [F.col("row").getField(c).alias(c) if c != text_col else cleaned.alias(c) for c in docs.columns]
-    return both.select(*others, n_lines.alias("n_lines"), removed.alias("n_removed"))
+    return both.select(*others, n_lines.alias(free_name("n_lines", docs.columns)), removed.alias(free_name("n_removed", docs.columns)))

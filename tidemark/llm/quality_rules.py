@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import free_name, discard, written
 
 #: Fixed by the contract: the symbol characters, the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -215,10 +215,10 @@ def quality_rules(
 ) -> DataFrame:
     """``docs`` with the base counts, base_failed, class_distance, word_distance (null: not judged) and kept.
 
-    ``carry`` names the columns of ``docs`` to return, all by default.
+    ``carry`` names the columns of ``docs`` to return, all by default; a result whose name is among them gets underscores.
     """
     limits = limits or Limits()
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*COUNTS, *VERDICTS)]
+    carry = list(docs.columns if carry is None else carry)
     lang = docs[lang_col].cast("string")
     refs = common_words(docs.select(lang.alias("lang"), docs[text_col].cast("string").alias("text")), limits.common_words)
     few = _few(refs)
@@ -265,5 +265,5 @@ def quality_rules(
     table = table.select("row", "base", _let(distances, verdict).alias("v"))
     return table.select(
         *(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(carry)),
-        *(F.col("base").getField(k).alias(k) for k in COUNTS), *(F.col("v").getField(k).alias(k) for k in VERDICTS),
+        *(F.col("base").getField(k).alias(free_name(k, carry)) for k in COUNTS), *(F.col("v").getField(k).alias(free_name(k, carry)) for k in VERDICTS),
     )
