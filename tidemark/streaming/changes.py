@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,3 +33,26 @@ def stream_payloads(payloads: DataFrame, store: UnitStore, checkpoint: str, done
             done(actions, batch_id)
 
     return payloads.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What a ``Landing`` writes.
+LANDED = "name string, source string, payload string"
+
+
+def stream_landed(
+    spark: SparkSession, folder: str, store: UnitStore, checkpoint: str, files: int = 10_000, done: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
+    """The payloads that a ``Landing`` keeps landing in ``folder`` to the units of a store, once each, in the order of their names.
+
+    A trigger takes ``files`` payloads at most, which bounds what is numbered in one task.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        ordered = batch.withColumn("seq", F.row_number().over(Window.orderBy("name")).cast("bigint"))
+        events = numbered(events_of(ordered)).select("event_seq", "artifact_id", "version", "content_hash", "kind")
+        actions = apply_changes(store, events, batch_id + 1)
+        if done:
+            done(actions, batch_id)
+
+    landed = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).json(folder)
+    return landed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
