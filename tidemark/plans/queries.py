@@ -395,10 +395,20 @@ def depth_tiers(spark, d):
     return B.table(spark, d, "events").select("event_id", T.depth_tier(F.col("value") / 20).alias("tier"))
 
 
-@query("default_thresholds", "SELECT * FROM (VALUES ('hashing', 0.6::DOUBLE, 0.5::DOUBLE), ('openai', 0.33, 0.28), ('other', 0.45, 0.4)) AS t(kind, hit_threshold, coverage_floor)")
+@query("default_thresholds", f"""
+WITH s AS (SELECT a.vec_id AS id, max(round({_cos('a.embedding', 'b.embedding')}, 9)) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id),
+k AS (SELECT * FROM (VALUES ('hashing', 0.6::DOUBLE, 0.5::DOUBLE), ('openai', 0.33, 0.28), ('other', 0.45, 0.4)) AS t(kind, hit_threshold, coverage_floor))
+SELECT kind, hit_threshold, coverage_floor, CAST(count_if(score >= hit_threshold) AS BIGINT) AS hits, CAST(count_if(score >= coverage_floor AND score < hit_threshold) AS BIGINT) AS near
+FROM k, s GROUP BY ALL""")
 def default_thresholds(spark, d):
-    rows = [(k, *M.default_thresholds(k)) for k in ("hashing", "openai", "other")]
-    return spark.createDataFrame(rows, "kind string, hit_threshold double, coverage_floor double")
+    """What each kind of embedder's thresholds make of the best scores among all vectors."""
+    v = B.vectors(spark, d)
+    best = similarity_topk(v.withColumnRenamed("seq", "qid"), v, 1, positive=False, not_itself=True)
+    kinds = [(k, *M.default_thresholds(k)) for k in ("hashing", "openai", "other")]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(h).alias("hit_threshold"), F.lit(c).alias("coverage_floor")) for k, h, c in kinds)))
+    rows = best.select("score", each.alias("k")).select("score", "k.*")
+    hit, near = F.col("score") >= F.col("hit_threshold"), F.col("score") >= F.col("coverage_floor")
+    return rows.groupBy("kind", "hit_threshold", "coverage_floor").agg(F.count_if(hit).alias("hits"), F.count_if(near & ~hit).alias("near"))
 
 
 # JSON -------------------------------------------------------------------------------------------
@@ -852,13 +862,18 @@ def legacy_backfill(spark, d):
 # Sequences and streams --------------------------------------------------------------------------
 
 
-@query("benchmark_report", """
-SELECT * FROM (VALUES ('naive', 10::BIGINT, 10::BIGINT, 0::BIGINT, 70::BIGINT, 1.0::DOUBLE, 0.0::DOUBLE), ('no_invalidation', 10, 8, 2, 35, 0.8, 0.2),
-('cache', 10, 10, 0, 49, 1.0, 0.0)) AS t(system, reads, correct, stale, cost_tokens, accuracy, stale_rate)""")
+@query("benchmark_report", r"""
+WITH t AS (SELECT coalesce(text, '') AS old, doc_id % 5 < 2 AS moved FROM documents),
+c AS (SELECT moved, CAST(len(regexp_extract_all(old, '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS n FROM t),
+r AS (SELECT 'naive' AS system, unnest([n, n + CASE WHEN moved THEN 2 ELSE 0 END]) AS paid, true AS fresh FROM c
+      UNION ALL SELECT 'no_invalidation', unnest([n, 0]), unnest([true, NOT moved]) FROM c
+      UNION ALL SELECT 'cache', unnest([n, CASE WHEN moved THEN n + 2 ELSE 0 END]), true FROM c)
+SELECT system, count(*) AS reads, CAST(count_if(fresh) AS BIGINT) AS correct, CAST(count_if(NOT fresh) AS BIGINT) AS stale, CAST(sum(paid) AS BIGINT) AS cost_tokens,
+       count_if(fresh) / count(*) AS accuracy, count_if(NOT fresh) / count(*) AS stale_rate FROM r GROUP BY system""")
 def benchmark_report(spark, d):
-    from .benchmark import run_benchmark
+    from .benchmark import table_benchmark
 
-    return run_benchmark(spark)
+    return table_benchmark(B.table(spark, d, "documents"))
 
 
 def replay_log(spark, d) -> DataFrame:
