@@ -2,9 +2,12 @@
 
 1. Texts are cut into pieces at punctuation and line ends, in lower case (A-Z); identical pieces of a language
    become one with a multiplicity, by a groupBy that pre-aggregates in each task.
-2. Each task counts the weighted n-grams of its pieces step by step; the sums are dealt out by phrase, and
-   DuckDB counts each bucket out of core, within ``MEMORY`` and beyond that in a temporary folder of the
-   task. Phrases below ``least`` can be neither candidates nor parts of one and stay behind.
+2. Each task counts the words and the weighted windows of its pieces step by step. A window of the longest
+   phrase's length stands for all phrases that begin with its first word, so each place is one row, not one a
+   length. Rows are dealt out by their first two words to hash buckets (two for each of the session's shuffle
+   partitions) in compressed blocks, and DuckDB counts the phrases of each bucket out of core, within
+   ``MEMORY`` and beyond that in a temporary folder of the task. Phrases below ``least`` can be neither
+   candidates nor parts of one and stay behind.
 3. Candidates live in homes by their hash. A home asks once for each part that any of its candidates needs:
    the requests are shuffled to the counts, the answers back to the homes, so a word that a third of all
    candidates contain is asked for once a home. A request also carries the count of the longest-standing
@@ -35,12 +38,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, ship, written
+from .words import cut, digests
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Fixed: what separates pieces, and words within them.
 PIECE_ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Bytes of pieces whose n-grams a task counts at once, DuckDB's memory a task, and candidates of a home.
-STEP_BYTES, MEMORY, HOME_ROWS = 8_000_000, "300MB", 100_000
+STEP_BYTES, MEMORY, HOME_ROWS = 4_000_000, "200MB", 100_000
+#: Phrases in one compressed block at most.
+BLOCK_ROWS = 50_000
 COUNTS = "lang string, size int, phrase string, f long"
 
 
@@ -58,32 +64,68 @@ def pieces_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return cut.where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("n"))
 
 
-def _counted(longest: int):
-    """Tasks that count the weighted n-grams of their pieces, a step at a time."""
-
-    def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cut = pc.split_pattern(batch.column("piece").cast(pa.large_string()), " ")
-        words, offsets = cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        piece = np.repeat(np.arange(len(batch)), np.diff(offsets))
-        left = offsets[1:][piece] - np.arange(len(piece))  # words from here to the end of the piece
-        langs, weights = batch.column("lang").dictionary_encode(), batch.column("n").to_numpy()
-        codes = langs.indices.to_numpy(zero_copy_only=False)
-        phrases, of, sizes = words, np.arange(len(piece)), np.ones(len(piece), np.int32)
-        tables = []
-        for size in range(1, longest + 1):
-            if size > 1:
-                at = np.flatnonzero(left >= size)
-                parts = [words.take(pa.array(at + i)) for i in range(size)]
-                phrases, of = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), at
-                sizes = np.full(len(at), size, np.int32)
-            table = pa.table({"lang": codes[piece[of]], "size": sizes, "phrase": phrases, "n": weights[piece[of]]})
-            tables.append(table.group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum")]))
-        found = pa.concat_tables(tables).combine_chunks()
-        lang = langs.dictionary.take(found["lang"].combine_chunks())
-        return pa.RecordBatch.from_arrays(
-            [lang, found["size"].combine_chunks(), found["phrase"].combine_chunks().cast(pa.string()), found["n_sum"].combine_chunks()],
-            ["lang", "size", "phrase", "f"],
-        )
+def _windows(batch: pa.RecordBatch, longest: int, buckets: int) -> tuple[pa.Table, np.ndarray]:
+    """(lang, head, rest, f) of the distinct words and windows of some pieces, by bucket, and the buckets' numbers.
+
+    A window is ``longest`` words, or what the piece has left, two at least: its first two are the head, by which it
+    is dealt out. It stands for all phrases that begin where it does. A single word is a head with null as rest.
+    """
+    words, offsets = cut(batch.column("piece"))
+    coded = words.dictionary_encode()
+    spelled, order = coded.dictionary, pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)  # 0 is no word
+    spelled = pa.concat_arrays([pa.array([""], pa.large_string()), spelled.take(pa.array(order))])
+    code = np.concatenate([rank[coded.indices.to_numpy(zero_copy_only=False)], np.zeros(longest, np.int64)])
+    langs = batch.column("lang").dictionary_encode()
+    lang_of, weights = langs.indices.to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+    word_hash, lang_hash = (digests(x.cast(pa.large_string()))[:, 0] for x in (spelled, langs.dictionary))
+    piece = np.repeat(np.arange(len(batch)), np.diff(offsets))
+    left = offsets[1:][piece] - np.arange(len(piece))  # words from here to the end of the piece
+    tables, numbers = [], []
+    for size in (1, longest):
+        at = np.flatnonzero(left >= min(size, 2))
+        keys = [f"w{i}" for i in range(size)]
+        table = pa.table({"lang": lang_of[piece[at]], **{k: np.where(left[at] > i, code[at + i], 0) for i, k in enumerate(keys)}, "n": weights[piece[at]]})
+        table = table.group_by(["lang", *keys], use_threads=False).aggregate([("n", "sum")])
+        lang, *parts = (table[k].to_numpy() for k in ("lang", *keys))
+        # Digests are evenly spread, so a sum of multiples deals them out evenly.
+        mixed = lang_hash[lang] + sum((word_hash[x] * np.uint64(2 * i + 3) for i, x in enumerate(parts[:2])), np.zeros(len(lang), np.uint64))
+        number = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        near = np.lexsort((parts[0] << 32 | parts[1] if size > 1 else parts[0], number))  # alike ones side by side compress
+        spell = lambda x, near=near: spelled.take(pa.array(x[near]))
+        blank = pa.scalar(" ", pa.large_string())
+        head = pc.binary_join_element_wise(spell(parts[0]), spell(parts[1]), blank) if size > 1 else spell(parts[0])
+        if size == 1:
+            rest = pa.nulls(len(near), pa.large_string())
+        elif size == 2:
+            rest = pa.array([""], pa.large_string()).take(pa.array(np.zeros(len(near), np.int64)))
+        else:
+            rest = pc.utf8_rtrim(pc.binary_join_element_wise(*map(spell, parts[2:]), blank), characters=" ")
+        f = pa.array(table["n_sum"].to_numpy()[near])
+        tables.append(pa.table({"lang": langs.dictionary.take(pa.array(lang[near])), "head": head.cast(pa.string()), "rest": rest.cast(pa.string()), "f": f}))
+        numbers.append(number[near])
+    return pa.concat_tables(tables), np.concatenate(numbers)
+
+
+def _counted(longest: int, buckets: int):
+    """Tasks that count the weighted windows of their pieces, a step at a time: (bucket, data), data being compressed Arrow streams."""
+
+    def dealt(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        table, numbers = _windows(batch, longest, buckets)
+        order = np.argsort(numbers, kind="stable")
+        table, numbers = table.take(pa.array(order)).combine_chunks(), numbers[order]
+        firsts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(numbers) else []
+        found, options = [], pa.ipc.IpcWriteOptions(compression="zstd")
+        for first, end in zip(firsts, [*firsts[1:], len(numbers)]):
+            for at in range(first, end, BLOCK_ROWS):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table.slice(at, min(BLOCK_ROWS, end - at)))
+                found.append((int(numbers[first]), sink.getvalue().to_pybytes()))
+        del table, numbers, order
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -91,10 +133,11 @@ def _counted(longest: int):
             held.append(batch)
             size += batch.nbytes
             if size >= STEP_BYTES:
-                yield from (counts(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches())
+                for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
+                    yield from dealt(whole)
                 held, size = [], 0
-        if held:
-            yield from (counts(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches())
+        for whole in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+            yield from dealt(whole)
 
     return run
 
@@ -115,24 +158,37 @@ def in_duckdb(batches: Iterator[pa.RecordBatch], schema: pa.Schema, load: str, q
                 yield from con.sql(query).to_arrow_reader(50_000)
 
 
-def _bucket_counts(least: int):
-    """Tasks that add up the counts of their phrases; size 0 stands for all words of a language."""
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
-    load = "CREATE TABLE counted AS SELECT lang, size, phrase, CAST(sum(f) AS BIGINT) AS f FROM arrived GROUP BY ALL"
-    enough = f"SELECT lang, size, phrase, f FROM counted WHERE f >= {int(least)}"
-    words = "SELECT lang, CAST(0 AS INTEGER) AS size, '' AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counted WHERE size = 1 GROUP BY lang"
+def _bucket_counts(longest: int, least: int):
+    """Tasks that add up the windows of their buckets and count each phrase that begins them; size 0 stands for all words of a language."""
+    schema = pa.schema([("lang", pa.string()), ("head", pa.string()), ("rest", pa.string()), ("f", pa.int64())])
+    load = "CREATE TABLE counted AS SELECT lang, head, rest, CAST(sum(f) AS BIGINT) AS f FROM arrived GROUP BY ALL"
+    count = "SELECT lang, CAST({} AS INTEGER) AS size, {} AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counted WHERE {} GROUP BY ALL"
+    enough = [count.format(1, "head", "rest IS NULL"), count.format(2, "head", "rest IS NOT NULL")]
+    for size in range(3, longest + 1):  # of the rest, the first words
+        begun = "rest" if size == longest == 3 else f"array_to_string(string_split(rest, ' ')[:{size - 2}], ' ')"
+        enough.append(count.format(size, f"head || ' ' || {begun}", f"rest <> '' AND len(string_split(rest, ' ')) >= {size - 2}"))
+    enough = [f"{q} HAVING sum(f) >= {int(least)}" for q in enough]
+    words = count.format(0, "''", "rest IS NULL")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("data"):
+                with pa.ipc.open_stream(block.as_buffer()) as stream:
+                    yield from stream
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_duckdb(batches, schema, load, [enough, words])
+        yield from in_duckdb(opened(batches), schema, load, [*enough, words])
 
     return run
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, size, phrase, f) of phrases of up to ``longest`` words that stand ``least`` times or more, and of size 0 the words of a part of each language."""
-    ship(docs.sparkSession)
-    counted = pieces_of(docs, text_col, lang_col).mapInArrow(_counted(longest), COUNTS)
-    return counted.repartition("lang", "phrase").mapInArrow(_bucket_counts(least), COUNTS)
+    spark = docs.sparkSession
+    ship(spark)
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = pieces_of(docs, text_col, lang_col).mapInArrow(_counted(longest, buckets), "bucket int, data binary")
+    return counted.repartition(buckets, "bucket").mapInArrow(_bucket_counts(longest, least), COUNTS)
 
 
 def _joined(words: Column, start: Column, size: Column) -> Column:
