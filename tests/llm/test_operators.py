@@ -292,6 +292,25 @@ def test_components(spark, monkeypatch, few):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_gram_sets_of_slices():
+    """Slices of a batch have the sets of their own texts, upper case, nulls and code points of several bytes included."""
+    texts = pa.array(["Été {} Über A B c".format(i) * (i % 3 + 1) for i in range(200)] + [None, "", "x Y z x Y z"], pa.string())
+    want = [ngram_join.gram_sets(pa.array([x], pa.string()), 3)[0].tolist() for x in texts.to_pylist()]
+    for first, count in ((0, 203), (1, 20), (8, 20), (64, 20), (150, 53), (202, 1)):
+        assert [x.tolist() for x in ngram_join.gram_sets(texts.slice(first, count), 3)] == want[first : first + count]
+
+
+def test_ngram_join_in_steps(spark):
+    """Batches cut into steps give the result of SQL."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    want = con.sql(SQL["op4_ngram_jaccard_join"]).fetchall()
+    batch = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).combine_chunks().to_batches()[0]
+    sizes = {i: len(x) for part in ngram_join.steps(batch, most=20_000) for i, x in zip(part["doc_id"].to_pylist(), ngram_join.gram_sets(part["text"], 3))}
+    assert sizes == {r[0]: r[1] for r in want}
+    assert sorted(map(tuple, QUERIES["op4_ngram_jaccard_join"](spark, DATA).collect())) == sorted(want)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
 

@@ -74,7 +74,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes (uint64) of each text. Only A-Z are lower-cased, blanks are ASCII's."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A cast slice keeps its offsets, which may begin over 0: Arrow's ascii_lower then gives other bytes. take copies.
+    texts = pc.ascii_lower(texts.take(np.arange(len(texts))))
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     out: list[np.ndarray] = []
     first = 0
