@@ -68,3 +68,21 @@ def test_arithmetic_beyond_64_bits(spark):
 def test_nothing(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert collocations(spark.createDataFrame([(None, None, 1, "", 1, "")], SCHEMA)).collect() == []
+
+
+def test_buckets_beyond_memory(spark, monkeypatch):
+    """Half a million distinct windows in two buckets of a task that has 30 MB for DuckDB."""
+    monkeypatch.setattr(module, "MEMORY", "30MB")
+    table = spark.range(40_000).selectExpr("'en' AS lang", "concat('often met here, ', array_join(transform(sequence(1, 12), i -> substr(sha1(concat(id, 'x', i)), 1, 20)), ' ')) AS text")
+    run = module._bucket_counts(3, 10, pass_rows=20_000)
+    counted = module.pieces_of(table).mapInArrow(module._counted(3, 2), "bucket int, data binary").repartition(1).sortWithinPartitions("bucket")
+    found = {(r["size"], r["phrase"]): r["f"] for r in counted.mapInArrow(run, module.COUNTS).where("size > 0").collect()}
+    assert found == {(k, p): 40_000 for k, p in ((1, "often"), (1, "met"), (1, "here"), (2, "often met"), (2, "met here"), (3, "often met here"))}
+
+
+def test_each(spark):
+    """Rows of a key that batches cut apart come together."""
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"k": pa.array(x, pa.int32())}) for x in ([1, 1, 2], [2], [], [2, 5])]
+    assert [[v for b in rows for v in b["k"].to_pylist()] for rows in module.each(iter(batches), "k")] == [[1, 1], [2, 2, 2], [5]]

@@ -4,9 +4,10 @@
    become one with a multiplicity, by a groupBy that pre-aggregates in each task.
 2. Each task counts the words and the weighted windows of its pieces step by step. A window of the longest
    phrase's length stands for all phrases that begin with its first word, so each place is one row, not one a
-   length. Rows are dealt out by their first two words to hash buckets (two for each of the session's shuffle
-   partitions) in compressed blocks, and DuckDB counts the phrases of each bucket out of core, within
-   ``MEMORY`` and beyond that in a temporary folder of the task. Phrases below ``least`` can be neither
+   length. Rows are dealt out by their first two words to hash buckets (as many as the texts need, at least two
+   for each of the session's shuffle partitions) in compressed blocks, and DuckDB counts the phrases of one bucket
+   after the other out of core, within ``MEMORY`` and beyond that in a temporary folder of the task; a bucket of
+   many rows is counted in several passes. Phrases below ``least`` can be neither
    candidates nor parts of one and stay behind.
 3. Candidates live in homes by their hash. A home asks once for each part that any of its candidates needs:
    the requests are shuffled to the counts, the answers back to the homes, so a word that a third of all
@@ -30,6 +31,8 @@ import math
 import string
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +48,8 @@ LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 PIECE_ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Bytes of pieces whose n-grams a task counts at once, DuckDB's memory a task, and candidates of a home.
 STEP_BYTES, MEMORY, HOME_ROWS = 4_000_000, "200MB", 100_000
-#: Phrases in one compressed block at most.
-BLOCK_ROWS = 50_000
+#: Phrases in one compressed block at most, bytes of text for each bucket, and rows that DuckDB groups at once.
+BLOCK_ROWS, BUCKET_BYTES, PASS_ROWS = 50_000, 8_000_000, 500_000
 COUNTS = "lang string, size int, phrase string, f long"
 
 
@@ -142,42 +145,73 @@ def _counted(longest: int, buckets: int):
     return run
 
 
-def in_duckdb(batches: Iterator[pa.RecordBatch], schema: pa.Schema, load: str, queries: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of queries over what ``load`` makes of a task's rows (``arrived``), in DuckDB within MEMORY, on disk beyond.
+def each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The rows of each value of ``key``, of a stream sorted by it."""
 
-    The folder it may spill to is the task's own and goes with it, like Spark's own spill files.
-    """
+    def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            keys = batch.column(key).to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for first, end in zip(edges, edges[1:]):
+                yield int(keys[first]), batch.slice(first, end - first)
+
+    for _, rows in groupby(parts(), key=lambda x: x[0]):
+        yield (batch for _, batch in rows)
+
+
+@contextmanager
+def in_duckdb():
+    """A DuckDB within MEMORY, on disk beyond. The folder it may spill to is the task's own and goes with it, like Spark's own spill files."""
     import duckdb
 
     with tempfile.TemporaryDirectory(prefix="tidemark-") as folder:
         settings = {"memory_limit": MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False}
         with duckdb.connect(":memory:", config=settings) as con:
-            con.register("arrived", pa.RecordBatchReader.from_batches(schema, batches))
-            con.execute(load)
-            for query in queries:
-                yield from con.sql(query).to_arrow_reader(50_000)
+            yield con
 
 
-def _bucket_counts(longest: int, least: int):
-    """Tasks that add up the windows of their buckets and count each phrase that begins them; size 0 stands for all words of a language."""
+def _bucket_counts(longest: int, least: int, pass_rows: int = PASS_ROWS):
+    """Tasks that add up the windows of their buckets and count each phrase that begins them; size 0 stands for all words of a language.
+
+    So that what DuckDB groups fits its memory, windows are added up ``pass_rows`` at a time and phrases counted in as many passes, by hash.
+    """
     schema = pa.schema([("lang", pa.string()), ("head", pa.string()), ("rest", pa.string()), ("f", pa.int64())])
-    load = "CREATE TABLE counted AS SELECT lang, head, rest, CAST(sum(f) AS BIGINT) AS f FROM arrived GROUP BY ALL"
-    count = "SELECT lang, CAST({} AS INTEGER) AS size, {} AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counted WHERE {} GROUP BY ALL"
-    enough = [count.format(1, "head", "rest IS NULL"), count.format(2, "head", "rest IS NOT NULL")]
+    load = "INSERT INTO counted SELECT lang, head, rest, CAST(sum(f) AS BIGINT) AS f FROM arrived GROUP BY ALL"
+    kinds = [(1, "head", "rest IS NULL"), (2, "head", "rest IS NOT NULL")]
     for size in range(3, longest + 1):  # of the rest, the first words
         begun = "rest" if size == longest == 3 else f"array_to_string(string_split(rest, ' ')[:{size - 2}], ' ')"
-        enough.append(count.format(size, f"head || ' ' || {begun}", f"rest <> '' AND len(string_split(rest, ' ')) >= {size - 2}"))
-    enough = [f"{q} HAVING sum(f) >= {int(least)}" for q in enough]
+        kinds.append((size, f"head || ' ' || {begun}", f"rest <> '' AND len(string_split(rest, ' ')) >= {size - 2}"))
+    count = "SELECT lang, CAST({} AS INTEGER) AS size, {} AS phrase, CAST(sum(f) AS BIGINT) AS f FROM counted WHERE {} GROUP BY ALL"
     words = count.format(0, "''", "rest IS NULL")
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def chunks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in rows:
             for block in batch.column("data"):
                 with pa.ipc.open_stream(block.as_buffer()) as stream:
-                    yield from stream
+                    for x in stream:
+                        if held and n + x.num_rows > pass_rows:
+                            yield pa.Table.from_batches(held, schema)
+                            held, n = [], 0
+                        held.append(x)
+                        n += x.num_rows
+        if held:
+            yield pa.Table.from_batches(held, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_duckdb(opened(batches), schema, load, [*enough, words])
+        for rows in each(batches, "bucket"):
+            with in_duckdb() as con:
+                con.execute("CREATE TABLE counted (lang VARCHAR, head VARCHAR, rest VARCHAR, f BIGINT)")
+                for chunk in chunks(rows):
+                    con.register("arrived", chunk)
+                    con.execute(load).fetchall()
+                    con.unregister("arrived")
+                passes = 1 + con.execute("SELECT count(*) FROM counted").fetchall()[0][0] // pass_rows
+                for size, phrase, where in kinds:
+                    for k in range(passes):
+                        mine = f"{where} AND hash({phrase}) % {passes} = {k}" if passes > 1 else where
+                        yield from con.sql(f"{count.format(size, phrase, mine)} HAVING sum(f) >= {int(least)}").to_arrow_reader(50_000)
+                yield from con.sql(words).to_arrow_reader(50_000)
 
     return run
 
@@ -186,9 +220,10 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, t
     """(lang, size, phrase, f) of phrases of up to ``longest`` words that stand ``least`` times or more, and of size 0 the words of a part of each language."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // BUCKET_BYTES)
     counted = pieces_of(docs, text_col, lang_col).mapInArrow(_counted(longest, buckets), "bucket int, data binary")
-    return counted.repartition(buckets, "bucket").mapInArrow(_bucket_counts(longest, least), COUNTS)
+    return counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_counts(longest, least), COUNTS)
 
 
 def _joined(words: Column, start: Column, size: Column) -> Column:
@@ -210,7 +245,7 @@ def _requests(candidates: DataFrame) -> DataFrame:
 def _scores(share: int, top: int):
     """Tasks that score the candidates of their homes and keep the first of each language."""
     schema = pa.schema([("home", pa.int64()), ("kind", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-    load = "CREATE TABLE here AS SELECT * FROM arrived"
+    load = "CREATE TABLE here AS SELECT * FROM arrived"  # a home at a time, which is bounded
     query = f"""
         WITH candidates AS (
             SELECT c.home, c.lang, c.phrase, c.f AS a, string_split(c.phrase, ' ') AS w FROM here c
@@ -228,7 +263,11 @@ def _scores(share: int, top: int):
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {int(top)}"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_duckdb(batches, schema, load, [query])
+        for rows in each(batches, "home"):
+            with in_duckdb() as con:
+                con.register("arrived", pa.RecordBatchReader.from_batches(schema, rows))
+                con.execute(load)
+                yield from con.sql(query).to_arrow_reader(50_000)
 
     return run
 
@@ -260,7 +299,7 @@ def collocations(
     longer = requests.where("longer > 0").groupBy("lang", F.col("part").alias("phrase")).agg(F.max("longer").alias("f"))
     longer = longer.select(home.alias("home"), F.lit(2).alias("kind"), "lang", "phrase", "f")
     own = candidates.select("home", F.lit(0).alias("kind"), "lang", "phrase", "f")
-    met = own.unionByName(answers).unionByName(longer).repartition("home")
+    met = own.unionByName(answers).unionByName(longer).repartition("home").sortWithinPartitions("home")
     scored = met.mapInArrow(_scores(share, top), "home long, lang string, phrase string, a long, l long, r long, score long")
 
     groups = scored.withColumn("group", F.pmod("home", F.lit(math.isqrt(homes))))
