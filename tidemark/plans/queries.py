@@ -505,13 +505,13 @@ e AS (SELECT unit, 0 AS part, doc_id, a, text FROM x WHERE old UNION ALL SELECT
 SELECT unit, CAST(count(*) AS INTEGER) AS n, md5(string_agg(a || md5(text), ',' ORDER BY part, doc_id)) AS body FROM e GROUP BY unit""")
 def evidence_augment(spark, d):
     x = B.table(spark, d, "documents").withColumn("old", F.col("n_chars") > 2000)
-    chunk = F.struct("doc_id", F.col("lang").alias("artifact_id"), F.col("text"))
-    per = x.groupBy("source").agg(
-        F.array_sort(F.collect_list(F.when(F.col("old"), chunk))).alias("had"), F.array_sort(F.collect_list(F.when(~F.col("old"), chunk))).alias("new")
-    )
-    rows = per.select(F.col("source").alias("unit"), E.augment(F.col("had"), F.col("new")).alias("e"))
-    body = F.array_join(F.transform("e", lambda c: F.concat(c["artifact_id"], F.md5(c["text"]))), ",")
-    return rows.select("unit", F.size("e").alias("n"), F.md5(body).alias("body"))
+    x = x.select(F.col("source").alias("unit"), "doc_id", F.col("lang").alias("artifact_id"), "text", "old")
+    entry = F.concat("artifact_id", F.md5("text"))
+    rows = E.augmented(x, "unit", "doc_id").select("unit", "part", "doc_id", entry.alias("entry"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("part", "doc_id", "entry"))))
+    per = rows.groupBy("unit").agg(F.count("*").cast("int").alias("n"), listed.alias("e"))
+    body = F.when(F.size("e") > 0, F.md5(F.array_join(F.transform("e", lambda c: c["entry"]), ",")))
+    return per.select("unit", "n", body.alias("body"))
 
 
 @query("relevance_gate", f"""
