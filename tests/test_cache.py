@@ -216,3 +216,39 @@ def test_node_and_tool(spark):
     (tool,) = tools(cache)
     said = tool.handler("annual leave policy")
     assert said["cache_hit"] and said["sources"] == ["b", "a", "b"]
+
+
+def test_reads_that_ask_for_no_related_units_score_none(monkeypatch):
+    from tidemark.functions.synthesis import Chunk
+    from tidemark.plans.engine import Engine
+
+    engine, scored = Engine(lambda query, ns: [Chunk("doc", "a common source", "v1")]), []
+    plain = engine.score
+    monkeypatch.setattr(engine, "score", lambda q, u: scored.append(u.id) or plain(q, u))
+    texts = [f"alpha{i} beta{i} gamma{i}" for i in range(30)]
+    for text in texts:
+        engine.get(text, related=0)
+    few = len(scored)
+    assert len(engine.get(texts[0], related=2).related) == 2
+    assert len(scored) - few >= 29  # with related units all that share the source are scored
+    scored.clear()
+    assert engine.get(texts[0], related=0).related == [] and len(scored) < 5
+
+
+def test_vectors_of_slots_equal_brute_force():
+    import numpy as np
+
+    from tidemark.plans.engine import _Vectors
+
+    rng = np.random.default_rng(2)
+    for most in (1, 3):
+        kept, have = _Vectors(), {}
+        for step in range(60):
+            slot = int(rng.integers(0, 20))
+            have[slot] = [rng.normal(size=int(rng.integers(1, 40))) for _ in range(int(rng.integers(0, most + 1)))]
+            kept.put(slot, have[slot])
+        q = rng.normal(size=32)
+        for asked in (q, np.where(np.arange(32) % 9 == 0, q, 0), np.zeros(32)):
+            cos = lambda v, asked=asked: float(asked[: len(v)] @ v[:32]) / np.sqrt(v @ v)
+            want = [max(map(cos, have.get(s, [])), default=-np.inf) for s in range(20)]
+            assert np.allclose(kept.best(asked, 20), want)
