@@ -164,3 +164,15 @@ def test_stores_equal_a_dictionary(spark, path):
             kept.compact()
         assert content(kept) == content(passing) == want
     assert passing.get("nothing").count() == 0 and len(passing) == len(want) and EphemeralStore(spark).all().count() == 0
+
+
+def test_units_are_parsed_once(spark):
+    from tidemark.sources.store import decoded, from_json
+
+    bodies = ['{"id": "a", "namespace": "n", "provenance": {"model_version": "m"}}', '{"id": "b"}', "{broken", None, '{"id": "c", "hits": 3, "provenance": {}}']
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string")
+    units = from_json(rows)
+    assert sorted((r["id"], r["namespace"], r["query"], r["status"], r["hits"], r["evidence"]) for r in units.collect()) == [("a", "n", "", "fresh", 0, []), ("c", "", "", "fresh", 3, [])]
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    single = rows.select(decoded(rows["body"]).alias("u")).collect()
+    assert [r["u"] and r["u"]["id"] for r in single] == ["a", None, None, None, "c"]

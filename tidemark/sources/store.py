@@ -41,9 +41,18 @@ def _fields() -> list[str]:
 
 def decoded(body: Column) -> Column:
     """A unit from its JSON text, missing parts as their defaults; null where the text is no unit."""
-    u = F.from_json(body, ", ".join(x.strip() for x in [UNIT_SCHEMA]), {"mode": "PERMISSIVE"})
+    return F.get(_units(body), F.lit(0))
+
+
+def _units(body: Column) -> Column:
+    """The unit of a JSON text as an array of one, or of none. The text is parsed once: what follows is bound to its value."""
+    parsed = F.array(F.from_json(body, UNIT_SCHEMA, {"mode": "PERMISSIVE"}))
+    return F.transform(F.filter(parsed, lambda u: u["id"].isNotNull() & u["provenance"].isNotNull()), _whole)
+
+
+def _whole(u: Column) -> Column:
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    whole = F.struct(
+    return F.struct(
         u["id"].alias("id"), F.coalesce(u["namespace"], F.lit("")).alias("namespace"), F.coalesce(u["query"], F.lit("")).alias("query"),
         F.coalesce(u["query_embedding"], empty("double")).alias("query_embedding"), F.coalesce(u["understanding"], F.lit("{}")).alias("understanding"),
         F.coalesce(u["evidence"], empty(CHUNK)).alias("evidence"), u["provenance"].alias("provenance"),
@@ -53,13 +62,11 @@ def decoded(body: Column) -> Column:
         F.coalesce(u["hits"], F.lit(0)).cast("bigint").alias("hits"), F.coalesce(u["created_at"], F.lit(0.0)).alias("created_at"),
         F.coalesce(u["last_access"], F.lit(0.0)).alias("last_access"),
     )
-    return F.when(u["id"].isNotNull() & u["provenance"].isNotNull(), whole)
 
 
 def from_json(rows: DataFrame, body: str = "body") -> DataFrame:
     """Units of all rows that decode; the others are left out."""
-    found = rows.select(decoded(F.col(body)).alias("unit")).where("unit IS NOT NULL")
-    return found.select("unit.*")
+    return rows.select(F.inline(_units(F.col(body))))
 
 
 def latest(log: DataFrame, key: str = "id") -> DataFrame:
