@@ -224,11 +224,12 @@ def similarity_topk(
     return asked.mapInArrow(run, "qid bigint, seq bigint, score double, rank int")
 
 
-def _pairs(items: DataFrame, decimals: int, fold: Callable[[], Callable], schema: str) -> DataFrame:
+def _met(items: DataFrame, fold: Callable[[], Callable], schema: str, spaces: bool = False) -> DataFrame:
     """Rows of a fold over all pairs of ``items`` (seq, ns, vector), one fold a task.
 
-    ``fold()`` gives a function that takes (scores, whether the two have one namespace) of blocks of pairs, each pair
-    once, and, called with nothing, gives the columns of its rows. Pairs stay in workers.
+    ``fold()`` gives a function that takes two blocks (vectors and norms of each), whether two have one namespace if
+    ``spaces`` asks for it, and which pairs count (None: all), so that each pair comes once; called with nothing, it
+    gives the columns of its rows. Pairs stay in workers.
     """
     ship(items.sparkSession)
     blocks, names_of = _item_blocks(items, None, True), [c.split()[0] for c in schema.split(", ")]
@@ -236,20 +237,39 @@ def _pairs(items: DataFrame, decimals: int, fold: Callable[[], Callable], schema
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         took = fold()
         for batch in _gathered(batches, ASKED):
+            batch = batch.sort_by("seq")
             every, names = batch["seq"].to_numpy(), np.array(batch["ns"].to_pylist(), object)
             for seq, own, x, norms in blocks():
-                for first in range(0, len(every), 512):
+                least, most = seq.min(), seq.max()
+                for first in range(0, int(np.searchsorted(every, most)), 512):  # later ones come before no item of the block
                     part = slice(first, first + 512)
                     q, ids = _matrix(batch["vector"].slice(first, 512)), every[part]
-                    once = ids[:, None] < seq[None, :]
-                    if once.any():
-                        both = np.outer(_norms(q), norms)
-                        score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0), decimals)
-                        took(score[once] + 0.0, (names[part, None] == own[None, :])[once])
+                    once = None if ids[-1] < least else ids[:, None] < seq[None, :]
+                    took(q, _norms(q), x, norms, names[part, None] == own[None, :] if spaces else None, once)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in took()], names_of)
 
     asked = items.select(F.col("seq").cast("long").alias("seq"), F.col("ns").cast("string").alias("ns"), F.col("vector").cast("array<double>").alias("vector"))
-    return asked.mapInArrow(run, schema)
+    # Rows of all places in each task, as the first ones have the most pairs.
+    return asked.repartition(max(asked.sparkSession.sparkContext.defaultParallelism, asked.rdd.getNumPartitions())).mapInArrow(run, schema)
+
+
+def _pairs(items: DataFrame, decimals: int, fold: Callable[[], Callable], schema: str) -> DataFrame:
+    """The same for a fold that takes (scores, whether the two have one namespace) of blocks of pairs."""
+
+    def scored() -> Callable:
+        took = fold()
+
+        def met(*blocks: np.ndarray):
+            if not blocks:
+                return took()
+            q, size, x, norms, same, once = blocks
+            both = np.outer(size, norms)
+            score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0), decimals) + 0.0
+            took(*((score.ravel(), same.ravel()) if once is None else (score[once], same[once])))
+
+        return met
+
+    return _met(items, scored, schema, spaces=True)
 
 
 def pair_extremes(items: DataFrame, decimals: int = DECIMALS) -> DataFrame:
@@ -273,39 +293,85 @@ def pair_extremes(items: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     return found.groupBy("same").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def pair_at(items: DataFrame, place: Callable[[int], int], decimals: int = DECIMALS, step: int = 1000) -> tuple[int, float | None]:
+#: Classes of rough cosines from -1 to 1, with some beyond both ends.
+ROUGH, BEYOND = 16_384, 4
+
+
+def pair_at(items: DataFrame, place: Callable[[int], int], decimals: int = DECIMALS, step: int = 65_536) -> tuple[int, float | None]:
     """(n, score): the number of pairs, and of their sorted cosines the one at ``place(n)``, from 0; none without pairs.
 
-    Rounded scores are whole numbers of the last decimal. Each pass counts classes of them in workers, each ``step``
-    times as fine as those before, and only within the class that holds the place: at most 2 * ``step`` + 1 rows a task.
+    A first pass counts classes of products in single precision. As these are near the scores, the score sought lies
+    within a class of the one that holds the place. A second pass counts what is surely below that range, again by
+    rough products, and scores exactly only what may be in it: rounded scores are whole numbers of the last decimal,
+    and of these it counts classes, at most ``step`` + 1 a task. Where a class holds more than one number, passes over the
+    range of that class follow.
     """
-    scale, width, low, before, total = 10**decimals, 10**decimals, None, 0, 0
-    while width > 1 or low is None:
-        inside, width = (low, width), max(1, width // step)
+    scale, ends = 10**decimals, ROUGH // 2 + BEYOND
+
+    def rough() -> Callable:
+        counts = np.zeros(2 * ends, np.int64)
+
+        def took(*blocks: np.ndarray):
+            if not blocks:
+                some = np.flatnonzero(counts)
+                return some, counts[some]
+            q, size, x, norms, _, once = blocks
+            classes = (_scaled(q, size) * np.float32(ROUGH // 2)) @ _scaled(x, norms).T
+            classes += np.float32(ends)
+            whole = np.clip(np.nan_to_num(classes), 0, 2 * ends - 1).astype(np.int32)
+            counts[:] += np.bincount(whole.ravel() if once is None else whole[once], minlength=2 * ends)
+
+        return took
 
-        def fold(inside=inside, width=width) -> Callable:
+    classes = _met(items, rough, "class bigint, c bigint").groupBy("class").agg(F.sum("c").alias("c")).orderBy("class").collect()
+    total = sum(r["c"] for r in classes)
+    if not total:
+        return 0, None
+    left = place(total)
+    before = 0
+    for r in classes:  # 2 * ends at most
+        if before + r["c"] > left:
+            break
+        before += r["c"]
+    # A class each way is 1 / 8192, above the error of rough products; if the place should not be there, all is scored exactly.
+    low, high = ((r["class"] + k - ends) * scale // (ROUGH // 2) for k in (-1, 2))
+    while True:
+        width = max(1, -(-(high - low) // step))
+
+        def fine(low=low, high=high, width=width) -> Callable:
             counts: dict[int, int] = {}
 
-            def took(score: np.ndarray | None = None, same: np.ndarray | None = None):
-                if score is None:
+            def took(*blocks: np.ndarray):
+                if not blocks:
                     return np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
-                whole = np.rint(score * scale).astype(np.int64)
-                if inside[0] is not None:
-                    whole = whole[(whole >= inside[0]) & (whole < inside[0] + inside[1])]
-                for c, k in zip(*np.unique(whole // width, return_counts=True)):
-                    counts[int(c)] = counts.get(int(c), 0) + int(k)
+                q, size, x, norms, _, once = blocks
+                a, b = _scaled(q, size), _scaled(x, norms)
+                slack = _slack(a, b, decimals)
+                product = a @ b.T
+                under, over = product < np.float32(low / scale - slack), product > np.float32(high / scale + slack)
+                if once is not None:
+                    under, over = under & once, over | ~once
+                counts[-1] = counts.get(-1, 0) + int(np.count_nonzero(under))
+                i, j = np.nonzero(~(under | over))
+                for some in range(0, len(i), 65_536):
+                    m, n = i[some : some + 65_536], j[some : some + 65_536]
+                    both = size[m] * norms[n]
+                    score = np.divide(np.einsum("ij,ij->i", q[m], x[n]), both, out=np.zeros_like(both), where=both > 0)
+                    whole = np.rint(np.round(score, decimals) * scale).astype(np.int64)
+                    whole = whole[whole < high]
+                    for c, k in zip(*np.unique(np.where(whole < low, -1, (whole - low) // width), return_counts=True)):
+                        counts[int(c)] = counts.get(int(c), 0) + int(k)
 
             return took
 
-        classes = _pairs(items, decimals, fold, "class bigint, c bigint").groupBy("class").agg(F.sum("c").alias("c")).orderBy("class").collect()
-        if low is None:
-            total = sum(r["c"] for r in classes)
-            if not total:
-                return 0, None
-            left = place(total)
-        for r in classes:  # 2 * step + 1 at most
+        before = 0
+        for r in _met(items, fine, "class bigint, c bigint").groupBy("class").agg(F.sum("c").alias("c")).orderBy("class").collect():  # step + 1 at most
             if before + r["c"] > left:
-                low = r["class"] * width
                 break
             before += r["c"]
-    return total, low / scale
+        if before + r["c"] <= left or r["class"] < 0:
+            low, high = -2 * scale, 2 * scale
+            continue
+        if width == 1:
+            return total, (low + r["class"]) / scale
+        low, high = low + r["class"] * width, low + (r["class"] + 1) * width
