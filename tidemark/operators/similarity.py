@@ -294,7 +294,7 @@ def pair_extremes(items: DataFrame, decimals: int = DECIMALS) -> DataFrame:
 
 
 #: Classes of rough cosines from -1 to 1, with some beyond both ends.
-ROUGH, BEYOND = 16_384, 4
+ROUGH, BEYOND = 131_072, 4
 
 
 def pair_at(items: DataFrame, place: Callable[[int], int], decimals: int = DECIMALS, step: int = 65_536) -> tuple[int, float | None]:
@@ -333,7 +333,7 @@ def pair_at(items: DataFrame, place: Callable[[int], int], decimals: int = DECIM
         if before + r["c"] > left:
             break
         before += r["c"]
-    # A class each way is 1 / 8192, above the error of rough products; if the place should not be there, all is scored exactly.
+    # A class each way is 1 / 65536, above the usual error of rough products; if the place should not be there, all is scored exactly.
     low, high = ((r["class"] + k - ends) * scale // (ROUGH // 2) for k in (-1, 2))
     while True:
         width = max(1, -(-(high - low) // step))
