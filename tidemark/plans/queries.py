@@ -367,7 +367,8 @@ CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INT
 md5('  ' || replace(regexp_replace(text, '\n$', ''), chr(10), chr(10) || '  ')) AS indented FROM d""")
 def text_display(spark, d):
     t = F.col("text")
-    return B.table(spark, d, "documents").select("doc_id", T.preview(t).alias("preview"), T.token_count(t).alias("n_tokens"), F.md5(T.indent(t)).alias("indented"))
+    n = F.when(t.isNotNull(), T.token_count(t, T.SQL_BLANK))
+    return B.table(spark, d, "documents").select("doc_id", T.preview(t).alias("preview"), n.alias("n_tokens"), F.md5(T.indent(t)).alias("indented"))
 
 
 @query("age_display", """
